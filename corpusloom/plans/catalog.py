@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-SECTIONS = ["retrieval", "library"]
+SECTIONS = ["retrieval", "library", "source"]
 
 
 def _modules():
