@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import expr as X
 from corpusloom.functions.scale import broadcast_checked
@@ -15,14 +16,13 @@ from corpusloom.functions.scale import broadcast_checked
 MIN_LANGUAGE_CHARS = 5
 
 
-@F.pandas_udf("string")
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 def nfc(text: Column) -> Column:
     """Canonical composition; Spark has no builtin, so one Arrow function."""
-    return _compose(text)
+    return F.pandas_udf(_compose, T.StringType())(text)
 
 
 def clean_prose(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
-from corpusloom.functions.scale import broadcast_checked
+from corpusloom.functions.scale import cut
 from corpusloom.operators import chunk as H
 from corpusloom.operators import classify as C
 
@@ -52,9 +52,13 @@ def dots(column: Column) -> Column:
 
 
 # -- books --------------------------------------------------------------------
-def toc_level(line: Column) -> Column:
-    """Level of a contents line, null if the line is no entry."""
-    text = F.regexp_replace(F.regexp_replace(X.strip(line), PAGE_SUFFIX, ""), r"^[ .\t]+|[ .\t]+$", "")
+def entry_text(line: Column) -> Column:
+    """A contents line without its page number and edge dots."""
+    return F.regexp_replace(F.regexp_replace(X.strip(line), PAGE_SUFFIX, ""), r"^[ .\t]+|[ .\t]+$", "")
+
+
+def toc_level(text: Column) -> Column:
+    """Level of a contents entry, null if the text is none."""
     bad = (text == "") | (F.size(F.split(X.squeeze(text), " ")) > 16) | F.rlike(text, F.lit(r"[.!?]$"))
     decimal = F.regexp_extract(text, DECIMAL, 1)
     level = (
@@ -64,8 +68,7 @@ def toc_level(line: Column) -> Column:
     return F.when(~bad, level.cast("int"))
 
 
-def strong_line(line: Column) -> Column:
-    text = X.strip(line)
+def strong_line(text: Column) -> Column:
     out = F.rlike(text, F.lit(PAGE_SUFFIX))
     for pattern in (PART, CHAPTER, SECTION, SUBSECTION, DECIMAL):
         out = out | F.rlike(text, F.lit(pattern))
@@ -77,14 +80,6 @@ def normal_title(text: Column) -> Column:
     return X.squeeze(F.regexp_replace(F.lower(bare), r"^[ .:\t]+|[ .:\t]+$", ""))
 
 
-def _toc_lines(blocks: DataFrame) -> DataFrame:
-    """Non-blank lines of the blocks that can list contents, with level and strength."""
-    carries = F.col("kind").isin("heading", "text", "caption", "table")
-    rows = X.unfold(blocks.filter(carries), ["document_id", "ordinal", "kind"], F.split("text", "\n"), "line", "line_no")
-    full = rows.filter(X.strip(F.col("line")) != "")
-    return full.withColumn("toc_level", toc_level(F.col("line"))).withColumn("strong", strong_line(F.col("line")))
-
-
 def detect_toc(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks of the first table of contents per document, and its titled levels.
 
@@ -92,20 +87,28 @@ def detect_toc(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     of low entry density; it counts with at least 3 entries, density 0.7, and 2
     strong lines or 4 entries. Blocks meet their marker by document and distance.
     """
-    lines = _toc_lines(blocks)
-    counted = lines.groupBy("document_id", "ordinal", "kind").agg(
-        F.count("*").alias("n"), F.count("toc_level").alias("entries"), F.min_by("line", "line_no").alias("head"), F.min("line_no").alias("head_no"))
-    marks = counted.filter(F.rlike(X.strip(F.col("head")), F.lit(TOC_MARKER))).select(
-        "document_id", F.col("ordinal").alias("mark"), "head_no")
-    near = marks.select("document_id", "mark").join(counted, "document_id").filter(
-        (F.col("ordinal") > F.col("mark")) & (F.col("ordinal") <= F.col("mark") + TOC_AHEAD))
+    carries = blocks.filter(F.col("kind").isin("heading", "text", "caption", "table")).select(
+        "document_id", "ordinal", "kind", "text")
+    marks = carries.filter(F.rlike(X.strip(F.regexp_extract("text", r"^\s*(\S[^\n]*)", 1)), F.lit(TOC_MARKER))).select(
+        "document_id", F.col("ordinal").alias("mark"))
+    reach = carries.join(marks, "document_id").filter(
+        (F.col("ordinal") >= F.col("mark")) & (F.col("ordinal") <= F.col("mark") + TOC_AHEAD))
+    rows = X.unfold(reach, ["document_id", "mark", "ordinal", "kind"], F.split("text", "\n"), "line", "line_no")
+    full = rows.filter(X.strip(F.col("line")) != "")
+    # At most 21 blocks per marker are left; they are rated once.
+    lines = cut(
+        full.withColumn("entry", entry_text(F.col("line"))).withColumn("bare", X.strip(F.col("line")))
+        .withColumn("level", toc_level(F.col("entry"))).withColumn("strong", strong_line(F.col("bare"))).drop("entry", "bare"))
+    counted = lines.groupBy("document_id", "mark", "ordinal", "kind").agg(
+        F.count("*").alias("n"), F.count("level").alias("entries"), F.min("line_no").alias("first_line"))
     stops = (F.col("kind") == "heading") | (F.col("entries") / F.col("n") < TOC_FOLLOW)
-    stop = near.groupBy("document_id", "mark").agg(F.min(F.when(stops, F.col("ordinal"))).alias("stop"))
-    inside = near.join(stop, ["document_id", "mark"]).filter(
-        F.col("stop").isNull() | (F.col("ordinal") < F.col("stop"))).select("document_id", "mark", "ordinal")
-    own = marks.select("document_id", "mark", F.col("mark").alias("ordinal"), "head_no")
-    owned = inside.withColumn("head_no", F.lit(-1)).unionByName(own)
-    judged = owned.join(lines, ["document_id", "ordinal"]).filter("line_no > head_no").withColumnRenamed("toc_level", "level")
+    key = W.partitionBy("document_id", "mark")
+    bounded = counted.withColumn(
+        "stop", F.min(F.when(stops & (F.col("ordinal") > F.col("mark")), F.col("ordinal"))).over(key)).filter(
+        F.col("stop").isNull() | (F.col("ordinal") < F.col("stop")))
+    owned = bounded.select(
+        "document_id", "mark", "ordinal", F.when(F.col("ordinal") == F.col("mark"), F.col("first_line")).otherwise(-1).alias("head_no"))
+    judged = owned.join(lines, ["document_id", "mark", "ordinal"]).filter("line_no > head_no")
     totals = judged.groupBy("document_id", "mark").agg(
         F.count("*").alias("n"), F.count("level").alias("entries"), F.count_if(F.col("strong")).alias("strong"))
     good = totals.filter(
@@ -153,12 +156,13 @@ def book_units(blocks: DataFrame, titles: DataFrame, target: int, limit: int) ->
     spread = body.filter(heading).groupBy("document_id").agg((F.count_distinct("level") > 1).alias("informative"))
     named = body.withColumn("norm", F.when(heading, normal_title(F.col("text")))).join(
         levels.withColumnRenamed("title", "norm"), ["document_id", "norm"], "left").join(spread, "document_id", "left")
-    text = X.strip(F.col("text"))
-    hkind = (
-        F.when(F.rlike(text, F.lit(PART)), "part").when(F.rlike(text, F.lit(CHAPTER)), "chapter")
-        .when(F.rlike(text, F.lit(MATTER)), "matter").otherwise("other"))
-    decimal = F.regexp_extract(text, DECIMAL, 1)
-    deep = F.when(decimal != "", F.least(F.lit(4), dots(decimal) + 2)).otherwise(0)
+    bare = F.col("bare")
+    decimal = F.col("decimal_mark")
+    staged = named.withColumn("bare", X.strip(F.col("text"))).withColumn("decimal_mark", F.regexp_extract(bare, DECIMAL, 1)).withColumn(
+        "hkind", F.when(F.rlike(bare, F.lit(PART)), "part").when(F.rlike(bare, F.lit(CHAPTER)), "chapter")
+        .when(F.rlike(bare, F.lit(MATTER)), "matter").otherwise("other")).withColumn(
+        "deep", F.when(decimal != "", F.least(F.lit(4), dots(decimal) + 2)).otherwise(0))
+    hkind, deep = F.col("hkind"), F.col("deep")
     by_name = F.coalesce(
         "toc_level", F.when(hkind == "part", 1).when(hkind == "chapter", 2), F.when(deep > 0, deep), F.least(F.lit(4), F.col("level")))
     doc = W.partitionBy("document_id").orderBy("ordinal")
@@ -171,7 +175,7 @@ def book_units(blocks: DataFrame, titles: DataFrame, target: int, limit: int) ->
     # Text below a summary heading is a summary; that heading is the last one before it.
     last = F.last(F.when(heading, F.col("text")), ignorenulls=True).over(doc.rowsBetween(W.unboundedPreceding, -1))
     summary = (F.col("kind") == "text") & F.coalesce(F.rlike(last, F.lit(SUMMARY)), F.lit(False))
-    shaped = named.select(
+    shaped = staged.select(
         "document_id", "ordinal", "kind", "level", "page", "text", hkind.alias("hkind"), (hkind == "other").alias("other"), deep.alias("decimal"),
         F.when(F.col("informative"), F.least(F.lit(4), F.col("level"))).otherwise(by_name).alias("hlevel"),
         F.coalesce(F.col("norm") == normal_title(F.col("title")), F.lit(False)).alias("is_title"),
@@ -373,9 +377,11 @@ def chunk_all(blocks: DataFrame, titles: DataFrame, target: int = H.TARGET, maxi
         .unionByName(book_units(of("book"), titles, target, limit).select(fields))
         .unionByName(paper_units(of("paper"), target, limit).select(fields))
         .unionByName(resume_units(of("resume").drop("role"), target, limit).select(fields)))
-    good, bad = H.split_rejects(units, limit)
+    # Packing and rejects both read the units; they are stored once.
+    good, bad = H.split_rejects(cut(units), limit)
     packed = H.pack(good, target, limit)
-    docs_good, docs_bad = H.split_rejects(documentation_units(of("documentation").drop("role"), target, limit).select(fields), limit)
+    guides = cut(documentation_units(of("documentation").drop("role"), target, limit).select(fields))
+    docs_good, docs_bad = H.split_rejects(guides, limit)
     docs = H.pack(docs_good, target, limit, tail=False)
     slides, slide_bad = chunk_slides(C.annotate_slides(of("slides").drop("role")), limit)
     slides = slides.select(
