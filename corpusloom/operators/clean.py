@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import expr as X
-from corpusloom.functions.scale import broadcast_checked
+from corpusloom.functions.scale import broadcast_checked, cut
 
 MIN_LANGUAGE_CHARS = 5
 
@@ -73,9 +73,11 @@ def trigrams(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 def language_profiles(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n, total, vocabulary) from labelled texts (lang, text)."""
-    counts = trigrams(labelled, ["lang"]).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    spread = labelled.select("lang", "text").repartition("text")
+    counts = trigrams(spread, ["lang"]).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("vocabulary"))
-    return counts.join(broadcast_checked(totals), "lang")
+    # Read for gains and for totals, and far smaller than the texts: stored once.
+    return cut(counts.join(broadcast_checked(totals), "lang"))
 
 
 def detect_language(texts: DataFrame, profiles: DataFrame) -> DataFrame:

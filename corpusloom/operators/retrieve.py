@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
-from corpusloom.functions.scale import broadcast_checked, cut, top_per_key
+from corpusloom.functions.scale import BROADCAST_ROWS, broadcast_checked, cut, top_per_key
 
 # BM25 constants and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TITLE_WEIGHT = 3.0
 DENSE_BLOCK = 4096
+MATRIX_CELLS = 16_000_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -37,11 +40,12 @@ def postings(chunks: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return spread.groupBy("chunk_id", *keep, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_statistics(chunks: DataFrame, terms: DataFrame) -> tuple[DataFrame, int, float]:
+def corpus_statistics(chunks: DataFrame, terms: DataFrame, small: bool) -> tuple[DataFrame, int, float]:
     """Document frequencies of the wanted terms, chunk count and mean length.
 
     The empty term stands for "the chunk itself", so that one map-side combined
     aggregation yields all three. Only one row of totals reaches the driver.
+    ``small`` says that the query terms were seen to fit a broadcast.
     """
     spark = chunks.sparkSession
     wanted = terms.select("term").distinct().unionByName(spark.range(1).select(F.lit("").alias("term")))
@@ -49,7 +53,7 @@ def corpus_statistics(chunks: DataFrame, terms: DataFrame) -> tuple[DataFrame, i
     marks = F.array_append(F.array_distinct("terms"), F.lit(""))
     spread = X.unfold(rows, [F.size("terms").alias("dl")], marks, "term")
     counted = cut(
-        spread.join(broadcast_checked(wanted), "term", "left_semi")
+        spread.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
         .groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
     total = counted.filter("term = ''").first()
     n, length = (total["df"], total["length"]) if total else (0, 0)
@@ -66,14 +70,15 @@ def lexical_scores(
     table of queries times chunks is ever shuffled.
     """
     keep = keep or []
-    terms = query_terms(queries)
-    frequencies, n, mean_length = corpus_statistics(chunks, terms)
+    terms = cut(query_terms(queries))
+    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    frequencies, n, mean_length = corpus_statistics(chunks, terms, small)
     idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weights = terms.join(frequencies, "term").select("qid", "term", (idf * F.col("qtf")).alias("w"))
     tf = F.col("tf") * weight
     gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean_length))))
     found = postings(chunks, keep).select("chunk_id", *keep, "term", gain.alias("gain"))
-    hits = found.join(broadcast_checked(weights), "term")
+    hits = found.join(F.broadcast(weights) if small else weights, "term")
     return hits.groupBy("qid", "chunk_id", *keep).agg(X.rounded(F.sum(F.col("w") * F.col("gain"))).alias("score"))
 
 
@@ -81,8 +86,122 @@ def by_score() -> list:
     return [F.col("score").desc(), F.col("chunk_id")]
 
 
+def _weight_matrix(corpus: DataFrame, terms: DataFrame, qids: list) -> tuple[list, np.ndarray, float]:
+    """Vocabulary, weights by (term, query) and mean chunk length of one corpus."""
+    frequencies, n, mean_length = corpus_statistics(corpus, terms, True)
+    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    rows = terms.join(frequencies, "term").select("qid", "term", (idf * F.col("qtf")).alias("w")).toPandas()
+    vocabulary = sorted(set(rows["term"]))
+    matrix = np.zeros((len(vocabulary), len(qids)))
+    place, column = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(qids)}
+    matrix[rows["term"].map(place).to_numpy(dtype=int), rows["qid"].map(column).to_numpy(dtype=int)] = rows["w"].to_numpy(dtype=float)
+    return vocabulary, matrix, mean_length
+
+
+def _score_terms(terms: pa.Array, vocabulary: list, matrix: np.ndarray, mean_length: float, weight: float) -> np.ndarray:
+    """Scores of one batch of term lists for all queries."""
+    n, size = len(terms), len(vocabulary)
+    scores = np.zeros((n, matrix.shape[1]))
+    if not size:
+        return scores
+    lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(int)
+    index = pc.fill_null(pc.index_in(terms.flatten(), value_set=pa.array(vocabulary)), -1).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(n), lengths)
+    known = index >= 0
+    pairs, tf = np.unique(owner[known] * size + index[known], return_counts=True)
+    owner, term, tf = pairs // size, pairs % size, tf * weight
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length))
+    for low in range(0, n, 256):
+        first, last = np.searchsorted(owner, [low, low + 256])
+        if first < last:
+            part = owner[first:last]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            scores[part[starts]] = np.add.reduceat(matrix[term[first:last]] * gain[first:last, None], starts, axis=0)
+    return scores
+
+
+def _best(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k largest keys, ties by id."""
+    if len(key) > k:
+        floor = np.partition(key, len(key) - k)[len(key) - k]
+        kept = np.flatnonzero(key >= floor)
+    else:
+        kept = np.arange(len(key))
+    return kept[np.lexsort((ids[kept].astype(str), -key[kept]))[:k]]
+
+
+def lexical_topk(
+    chunks: DataFrame, queries: DataFrame, k: int, corpus: DataFrame | None = None, titles: DataFrame | None = None
+) -> DataFrame | None:
+    """(qid, chunk_id, score, title_match): the k best of every task for every query.
+
+    ``chunks``: chunk_id, text and optionally title, scope, day; ``queries``: qid,
+    text and optionally scope, after, before. ``corpus`` and ``titles`` are the
+    texts that statistics are taken from. The query weights travel to the tasks as
+    one matrix; terms are cut on the JVM, and each Arrow batch is scored as a
+    sparse product. No text and no table of queries times chunks is shuffled.
+    Returns None if the weights are too large for that; callers then join.
+    """
+    spark = chunks.sparkSession
+    terms = cut(query_terms(queries))
+    if terms.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return None
+    for name, kind in (("scope", "string"), ("after", "int"), ("before", "int")):
+        if name not in queries.columns:
+            queries = queries.withColumn(name, F.lit(None).cast(kind))
+    asked = queries.join(F.broadcast(terms.select("qid").distinct()), "qid", "left_semi").select(
+        "qid", "scope", "after", "before").toPandas()
+    if len(asked) * terms.select("term").distinct().count() > MATRIX_CELLS:
+        return None
+    qids = asked["qid"].tolist()
+    weights = _weight_matrix(chunks if corpus is None else corpus, terms, qids)
+    title_weights = None if titles is None else _weight_matrix(titles, terms, qids)
+    side = {**_filter_side(asked), "weights": weights, "titles": title_weights}
+    shared = spark.sparkContext.broadcast(side)
+    for name, kind in (("title", "string"), ("scope", "string"), ("day", "int")):
+        if name not in chunks.columns:
+            chunks = chunks.withColumn(name, F.lit(None).cast(kind))
+    rows = chunks.select(
+        "chunk_id", X.search_terms(F.col("text")).alias("terms"), X.search_terms(F.col("title")).alias("title_terms"), "scope", "day")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = shared.value
+        step = max(1, 2_000_000 // max(1, len(given["qid"])))
+        for whole in batches:
+            for low in range(0, whole.num_rows, step):
+                yield _score_batch(whole.slice(low, step), given, k)
+
+    return rows.mapInArrow(score, "qid long, chunk_id string, score double, title_match int")
+
+
+def _score_batch(batch: pa.RecordBatch, side: dict, k: int) -> pa.RecordBatch:
+    raw = _score_terms(batch.column("terms"), *side["weights"], 1.0)
+    scores, matched, titled = np.round(raw, 6), raw > 0, np.zeros(raw.shape, dtype=bool)
+    if side["titles"] is not None:
+        title = _score_terms(batch.column("title_terms"), *side["titles"], TITLE_WEIGHT)
+        titled = title > 0
+        scores, matched = np.maximum(scores, np.round(title, 6)), matched | titled
+    allowed = matched & _allowed(batch.column("scope").to_pandas(), batch.column("day").to_pandas(), side)
+    ids = np.asarray(batch.column("chunk_id").to_pylist(), dtype=object)
+    out: list[list] = [[], [], [], []]
+    for column, qid in enumerate(side["qid"]):
+        rows = np.flatnonzero(allowed[:, column])
+        if len(rows):
+            # Scores stay far below the offset, so title matches come first.
+            key = scores[rows, column] + titled[rows, column] * 1e6
+            best = rows[_best(key, ids[rows], k)]
+            for target, values in zip(out, ([qid] * len(best), ids[best], scores[best, column], titled[best, column].astype("int32"))):
+                target.extend(values)
+    kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(v, type=t) for v, t in zip(out, kinds)], names=["qid", "chunk_id", "score", "title_match"])
+
+
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return top_per_key(lexical_scores(chunks, queries), ["qid"], by_score(), k)
+    partial = lexical_topk(chunks, queries, k)
+    if partial is None:
+        partial = lexical_scores(chunks, queries)
+    return top_per_key(partial.select("qid", "chunk_id", "score"), ["qid"], by_score(), k)
 
 
 def restrict(scored: DataFrame, queries: DataFrame, versions: DataFrame, sources: DataFrame) -> DataFrame:
@@ -111,8 +230,26 @@ def filtered_bm25(
     chunks: DataFrame, queries: DataFrame, versions: DataFrame, sources: DataFrame, k: int
 ) -> DataFrame:
     """Filters apply before the top-k; document frequencies stay corpus-wide."""
-    scored = lexical_scores(chunks, queries, keep=["document_id"])
-    return top_per_key(restrict(scored, queries, versions, sources), ["qid"], by_score(), k)
+    epoch = F.lit("1970-01-01").cast("date")
+    asked = queries.select(
+        "qid", "text", F.col("notebook_id").alias("scope"),
+        F.date_diff("date_after", epoch).alias("after"), F.date_diff("date_before", epoch).alias("before"))
+    partial = lexical_topk(scoped_rows(chunks, queries, versions, sources), asked, k, corpus=chunks)
+    if partial is None:
+        scored = lexical_scores(chunks, queries, keep=["document_id"])
+        partial = restrict(scored, queries, versions, sources)
+    return top_per_key(partial.select("qid", "chunk_id", "score"), ["qid"], by_score(), k)
+
+
+def scoped_rows(chunks: DataFrame, queries: DataFrame, versions: DataFrame, sources: DataFrame) -> DataFrame:
+    """Chunks with their day: once without scope, and once per asked notebook they are in."""
+    epoch = F.lit("1970-01-01").cast("date")
+    dated = chunks.join(versions.select("document_id", F.date_diff("publication_date", epoch).alias("day")), "document_id")
+    wanted = queries.select(F.col("notebook_id").alias("scope")).filter("scope is not null").distinct()
+    members = sources.select(F.col("notebook_id").alias("scope"), "document_id").join(
+        broadcast_checked(wanted), "scope", "left_semi").distinct()
+    free = dated.withColumn("scope", F.lit(None).cast("string"))
+    return free.unionByName(dated.join(members, "document_id").select(free.columns))
 
 
 def with_titles(chunks: DataFrame, titles: DataFrame, queries: DataFrame) -> DataFrame:
@@ -126,6 +263,15 @@ def with_titles(chunks: DataFrame, titles: DataFrame, queries: DataFrame) -> Dat
         F.max("score").alias("score"), F.max("title_match").alias("title_match"))
 
 
+def titled_topk(chunks: DataFrame, titles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Best k of every query and task by title match, then score; a superset of the tiers.
+
+    ``chunks``: chunk_id, text, title. Both branches are scored in one pass.
+    """
+    partial = lexical_topk(chunks, queries, k, titles=titles)
+    return with_titles(chunks, titles, queries) if partial is None else partial
+
+
 def title_tier_topk(scored: DataFrame, k: int) -> DataFrame:
     """Select k by title match, then score; emit in score order."""
     tier = [F.col("title_match").desc(), *by_score()]
@@ -133,12 +279,9 @@ def title_tier_topk(scored: DataFrame, k: int) -> DataFrame:
     return top_per_key(bounded.drop("tier"), ["qid"], by_score(), k)
 
 
-def _query_side(queries: pd.DataFrame) -> dict:
-    vectors = np.vstack([np.asarray(v, dtype=np.float64) for v in queries["vec"]])
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+def _filter_side(queries: pd.DataFrame) -> dict:
     return {
         "qid": queries["qid"].to_numpy(),
-        "unit": vectors / np.where(norms == 0, 1.0, norms),
         "scope": queries["scope"].where(queries["scope"].notna(), "").to_numpy(dtype=object),
         "after": pd.to_numeric(queries["after"]).fillna(-np.inf).to_numpy(dtype=float),
         "before": pd.to_numeric(queries["before"]).fillna(np.inf).to_numpy(dtype=float),
@@ -146,32 +289,38 @@ def _query_side(queries: pd.DataFrame) -> dict:
     }
 
 
+def _query_side(queries: pd.DataFrame) -> dict:
+    vectors = np.vstack([np.asarray(v, dtype=np.float64) for v in queries["vec"]])
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return {**_filter_side(queries), "unit": vectors / np.where(norms == 0, 1.0, norms)}
+
+
+def _allowed(scope: pd.Series, day: pd.Series, side: dict) -> np.ndarray:
+    """Which (chunk, query) pairs pass scope and dates; a missing date fails closed."""
+    own = scope.where(scope.notna(), "").to_numpy(dtype=object)
+    same = own[:, None] == side["scope"][None, :]
+    days = pd.to_numeric(day).to_numpy(dtype=float)[:, None]
+    with np.errstate(invalid="ignore"):
+        inside = (days >= side["after"][None, :]) & (days <= side["before"][None, :])
+    return same & (inside | ~side["dated"][None, :])
+
+
 def _partial_topk(chunks: pd.DataFrame, side: dict, k: int) -> pd.DataFrame:
     """Best k chunks of one batch for every query, ties by id."""
-    out = []
-    for scope, rows in chunks.groupby(chunks["scope"].fillna(""), sort=False):
-        picked = np.flatnonzero(side["scope"] == scope)
-        if not len(picked):
-            continue
-        vectors = np.vstack([np.asarray(v, dtype=np.float64) for v in rows["vec"]])
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        scores = np.round((vectors / np.where(norms == 0, 1.0, norms)) @ side["unit"][picked].T, 6) + 0.0
-        days = pd.to_numeric(rows["day"]).to_numpy(dtype=float)
-        ids = rows["chunk_id"].to_numpy(dtype=object)
-        for column, query in enumerate(picked):
-            mask = np.ones(len(ids), dtype=bool)
-            if side["dated"][query]:
-                mask = (days >= side["after"][query]) & (days <= side["before"][query])
-            index = np.flatnonzero(mask)
-            if not len(index):
-                continue
-            order = np.lexsort((ids[index].astype(str), -scores[index, column]))[:k]
-            best = index[order]
-            out.append(pd.DataFrame({"qid": side["qid"][query], "chunk_id": ids[best], "score": scores[best, column]}))
-    if not out:
-        return pd.DataFrame({"qid": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype=object),
-                             "score": pd.Series(dtype="float64")})
-    return pd.concat(out, ignore_index=True)
+    vectors = np.vstack([np.asarray(v, dtype=np.float64) for v in chunks["vec"]])
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = np.round((vectors / np.where(norms == 0, 1.0, norms)) @ side["unit"].T, 6) + 0.0
+    allowed = _allowed(chunks["scope"], chunks["day"], side)
+    ids = chunks["chunk_id"].to_numpy(dtype=object)
+    out: list[list] = [[], [], []]
+    for column, qid in enumerate(side["qid"]):
+        rows = np.flatnonzero(allowed[:, column])
+        if len(rows):
+            best = rows[_best(scores[rows, column], ids[rows], k)]
+            for target, values in zip(out, ([qid] * len(best), ids[best], scores[best, column])):
+                target.extend(values)
+    return pd.DataFrame({
+        "qid": pd.Series(out[0], dtype="int64"), "chunk_id": pd.Series(out[1], dtype=object), "score": pd.Series(out[2], dtype="float64")})
 
 
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = DENSE_BLOCK) -> DataFrame:
@@ -203,9 +352,10 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = DENSE
         shared = spark.sparkContext.broadcast(_query_side(head))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            step = max(1, 2_000_000 // len(shared.value["qid"]))
             for batch in batches:
-                if len(batch):
-                    yield _partial_topk(batch, shared.value, k)
+                for low in range(0, len(batch), step):
+                    yield _partial_topk(batch.iloc[low:low + step], shared.value, k)
 
         partial = left.mapInPandas(score, schema)
     else:
@@ -238,17 +388,11 @@ def filtered_dense(
 ) -> DataFrame:
     """Cosine top-k among the chunks that pass each query's filters."""
     epoch = F.lit("1970-01-01").cast("date")
-    dated = vectors.join(versions.select("document_id", "publication_date"), "document_id").withColumn(
-        "day", F.date_diff("publication_date", epoch))
-    wanted = queries.select(F.col("notebook_id").alias("scope")).filter("scope is not null").distinct()
-    members = sources.select(F.col("notebook_id").alias("scope"), "document_id").join(
-        broadcast_checked(wanted), "scope", "left_semi").distinct()
-    scoped = dated.join(members, "document_id").select("chunk_id", "vec", "scope", "day")
-    free = dated.select("chunk_id", "vec", F.lit(None).cast("string").alias("scope"), "day")
+    rows = scoped_rows(vectors, queries, versions, sources).select("chunk_id", "vec", "scope", "day")
     asked = queries.join(query_vectors, "qid").select(
         "qid", "vec", F.col("notebook_id").alias("scope"),
         F.date_diff("date_after", epoch).alias("after"), F.date_diff("date_before", epoch).alias("before"))
-    return dense_topk(free.unionByName(scoped), asked, k)
+    return dense_topk(rows, asked, k)
 
 
 def ann_topk(

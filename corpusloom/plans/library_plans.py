@@ -236,12 +236,12 @@ def ir_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Even sources are stored; all lines arrive upper-cased, German ones twice."""
+    """Even sources are stored; all lines arrive with a new ending, German ones twice."""
     lib = Library(spark, d)
     rows = lib.passages().select("chunk_id", "version_id", "text", "source_name")
     stored = rows.filter("source_name < 'src5'")
     repeated = lib.documents().filter("lang = 'de'").select(F.concat(F.col("doc_id").cast("string"), F.lit(".1")).alias("version_id"))
-    batch = rows.withColumn("text", F.upper("text"))
+    batch = rows.withColumn("text", F.concat("text", F.lit(" (new)")))
     batch = batch.unionByName(batch.join(repeated, "version_id", "left_semi").select(batch.columns))
     merged, refused = B.upsert_chunks(stored, batch)
     return merged.select("chunk_id", "version_id", F.sha2("text", 256).alias("digest"), F.lit("chunk").alias("kind")).unionByName(
@@ -438,7 +438,7 @@ ORACLES = {
         SELECT CAST(doc_id AS VARCHAR) || '.1' AS version_id, sha256(text) AS digest FROM documents
         UNION ALL SELECT CAST(doc_id AS VARCHAR) || '.1', sha256(CASE WHEN lang = 'de' THEN lower(text) ELSE text END) FROM documents) GROUP BY 1 HAVING count(DISTINCT digest) > 1""",
     "upsert_chunks": oracle("""
-        SELECT chunk_id, version_id, sha256(CASE WHEN german THEN text ELSE upper(text) END) AS digest, 'chunk' AS kind FROM rows_in WHERE NOT german OR source_name < 'src5'
+        SELECT chunk_id, version_id, sha256(CASE WHEN german THEN text ELSE text || ' (new)' END) AS digest, 'chunk' AS kind FROM rows_in WHERE NOT german OR source_name < 'src5'
         UNION ALL SELECT DISTINCT '', version_id, '', 'refused' FROM rows_in WHERE german""",
         rows_in="SELECT p.*, lang = 'de' AS german FROM passages p JOIN documents d ON CAST(d.doc_id AS VARCHAR) = p.document_id"),
     "merge_filters": oracle("""

@@ -123,7 +123,7 @@ def _title_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 def _title_tier(spark: SparkSession, d: str) -> DataFrame:
     s = Search(Library(spark, d))
-    return Q.title_tier_topk(s.lexical(), K)
+    return Q.title_tier_topk(Q.titled_topk(s.titled(), s.lib.titles(), s.queries, K), K)
 
 
 def _cosine(spark: SparkSession, d: str) -> DataFrame:

@@ -28,12 +28,17 @@ class Search:
         return self.lib.passages().select(
             "chunk_id", "document_id", F.concat_ws(" ", "text", "source_name").alias("text"))
 
+    def titled(self) -> DataFrame:
+        """Searched passages with the title of their document."""
+        titles = self.lib.versions().select("document_id", "title")
+        return self.indexed().join(titles, "document_id")
+
     def lexical(self, queries: DataFrame | None = None) -> DataFrame:
         return Q.with_titles(self.indexed(), self.lib.titles(), self.queries if queries is None else queries)
 
     def sparse(self) -> DataFrame:
         wanted = self.queries.filter("mode in ('sparse', 'hybrid')")
-        return Q.title_tier_topk(self.lexical(wanted), self.stream_k)
+        return Q.title_tier_topk(Q.titled_topk(self.titled(), self.lib.titles(), wanted, self.stream_k), self.stream_k)
 
     def dense(self) -> DataFrame:
         wanted = self.queries.filter("mode in ('dense', 'hybrid')").select("qid")

@@ -40,7 +40,10 @@ class Library:
 
     # -- documents ---------------------------------------------------------
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        """Texts; fewer files than cores are spread, as work on text is heavy."""
+        docs = self.read("documents")
+        cores = self.spark.sparkContext.defaultParallelism
+        return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
     def versions(self) -> DataFrame:
         doc = F.col("doc_id")
