@@ -44,7 +44,10 @@ def promote_parents(streams: DataFrame, chunks: DataFrame) -> DataFrame:
     ids keep their earliest place; ranks are renumbered.
     """
     families = chunks.filter("parent_id is not null").select("chunk_id", "parent_id")
-    placed = streams.join(families, "chunk_id", "left")
+    # The streams are the small side: find their families first, so that the chunk
+    # table is only scanned.
+    own = families.join(broadcast_checked(streams.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    placed = streams.join(own, "chunk_id", "left")
     touched = placed.select("parent_id").filter("parent_id is not null").distinct()
     sizes = families.join(broadcast_checked(touched), "parent_id", "left_semi").groupBy("parent_id").agg(
         F.count("*").alias("size"))

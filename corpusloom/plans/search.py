@@ -67,7 +67,7 @@ class Search:
     def matches(self) -> DataFrame:
         """Title evidence of a candidate, or of the members it replaced."""
         hits = self._flagged().filter("title_match").select("qid", "chunk_id")
-        parents = hits.join(self.lib.passages().select("chunk_id", "parent_id"), "chunk_id").select(
+        parents = self.lib.passages().select("chunk_id", "parent_id").join(broadcast_checked(hits), "chunk_id").select(
             "qid", F.col("parent_id").alias("chunk_id"))
         return hits.unionByName(parents).distinct().withColumn("title_match", F.lit(True))
 
