@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from corpusloom.functions import expr as X
 from corpusloom.functions.scale import broadcast_checked, cut
 
-MIN_LANGUAGE_CHARS = 5
+MIN_LANGUAGE_CHARS, MAX_LANGUAGES = 5, 500
 
 
 def _compose(texts: pd.Series) -> pd.Series:
@@ -63,17 +64,25 @@ def reordinal(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("ordinal", F.row_number().over(window) - 1)
 
 
+def _grams(word: Column) -> Column:
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(padded, i, F.lit(3)))
+
+
 def trigrams(texts: DataFrame, keys: list[str]) -> DataFrame:
     """Character trigrams of every word with its edges, one row each."""
     words = X.unfold(texts, keys, X.search_terms(F.col("text")), "word")
-    padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
-    return X.unfold(words, keys, grams, "gram")
+    return X.unfold(words, keys, _grams(F.col("word")), "gram")
 
 
 def language_profiles(labelled: DataFrame) -> DataFrame:
-    """(lang, gram, n, total, vocabulary) from labelled texts (lang, text)."""
-    counts = trigrams(labelled, ["lang"]).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    """(lang, gram, n, total, vocabulary) from labelled texts (lang, text).
+
+    Words are counted first, combined before the exchange, so that each distinct
+    word of a language is cut into grams once.
+    """
+    words = X.unfold(labelled, ["lang"], X.search_terms(F.col("text")), "word").groupBy("lang", "word").agg(F.count("*").alias("times"))
+    counts = X.unfold(words, ["lang", "times"], _grams(F.col("word")), "gram").groupBy("lang", "gram").agg(F.sum("times").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("vocabulary"))
     # Read for gains and for totals, and far smaller than the texts: stored once.
     return cut(counts.join(broadcast_checked(totals), "lang"))
@@ -83,19 +92,26 @@ def detect_language(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     """Best language per text by smoothed trigram likelihood.
 
     A gram a language has not seen adds ln(1) - ln(total + vocabulary), so only
-    seen grams are joined and the rest enters through the gram count of the text.
-    Texts are hashed by id once; the sums then need no further exchange.
+    seen grams carry a gain and the rest enters through the gram count of the
+    text. Gains of all languages stand in one row per gram: each gram occurrence
+    meets one row, and texts, hashed by id once, are summed in place.
     """
+    totals = profiles.select("lang", (F.col("total") + F.col("vocabulary")).alias("base")).distinct().limit(
+        MAX_LANGUAGES + 1).toPandas()
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError("too many languages in the profiles")
+    languages = sorted(totals["lang"])
+    base = {lang: math.log(n) for lang, n in zip(totals["lang"], totals["base"])}
+    gains = profiles.groupBy("gram").pivot("lang", languages).agg(F.first(F.log(F.col("n") + 1)))
     long_enough = F.length(F.trim("text")) >= MIN_LANGUAGE_CHARS
     rows = texts.filter(long_enough).select("text_id", "text").repartition("text_id")
-    grams = trigrams(rows, ["text_id"]).groupBy("text_id", "gram").agg(F.count("*").alias("times"))
-    known = broadcast_checked(profiles.select("lang", "gram", F.log(F.col("n") + 1).alias("gain")))
-    totals = profiles.select("lang", F.log(F.col("total") + F.col("vocabulary")).alias("base")).distinct()
-    lengths = grams.groupBy("text_id").agg(F.sum("times").alias("length"))
-    gains = grams.join(known, "gram").groupBy("text_id", "lang").agg(F.sum(F.col("times") * F.col("gain")).alias("gain"))
-    scored = gains.join(lengths, "text_id").join(broadcast_checked(totals), "lang").withColumn(
-        "score", X.rounded(F.col("gain") - F.col("length") * F.col("base")))
-    best = scored.groupBy("text_id").agg(F.max_by("lang", F.struct("score", "lang")).alias("lang"))
+    hits = trigrams(rows, ["text_id"]).join(broadcast_checked(gains), "gram", "left")
+    summed = hits.groupBy("text_id").agg(F.count("*").alias("_length"), *[F.sum(f"`{lang}`").alias(lang) for lang in languages])
+    scores = [
+        F.when(F.col(f"`{lang}`").isNotNull(), F.struct(
+            X.rounded(F.col(f"`{lang}`") - F.col("_length") * base[lang]).alias("score"), F.lit(lang).alias("lang")))
+        for lang in languages]
+    best = summed.select("text_id", F.array_max(F.array(*scores))["lang"].alias("lang"))
     return texts.select("text_id").join(best, "text_id", "left")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
-from corpusloom.functions.scale import ensure_checkpoint_dir
+from corpusloom.functions.scale import cut, ensure_checkpoint_dir
 from corpusloom.operators import chunk as H
 from corpusloom.operators import library as B
 
@@ -65,13 +65,16 @@ def ingest_stream(docs: DataFrame, folder: str, target: int, maximum: int) -> Da
         decided = B.ingest_decision(
             files.drop("text"), known.filter("decision = 'new_document'").select("document_id", "content_hash"),
             known.select("notebook_id", "document_id"))
-        named = decided.withColumn("row_id", F.col("arrival").cast("string"))
+        named = cut(decided)
         fresh = named.filter("decision = 'new_document'").join(files.select("arrival", "text"), "arrival")
+        # Hash by document once: it spreads a small batch and serves the packing too.
+        fresh = fresh.select("document_id", "text").repartition("document_id")
         blocks = X.unfold(fresh, ["document_id"], X.lines(F.col("text")), "text", "ordinal").select(
             "document_id", "ordinal", F.when(F.length("text") < 60, "heading").otherwise("text").alias("kind"), "text",
             F.when(F.length("text") < 60, F.length("text") % 3 + 1).cast("int").alias("level"), F.lit(None).cast("int").alias("page"))
-        chunks, refused = H.chunk_generic(blocks, target, maximum)
-        chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={batch_id}")
+        limit = H.hard_max(target, maximum)
+        good, refused = H.split_rejects(cut(H.generic_units(blocks, target, limit)), limit)
+        H.pack(good, target, limit).write.mode("overwrite").parquet(f"{folder}/chunks/batch={batch_id}")
         counted = spark.read.parquet(f"{folder}/chunks/batch={batch_id}").groupBy("document_id").agg(F.count("*").alias("chunks"))
         failed = refused.select("document_id").withColumn("failed", F.lit(True))
         named.join(counted, "document_id", "left").join(failed, "document_id", "left").select(
