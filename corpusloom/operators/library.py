@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import expr as X
 from corpusloom.functions.scale import broadcast_checked, running_number, top_per_key
 
-# Fixed value: namespace of the blob identifiers is the URL namespace by default.
+# Fixed value: a listing shows at most this many sources.
 SOURCE_COUNT_CAP = 1000
 
 
@@ -266,7 +266,8 @@ def upsert_chunks(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataF
     return merged, repeated
 
 
-def write_chunk_tables(chunks: DataFrame, folder: str) -> None:
-    """The chunk sink: chunks by version, with the filter and title tables beside them."""
-    chunks.repartition("version_id").sortWithinPartitions("version_id", "ordinal").write.mode("overwrite").parquet(
-        f"{folder}/chunks")
+def write_chunk_tables(chunks: DataFrame, filters: DataFrame, titles: DataFrame, folder: str) -> None:
+    """The chunk sink: chunks by version and position, filter and title tables beside them."""
+    tables = {"chunks": (chunks, ["version_id", "ordinal"]), "chunk_filters": (filters, ["document_id"]), "chunk_titles": (titles, ["chunk_id"])}
+    for name, (df, order) in tables.items():
+        df.repartition(order[0]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -308,3 +308,21 @@ def test_custom_token_counter_and_vectoriser(spark):
     lookup = E.cache_lookup(texts, cache, "m", "2025-01-01 00:00:00", 2)
     new = E.embed_missing(texts, lookup, "m", lambda batch: [[float(len(t)), 1.0] for t in batch])
     assert new.count() == 2 and np.allclose(new.first().vector, [1.0, 1.0])
+
+
+def test_chunk_sink_writes_three_tables(spark, folder, tmp_path):
+    from corpusloom.operators import filters as P
+
+    lib = tables.Library(spark, folder)
+    chunks = lib.passages()
+    B.write_chunk_tables(chunks, lib.versions(), P.title_projection(chunks, lib.versions()), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/chunks").count() == chunks.count()
+    assert spark.read.parquet(f"{tmp_path}/chunk_filters").count() == lib.documents().count()
+    assert spark.read.parquet(f"{tmp_path}/chunk_titles").count() > 0
+
+
+def test_sibling_violations(spark):
+    chunks = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q"), ("r", None)], "chunk_id string, parent_id string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "a"), ("b", "r")], "chunk_id string, sibling_id string")
+    got = {(r.chunk_id, r.sibling_id, r.problem) for r in R.sibling_violations(chunks, pairs).collect()}
+    assert got == {("a", "c", "other family"), ("c", "a", "other family"), ("b", "r", "not symmetric"), ("b", "r", "other family")}
