@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.scale import ensure_checkpoint_dir
+
 #: A word is a run of anything but ASCII white space, as ``bytes.split()`` cuts it.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
@@ -113,3 +116,33 @@ class Rolling:
 
 def signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
+
+
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word of the texts; no word spans two texts."""
+    n = len(data)
+    opens = np.zeros(n + 1, bool)
+    opens[offsets] = True
+    space = SPACE[data]
+    before, after = np.ones(n, bool), np.ones(n, bool)
+    before[1:], after[:-1] = space[:-1], space[1:]
+    ink = ~space
+    return np.flatnonzero(ink & (before | opens[:n])), np.flatnonzero(ink & (after | opens[1:])) + 1
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a compressed table in the shared folder; smaller than a checkpoint for texts."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,7 +22,6 @@ NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: verdict: of three lines, one short line that recurs would be a third.
 LINE_CHAR_SHARE = 0.20
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
-SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -57,14 +56,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     def per_doc(doc: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(doc, weights=weights, minlength=docs).astype(np.int64)
 
-    opens = np.zeros(n + 1, bool)
-    opens[offsets] = True
-    space = SPACE[data]
-    after = np.ones(n + 1, bool)
-    after[1:] = space
-    ink = ~space
-    start = np.flatnonzero(ink & (after[:n] | opens[:n]))
-    stop = np.flatnonzero(ink & (np.append(space[1:], True) | opens[1:])) + 1
+    start, stop = C.word_bounds(data, offsets)
     point = np.zeros(n + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=point[1:])
     symbol = np.zeros(n + 1, np.int64)

@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, quality, sharding, syncmers
+from corpusloom.llm import mixing, near, quality, sharding, syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_sharding": sharding.query,
         "op5_quality_rules": quality.query,
+        "op8_near_dedup": near.query,
         "op9_mixing": mixing.query,
         "op10_fingerprints": syncmers.query,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op9_mixing": mixing.SQL}
+    return {"op8_near_dedup": near.SQL, "op9_mixing": mixing.SQL}
