@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, near, quality, sharding, syncmers
+from corpusloom.llm import mixing, near, quality, repeats, sharding, syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_suffix_dedup": repeats.query,
         "op4_sharding": sharding.query,
         "op5_quality_rules": quality.query,
         "op8_near_dedup": near.query,
