@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, near, quality, repeats, sharding, syncmers
+from corpusloom.llm import mixing, near, quality, repeats, sharding, syncmers, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": repeats.query,
         "op4_sharding": sharding.query,
         "op5_quality_rules": quality.query,
+        "op6_toxicity": toxicity.query,
         "op8_near_dedup": near.query,
         "op9_mixing": mixing.query,
         "op10_fingerprints": syncmers.query,
