@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, near, quality, repeats, sharding, syncmers, toxicity
+from corpusloom.llm import mixing, near, packing, quality, repeats, secrets, sharding, syncmers, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": secrets.query,
         "op2_suffix_dedup": repeats.query,
+        "op3_packing": packing.query,
         "op4_sharding": sharding.query,
         "op5_quality_rules": quality.query,
         "op6_toxicity": toxicity.query,
