@@ -55,8 +55,8 @@ def offset(source: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def copies(docs: DataFrame, keep: list[str] = (), weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies for every row.
+def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """doc_id, size, source, tag (a hash of the text), source_size, target, copies for every row.
 
     Null texts have size 0; a null source is a source of its own, after all others.
     A source of size 0 has target 0 and takes nothing. Repeated rows stand one
@@ -64,9 +64,9 @@ def copies(docs: DataFrame, keep: list[str] = (), weights: tuple[int, ...] = WEI
     result. Positions come from a range sort and counters per partition, so that no
     source is sorted in one task.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    ranged = rows.repartitionByRange(F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_last())
-    placed = cut(ranged.sortWithinPartitions(F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_last()))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_tag().alias("tag"))
+    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_last(), F.col("tag").asc()]
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order))
     number = F.monotonically_increasing_id()
     placed = placed.select(
         "*", F.shiftright(number, 33).alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
@@ -81,7 +81,23 @@ def copies(docs: DataFrame, keep: list[str] = (), weights: tuple[int, ...] = WEI
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     position = (F.col("at") + F.col("skip")).cast("double")
     crossed = F.floor((position + 1) * rate + offset(F.col("source"))) - F.floor(position * rate + offset(F.col("source")))
-    return known.select("doc_id", "size", "source", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"))
+    return known.select("doc_id", "size", "source", "tag", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, each as often as the mixture takes it, with the columns of ``docs``.
+
+    Copies are joined back by id, source and a hash of the text. Rows equal in all
+    three cannot be told apart: each takes the rounded average of their copies.
+    """
+    taken = copies(docs, **settings).groupBy("doc_id", "source", "tag").agg(F.round(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tag").alias("_tag"), "_copies")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (text_tag() == F.col("_tag"))
+    return docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def text_tag() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

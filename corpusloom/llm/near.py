@@ -218,6 +218,22 @@ def dedup(docs: DataFrame, limit: int = LIMIT, text: str = "text") -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def survivors(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs`` whose id stands for its group, one row per id; null ids stay.
+
+    Rows that share an id are one node, so the first of them by text stays.
+    """
+    rows, stars = link_components(docs, limit)
+    gone = rows.join(stars.toDF("rep", "comp"), "rep", "left").filter(F.coalesce("comp", "rep", "doc_id") != F.col("doc_id")).select("doc_id")
+    left = docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    twice = cut(rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return left
+    place = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
+    again = left.join(twice, "doc_id", "left_semi").withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_place")
+    return left.join(twice, "doc_id", "left_anti").unionByName(again.select(*docs.columns)).select(*docs.columns)
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return dedup(C.documents(spark, folder))
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, near, packing, quality, repeats, secrets, sharding, syncmers, toxicity
+import corpus_pipeline
+from corpusloom.llm import mixing, near, packing, quality, repeats, secrets, sharding, syncmers, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,11 +18,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": sharding.query,
         "op5_quality_rules": quality.query,
         "op6_toxicity": toxicity.query,
+        "op7_urls": urls.query,
         "op8_near_dedup": near.query,
         "op9_mixing": mixing.query,
         "op10_fingerprints": syncmers.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_near_dedup": near.SQL, "op9_mixing": mixing.SQL}
+    found = {"op8_near_dedup": near.SQL, "op9_mixing": mixing.SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
