@@ -90,14 +90,15 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     Copies are joined back by id, source and a hash of the text. Rows equal in all
     three cannot be told apart: each takes the rounded average of their copies.
     """
-    taken = copies(docs, **settings).groupBy("doc_id", "source", "tag").agg(F.round(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tag").alias("_tag"), "_copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (text_tag() == F.col("_tag"))
-    return docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = copies(docs, **settings).groupBy("doc_id", "source", "tag").agg(F.round(F.avg("copies")).cast("int").alias("times")).filter("times > 0")
+    rows = docs.select(F.struct("*").alias("row"))  # columns of any name stay inside
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
+    joined = rows.join(taken, same & (text_tag("row.text") == F.col("tag")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
-def text_tag() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def text_tag(name: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(name), F.lit("")))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

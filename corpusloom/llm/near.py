@@ -41,7 +41,8 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]
         word = C.Rolling(data).of(start, stop) + (stop - start).astype(np.uint64) * STEP
         gram = word.copy()
         for i in range(1, width):
-            gram[: len(word) - i] = gram[: len(word) - i] * STEP + word[i:]
+            left = max(len(word) - i, 0)
+            gram[:left] = gram[:left] * STEP + word[i:]
     first = np.searchsorted(start, offsets)
     for lo, hi in zip(first[:-1], first[1:], strict=True):
         if hi - lo >= width:
@@ -225,13 +226,15 @@ def survivors(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     rows, stars = link_components(docs, limit)
     gone = rows.join(stars.toDF("rep", "comp"), "rep", "left").filter(F.coalesce("comp", "rep", "doc_id") != F.col("doc_id")).select("doc_id")
-    left = docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    row = docs.select(F.struct("*").alias("row"))  # columns of any name stay inside
+    left = row.join(gone.distinct(), F.col("row.doc_id") == F.col("doc_id"), "left_anti")
     twice = cut(rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if twice.isEmpty():
-        return left
-    place = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
-    again = left.join(twice, "doc_id", "left_semi").withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_place")
-    return left.join(twice, "doc_id", "left_anti").unionByName(again.select(*docs.columns)).select(*docs.columns)
+        return left.select("row.*")
+    again = left.join(twice, F.col("row.doc_id") == F.col("doc_id"))
+    place = Window.partitionBy("doc_id").orderBy(F.col("row.text").asc_nulls_last(), F.xxhash64("row"))
+    again = again.withColumn("place", F.row_number().over(place)).filter("place = 1").select("row")
+    return left.join(twice, F.col("row.doc_id") == F.col("doc_id"), "left_anti").unionByName(again).select("row.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

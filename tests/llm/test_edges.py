@@ -1,0 +1,84 @@
+"""Every operator on null, empty, repeated and clashing rows, and on empty tables."""
+
+import hashlib
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import mixing, near, packing, quality, repeats, secrets, sharding, syncmers, toxicity, urls
+
+LONG = " ".join(f"w{i % 977}x{i * 31 % 1009}" for i in range(4000))
+ODD = [(1, None, "a"), (2, "", "a"), (3, " \n\t", None), (4, "one two", "b"), (5, LONG, "b"), (5, LONG, "b"), (6, "é" * 50, ""), (None, "kein Name", "b"),
+       (7, None, None), (8, "one two", "c")]
+
+
+@pytest.fixture(scope="module")
+def model(table):
+    return secrets.train(table(ODD))
+
+
+def runs(model):
+    return {
+        "secrets": lambda d: secrets.scan(d, model), "redact": lambda d: secrets.redact(d, model), "repeats": repeats.remove,
+        "packing": packing.pack, "sharding": lambda d: sharding.shard(d, 4), "quality": lambda d: quality.rate(d, keep=["doc_id"]),
+        "near": near.dedup, "survivors": near.survivors, "mixing": mixing.copies, "mix": mixing.mix, "fingerprints": syncmers.compare,
+        "print": syncmers.fingerprint, "toxicity": lambda d: toxicity.score(d, toxicity.Lexicon({" idiot": 5.0}), toxicity.np.ones(6)),
+    }
+
+
+NAMES = sorted(runs(None))
+PER_ROW = {"secrets", "redact", "repeats", "sharding", "quality", "near", "mixing", "fingerprints", "print", "toxicity"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_odd_rows_and_clashing_columns(name, model, table):
+    docs = table(ODD)
+    for extra in ("kept", "size", "bucket", "shard", "text_crc32", "score", "a", "b", "n", "part", "tag", "marks", "spans", "n_words", "_tag"):
+        docs = docs.withColumn(extra, F.lit("clash"))
+    got = runs(model)[name](docs).collect()
+    if name in PER_ROW:
+        assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ODD)
+    if name == "packing":
+        assert {r["doc_id"] for r in got} == {r[0] for r in ODD}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_tables(name, model, table):
+    assert runs(model)[name](table([])).collect() == []
+
+
+def test_results_of_odd_rows(model, table):
+    docs = table(ODD)
+    found = {r["doc_id"]: r for r in secrets.scan(docs, model).collect()}
+    assert found[1]["spans"] == "" and found[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    kept = {r["doc_id"]: r for r in repeats.remove(docs).collect()}
+    assert kept[5]["n_removed"] == len(LONG) and kept[5]["n_spans"] == 1 and kept[1]["n_removed"] == 0 and kept[1]["n_bytes"] == 0
+    tokens = {r["doc_id"]: r for r in packing.pack(docs).collect() if r["doc_tokens"] == 1}
+    assert set(tokens) == {1, 2, 7} and tokens[1]["ids_crc32"] == zlib.crc32(b"\1\0\0\0")
+    near_rows = {r["doc_id"]: r for r in near.dedup(docs).collect()}
+    assert near_rows[1]["n_shingles"] == 0 and near_rows[3]["component_id"] == 3 and near_rows[8]["component_id"] == 4
+    assert near_rows[None]["component_id"] is None and near_rows[None]["kept"]
+    assert Counter(r["doc_id"] for r in near.survivors(docs).collect()) == Counter([1, 2, 3, 4, 5, 6, 7, None])
+    rated = {r["doc_id"]: r for r in quality.rate(docs).collect()}
+    assert rated[1]["n_words"] == 0 and rated[1]["base_failed"] and not rated[1]["kept"]
+    shards = sharding.shard(docs, 4).collect()
+    assert {r["size"] for r in shards if r["doc_id"] in (1, 7)} == {16}
+
+
+def test_urls_odd(spark):
+    rows = [(1, None), (2, ""), (3, "no scheme"), (4, "https://WWW.Example.COM/en/a?x=1#y"), (5, "ftp://a.net"), (6, "https://b.net/es/x"), (6, "https://b.net/es/x"),
+            (None, "http://x.com/"), (7, "http://example.com\n/en/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)).withColumn("label", F.lit(2))
+    got = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    assert (got[4]["host"], got[4]["path"], got[4]["rule"], got[4]["verdict"]) == ("www.example.com", "/en/a", "www.example.com/en/", "allow")
+    assert got[1]["host"] == got[3]["path"] == "" and got[1]["rule"] is None and got[6]["verdict"] == "block"
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
+    assert urls.judge(spark.createDataFrame([(1, "http://x.org/")], "page_id long, url string")).first()["verdict"] == "allow"
+
+
+def test_toxicity_without_labels(spark, table):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    lexicon, weights = toxicity.fit(toxicity.labelled(table(ODD), labels))
+    assert lexicon.weights == {} and toxicity.score(table(ODD), lexicon, weights).count() == len(ODD)
