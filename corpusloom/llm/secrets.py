@@ -30,7 +30,7 @@ KINDS = ("assign", "access", "hex", "markov")
 TOKEN, SAMPLE = 20, 8
 TOKENS, SAMPLES = (re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % n) for n in (TOKEN, SAMPLE))
 #: Natural-log ratio per character at which a token counts as random.
-LEAST = 0.8
+LEAST = 0.6
 #: Share of a model that stands for characters drawn evenly: a random string may use alphabets the samples lack.
 EVEN = {"random": 0.5, "ordinary": 0.02}
 
