@@ -3,10 +3,10 @@
 Equal shingle sets form classes first. The smallest document of a class enters
 one bucket per band. Every bucket proposes a star: its smallest member against the
 others, so pairs grow with the members and not with their square. Links are
-confirmed on full shingle sets. A star can miss a link between two leaves; as long
-as a bucket holds members of several components, members outside its largest
-component become further centres (2, 4, 8, ... per bucket), until all of them have
-been compared. Nothing is capped.
+confirmed on full shingle sets. A star can miss a link between two leaves. Where a
+bucket still holds several components, its members outside the largest one are
+compared with the others inside tasks, in blocks of bounded size, and only pairs
+that are links come out. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ ATTEMPTS = 64
 DONOR = (C.mixed(np.arange(1, BINS * ATTEMPTS + 1, dtype=np.uint64)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, ATTEMPTS)
 #: Members of one centre that are compared in one group; further ones go to groups of their own.
 GROUP = 64
+#: Hashes that one side of a block holds.
+BLOCK = 1 << 18
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -130,8 +132,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, limit: int = LIMIT) -> DataFrame
                     both = len(np.intersect1d(centre, values, assume_unique=True))
                     if 100 * both >= limit * (len(centre) + len(values) - both):
                         out.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+            yield pair_batch(out)
 
     return rows.select("a", "g", "b", "text").mapInArrow(run, "a long, b long")
 
@@ -181,27 +182,91 @@ def link_components(docs: DataFrame, limit: int = LIMIT, text: str = "text") ->
     pairs = members.filter("rep <> a").select("a", F.col("rep").alias("b"), "n_a", F.col("n").alias("n_b"))
     tested = cut(pairs.filter(compatible(limit)).select("a", "b").distinct())
     stars = components(confirm(tested, texts, limit))
-    members = members.select("bucket", "rep", "n")
-    centres = 1
-    while True:
-        centres *= 2
-        placed = members.join(stars.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-        torn = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-        open_ = cut(placed.join(torn.select("bucket", "main"), "bucket"))
-        ranked = open_.filter("comp <> main").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")))
-        chosen = ranked.filter(F.col("rank") <= centres).select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-        fresh = open_.join(chosen, "bucket").withColumn("n_b", F.col("n")).filter("comp <> comp_a").filter(compatible(limit)).select(
-            F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"))
-        more = not ranked.filter(F.col("rank") > centres).isEmpty()
-        if not fresh.isEmpty():
-            found = cut(confirm(fresh, texts, limit))
-            tested = tested.union(fresh)
-            if not found.isEmpty():
-                stars = components(stars.union(found))
-        if not more:
-            return rows, stars
+    fresh = torn_pairs(members.select("bucket", "rep", "n"), stars, texts, limit)
+    return rows, components(stars.union(confirm(cut(fresh), texts, limit)))
+
+
+def torn_pairs(members: DataFrame, stars: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
+    """Linked pairs (a, b) inside buckets that hold several components.
+
+    Of any two members of different components one is outside the largest
+    component of the bucket. These and all members are dealt to a grid of blocks
+    whose sides hold a bounded number of hashes; a block counts the common
+    hashes of its pairs from an index of the outer side.
+    """
+    placed = members.join(stars.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    counts = placed.groupBy("bucket", "comp").agg(F.sum("n").alias("hashes"))
+    torn = counts.groupBy("bucket").agg(
+        F.max(F.struct("hashes", "comp")).alias("main"), F.sum("hashes").alias("total"), F.count("*").alias("parts")).filter("parts > 1")
+    grid = torn.select(
+        "bucket", F.col("main.comp").alias("main"), F.ceil((F.col("total") - F.col("main.hashes")) / BLOCK).alias("tall"),
+        F.ceil(F.col("total") / BLOCK).alias("wide"))
+    spot = placed.join(grid, "bucket").select(
+        "bucket", "rep", "n", "comp", (F.col("comp") != F.col("main")).alias("outer"), "tall", "wide",
+        F.pmod(F.xxhash64("rep"), "tall").alias("i"), F.pmod(F.xxhash64("rep", F.lit(1)), "wide").alias("j"))
+    row = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda y: F.struct(F.col("i").cast("long").alias("x"), y.cast("long").alias("y")))
+    column = F.transform(F.sequence(F.lit(0), F.col("tall") - 1), lambda x: F.struct(x.cast("long").alias("x"), F.col("j").cast("long").alias("y")))
+    blocks = spot.select("*", F.explode(F.array_distinct(F.concat(F.when(F.col("outer"), row).otherwise(F.slice(row, 1, 0)), column))).alias("at"))
+    blocks = blocks.select(
+        "bucket", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "rep", "comp",
+        (F.col("outer") & (F.col("at.x") == F.col("i"))).alias("outer"), (F.col("at.y") == F.col("j")).alias("inner"))
+    short = texts.select("doc_id", "text").mapInArrow(short_sets, "doc_id long, hashes binary")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = blocks.join(short, blocks.rep == short.doc_id).drop("doc_id").repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = None, []
+        for part in C.slices(batches, "hashes"):
+            found: list[tuple[int, int]] = []
+            columns = (part.column(c).to_pylist() for c in ("bucket", "x", "y", "rep", "comp", "outer", "inner", "hashes"))
+            for bucket, x, y, *member in zip(*columns, strict=True):
+                if held != (bucket, x, y):
+                    found += links_of_block(group, limit)
+                    held, group = (bucket, x, y), []
+                group.append(member)
+            yield pair_batch(found)
+        yield pair_batch(links_of_block(group, limit))
+
+    return ready.select("bucket", "x", "y", "rep", "comp", "outer", "inner", "hashes").mapInArrow(run, "a long, b long").distinct()
+
+
+def short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as 32-bit hashes: enough to find links, which are confirmed on whole hashes."""
+    for part in C.slices(batches, "text"):
+        sets = [np.unique((v >> np.uint64(32)).astype(np.uint32)).tobytes() for v in shingle_sets(part.column("text"))]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
+
+
+def pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def links_of_block(group: list[list], limit: int) -> list[tuple[int, int]]:
+    """Pairs of an outer and an inner member of different components whose short sets are similar enough."""
+    outer = [m for m in group if m[2]]
+    if not outer or len(group) < 2:
+        return []
+    sets = [np.frombuffer(m[4], np.uint32) for m in outer]
+    sizes, comps, reps = np.array([len(s) for s in sets]), np.array([m[1] for m in outer]), [m[0] for m in outer]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    out = []
+    for rep, comp, _, inner, raw in group:
+        if not inner:
+            continue
+        own = np.frombuffer(raw, np.uint32)
+        open_ = (comps != comp) & (100 * np.minimum(sizes, len(own)) >= limit * np.maximum(sizes, len(own)) - 100)
+        if not open_.any():
+            continue
+        lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+        width = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        for o in np.flatnonzero(open_ & (100 * (both + 1) >= limit * (sizes + len(own) - both - 1))):
+            out.append((min(rep, reps[o]), max(rep, reps[o])))
+    return out
 
 
 def dedup(docs: DataFrame, limit: int = LIMIT, text: str = "text") -> DataFrame:
