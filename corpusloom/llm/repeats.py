@@ -33,8 +33,9 @@ from corpusloom.llm import common as C
 from corpusloom.llm.syncmers import sliding_min
 
 MATCH, TRIGGER = 400, 64
-#: Occurrences of a trigger up to which its entries are sorted in one group.
-GROUP = 1000
+#: Occurrences of a trigger up to which its entries are sorted in one group: an entry has at
+#: most 2 * MATCH - TRIGGER bytes, so a group at most 6 MB.
+GROUP = 8000
 SORT_BYTES = 1 << 20
 LOW32 = np.uint64(0xFFFFFFFF)
 
