@@ -8,25 +8,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it is seen to hold at most ``max_rows`` rows.
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when it is seen to hold at most ``max_rows`` rows and ``max_bytes`` bytes.
 
-    A larger side is returned unhinted, so that the join shuffles on its key and
-    adaptive execution splits skewed partitions.
+    The rows looked at are stored, so a small side is computed once. A larger side
+    is returned unhinted: the join shuffles on its key and adaptive execution
+    splits skewed partitions.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    head = cut(df.limit(max_rows + 1))
+    size = F.sum(F.length(F.to_json(F.struct("*"))) + 16 * len(df.columns))
+    rows, size = head.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(head) if rows <= max_rows and size <= max_bytes else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only if unset."""
+    """Use the shared folder the cluster names. Only a local master may do without one."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusloom-ckpt-"))
 
 

@@ -9,7 +9,7 @@ from corpusloom.functions import expr as X
 from corpusloom.functions.expr import TokenCounter
 
 # Leading items that are all or nothing, candidates per query.
-MANDATORY, MAX_CANDIDATES = 3, 100
+MANDATORY = 3
 MARKER = r"\[source:([1-9][0-9]*)\]"
 
 
@@ -36,9 +36,8 @@ def build_context(
     """One row per query with its packed items.
 
     ``queries``: qid, query, budget. ``candidates``: qid, rank, chunk_id,
-    document_id, version_id, title, heading_path, page, text; at most
-    MAX_CANDIDATES per query, so the ordered array of a query is bounded. The
-    first three items go in together or not at all; later ones are skipped if they
+    document_id, version_id, title, heading_path, page, text; the ranked
+    candidates of a query stand in one array. The first three items go in together or not at all; later ones are skipped if they
     do not fit. A source number takes one token whatever its digits, so costs do
     not depend on the selection.
     """

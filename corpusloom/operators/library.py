@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from corpusloom.functions import expr as X
 from corpusloom.functions.scale import broadcast_checked, running_number, top_per_key
 
-# Fixed value: a listing shows at most this many sources.
-SOURCE_COUNT_CAP = 1000
-
 
 def keyset_page(df: DataFrame, key: str, cursor: str | None, limit: int) -> DataFrame:
     """The page after ``cursor``; ``next_cursor`` is set only if more rows follow.
@@ -37,10 +34,11 @@ def turn_pages(turns: DataFrame, anchors: DataFrame, limit: int) -> DataFrame:
     return top_per_key(later, ["session_id"], [F.col("sequence")], limit, "n")
 
 
-def counts_by_notebook(notebooks: DataFrame, sources: DataFrame) -> DataFrame:
+def counts_by_notebook(notebooks: DataFrame, sources: DataFrame, cap: int | None = None) -> DataFrame:
+    """Number of sources of each notebook; a listing that shows no more than ``cap`` may say so."""
     counted = sources.groupBy("notebook_id").agg(F.count("*").alias("n"))
     return notebooks.join(counted, "notebook_id", "left").select(
-        "notebook_id", F.least(F.coalesce("n", F.lit(0)), F.lit(SOURCE_COUNT_CAP)).alias("source_count"))
+        "notebook_id", F.least(F.coalesce("n", F.lit(0)), F.lit(cap)).alias("source_count"))
 
 
 def notebook_summary(notebooks: DataFrame, insights: DataFrame, sources: DataFrame, versions: DataFrame) -> DataFrame:

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import expr as X
 from corpusloom.functions.scale import broadcast_checked, top_per_key
 
-# Fusion constant, relevance and diversity thresholds, candidate bound.
+# Fusion constant, relevance and diversity thresholds.
 RRF_K = 60
 RELEVANCE_THRESHOLD = 0.4
 DIVERSITY_THRESHOLD = 0.5
-MAX_CANDIDATES = 100
 
 
 def expand_modes(queries: DataFrame) -> DataFrame:
@@ -124,36 +123,46 @@ def overlap_logit(query: Column, text: Column) -> Column:
     return X.rounded(F.lit(8.0) * F.size(found) / F.greatest(F.size(asked), F.lit(1)) - 4.0)
 
 
-def rerank(candidates: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """Order by title tier, relevance, fused rank and id; nothing is dropped below ``limit``.
+def rerank(candidates: DataFrame, limit: int | None = None) -> DataFrame:
+    """Order by title tier, relevance, fused rank and id; all candidates stay unless ``limit`` is given.
 
     ``candidates``: qid, chunk_id, rank, title_match, logit. A candidate without a
     logit keeps its fused place, and its policy says so.
     """
     scored = candidates.withColumn("relevance", X.rounded(X.sigmoid(F.col("logit"))))
-    order = [
-        F.coalesce(F.col("title_match"), F.lit(False)).cast("int").desc(),
-        F.coalesce(F.col("relevance"), F.lit(-1.0)).desc(), F.col("rank"), F.col("chunk_id")]
-    ranked = top_per_key(scored, ["qid"], order, limit, "reranked")
+    order = tier_order(F.coalesce(F.col("relevance"), F.lit(-1.0)))
+    if limit is None:
+        ranked = scored.withColumn("reranked", F.row_number().over(W.partitionBy("qid").orderBy(*order)))
+    else:
+        ranked = top_per_key(scored, ["qid"], order, limit, "reranked")
     return ranked.withColumn("below_threshold", F.col("relevance") < RELEVANCE_THRESHOLD)
 
 
+def tier_order(relevance: Column) -> list[Column]:
+    """Title matches first, then relevance, fused rank and id."""
+    return [F.coalesce(F.col("title_match"), F.lit(False)).cast("int").desc(), relevance.desc(), F.col("rank"), F.col("chunk_id")]
+
+
 def rerank_or_keep(fused: DataFrame, scores: DataFrame) -> DataFrame:
-    """Rerank queries whose candidates are all scored; keep the fused order of the rest."""
+    """Rerank queries whose candidates are all scored; keep the fused order of the rest.
+
+    ``fused``: qid, chunk_id, rank, title_match.
+    """
     joined = fused.join(scores, ["qid", "chunk_id"], "left")
     unscored = joined.groupBy("qid").agg(F.bool_or(F.col("logit").isNull()).alias("unscored"))
     marked = joined.join(unscored, "qid").withColumn(
         "relevance", F.when(~F.col("unscored"), X.rounded(X.sigmoid(F.col("logit")))))
-    order = [F.coalesce(F.col("relevance"), F.lit(0.0)).desc(), F.col("rank"), F.col("chunk_id")]
-    return top_per_key(marked, ["qid"], order, MAX_CANDIDATES, "reranked").withColumn(
+    tier = F.when(~F.col("unscored") & F.coalesce(F.col("title_match"), F.lit(False)), 1).otherwise(0)
+    order = [tier.desc(), F.coalesce(F.col("relevance"), F.lit(0.0)).desc(), F.col("rank"), F.col("chunk_id")]
+    return marked.withColumn("reranked", F.row_number().over(W.partitionBy("qid").orderBy(*order))).withColumn(
         "policy", F.when(F.col("unscored"), "rrf_fallback").otherwise("scored"))
 
 
 def diverse_order(candidates: DataFrame) -> DataFrame:
     """Give every relevant source its best chunk first, then the pure order.
 
-    ``candidates``: qid, chunk_id, source_name, relevance, title_match, rank; at
-    most MAX_CANDIDATES per query, so windows by query are bounded.
+    ``candidates``: qid, chunk_id, source_name, relevance, title_match, rank. The
+    windows are by query, over the candidates that fusion lets through.
     """
     query = W.partitionBy("qid")
     source = W.partitionBy("qid", "source_name")

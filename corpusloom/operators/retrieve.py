@@ -272,6 +272,25 @@ def titled_topk(chunks: DataFrame, titles: DataFrame, queries: DataFrame, k: int
     return with_titles(chunks, titles, queries) if partial is None else partial
 
 
+def filtered_titled_topk(
+    chunks: DataFrame, titles: DataFrame, queries: DataFrame, versions: DataFrame, sources: DataFrame, k: int, corpus: DataFrame
+) -> DataFrame:
+    """``titled_topk`` among the chunks that pass each query's filters.
+
+    ``chunks``: chunk_id, document_id, text, title; ``corpus``: the texts that
+    statistics are taken from.
+    """
+    epoch = F.lit("1970-01-01").cast("date")
+    asked = queries.select(
+        "qid", "text", F.col("notebook_id").alias("scope"),
+        F.date_diff("date_after", epoch).alias("after"), F.date_diff("date_before", epoch).alias("before"))
+    partial = lexical_topk(scoped_rows(chunks, queries, versions, sources), asked, k, corpus=corpus, titles=titles)
+    if partial is None:
+        scored = with_titles(corpus, titles, queries).join(chunks.select("chunk_id", "document_id"), "chunk_id")
+        partial = restrict(scored, queries, versions, sources).drop("document_id")
+    return partial
+
+
 def title_tier_topk(scored: DataFrame, k: int) -> DataFrame:
     """Select k by title match, then score; emit in score order."""
     tier = [F.col("title_match").desc(), *by_score()]

@@ -30,7 +30,7 @@ def identifiers(messages: DataFrame) -> DataFrame:
     return X.unfold(messages, ["source_index"], mentioned, "id", "pos")
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): least identifier reachable over undirected edges.
 
     Each round takes the least label among the neighbours and then follows the
@@ -40,7 +40,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     both = edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).filter("a <> b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
         hooked = labels.join(near, F.col("id") == F.col("a"), "left").select(
             "id", F.least("component", "near").alias("component"), F.col("component").alias("before"))
@@ -50,7 +50,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         labels = jumped.select("id", "component")
         if jumped.filter("component <> before").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def reply_parents(messages: DataFrame) -> DataFrame:
@@ -64,7 +63,7 @@ def reply_parents(messages: DataFrame) -> DataFrame:
     return messages.select("source_index").join(first, "source_index", "left").select("source_index", parent.alias("parent"))
 
 
-def cycle_members(parents: DataFrame, max_rounds: int = 60) -> DataFrame:
+def cycle_members(parents: DataFrame) -> DataFrame:
     """Messages on a reply cycle, by doubling parent pointers.
 
     After enough doublings the set of targets is exactly the set of cycle members;
@@ -72,7 +71,7 @@ def cycle_members(parents: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     jumps = cut(parents.select("source_index", F.col("parent").alias("up")).filter("up is not null"))
     size = -1
-    for _ in range(max_rounds):
+    while True:
         targets = jumps.select(F.col("up").alias("source_index")).distinct()
         count = targets.count()
         if count in (0, size):
@@ -80,7 +79,6 @@ def cycle_members(parents: DataFrame, max_rounds: int = 60) -> DataFrame:
         size = count
         step = jumps.select(F.col("source_index").alias("up"), F.col("up").alias("far"))
         jumps = cut(jumps.join(step, "up").select("source_index", F.col("far").alias("up")))
-    raise RuntimeError("cycles did not settle")
 
 
 def thread_keys(messages: DataFrame, prefix: str = "email-thread-v1:") -> DataFrame:
@@ -104,7 +102,7 @@ def thread_keys(messages: DataFrame, prefix: str = "email-thread-v1:") -> DataFr
         "source_index", F.coalesce("thread_key", "_bare").alias("thread_key"))
 
 
-def order_keys(parents: DataFrame, max_rounds: int = 60) -> DataFrame:
+def order_keys(parents: DataFrame) -> DataFrame:
     """(source_index, order_key): sorting by key gives parents first, smallest index first.
 
     Taking the smallest ready index again and again visits a message right after
@@ -114,7 +112,7 @@ def order_keys(parents: DataFrame, max_rounds: int = 60) -> DataFrame:
     pointers; where replies follow their parents a key has a single entry.
     """
     state = cut(parents.select("source_index", F.col("parent").alias("up"), F.array("source_index").alias("order_key")))
-    for _ in range(max_rounds):
+    while True:
         if state.filter("up is not null").isEmpty():
             return state.select("source_index", "order_key")
         above = state.select(F.col("source_index").alias("up"), F.col("up").alias("far"), F.col("order_key").alias("head"))
@@ -122,7 +120,6 @@ def order_keys(parents: DataFrame, max_rounds: int = 60) -> DataFrame:
             "source_index", F.col("far").alias("up"),
             F.when(F.col("head").isNull(), F.col("order_key")).otherwise(F.concat(
                 F.filter("head", lambda x: x > F.get("order_key", F.lit(0))), "order_key")).alias("order_key")))
-    raise RuntimeError("reply chains did not end")
 
 
 def thread_order(messages: DataFrame) -> DataFrame:

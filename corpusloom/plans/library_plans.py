@@ -348,7 +348,7 @@ ORACLES = {
     "page_turns": oracle("""
         SELECT t.session_id, t.turn_id, t.sequence, t.role, CAST(row_number() OVER (PARTITION BY t.session_id ORDER BY t.sequence) AS INTEGER) AS n
         FROM turns t JOIN turns a ON a.session_id = t.session_id AND a.sequence = 0 AND t.sequence > 0 QUALIFY n <= 3"""),
-    "notebook_counts": oracle("SELECT notebook_id, least(count(*), 1000) AS source_count FROM sources GROUP BY 1"),
+    "notebook_counts": oracle("SELECT notebook_id, count(*) AS source_count FROM sources GROUP BY 1"),
     "notebook_summary": oracle("""
         SELECT n.notebook_id, CASE WHEN EXISTS (SELECT 1 FROM insights i WHERE i.notebook_id = n.notebook_id AND insight_type = 'summary') THEN 'ready' ELSE 'empty' END AS status,
           kind, item_id, body FROM notebooks n LEFT JOIN items USING (notebook_id)""", notebooks=NOTEBOOKS,

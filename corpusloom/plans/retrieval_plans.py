@@ -60,9 +60,13 @@ def ranked(scored: str, k: int, order: str = "score DESC, chunk_id", by: str = "
 
 STREAMS = {
     **TITLED, **DENSE,
-    "tier": ranked("both_scored", STREAM_K, "title_match DESC, score DESC, chunk_id", name="tier_no"),
+    "allowed": ALLOWED,
+    "sparse_allowed": """SELECT b.* FROM both_scored b JOIN passages USING (chunk_id)
+        JOIN allowed a ON a.qid = b.qid AND a.document_id = passages.document_id""",
+    "dense_allowed": "SELECT s.* FROM dense_scored s JOIN allowed USING (qid, document_id)",
+    "tier": ranked("sparse_allowed", STREAM_K, "title_match DESC, score DESC, chunk_id", name="tier_no"),
     "sparse_stream": ranked("tier", STREAM_K),
-    "dense_stream": ranked("dense_scored", STREAM_K),
+    "dense_stream": ranked("dense_allowed", STREAM_K),
     "streams": """SELECT qid, 'sparse' AS stream, chunk_id, score, rank FROM sparse_stream JOIN queries USING (qid) WHERE mode IN ('sparse', 'hybrid')
         UNION ALL SELECT qid, 'dense', chunk_id, score, rank FROM dense_stream JOIN queries USING (qid) WHERE mode IN ('dense', 'hybrid')""",
     "placed": "SELECT s.*, parent_id FROM streams s LEFT JOIN (SELECT chunk_id, parent_id FROM chunk_rows WHERE parent_id IS NOT NULL) USING (chunk_id)",
@@ -91,7 +95,8 @@ STREAMS = {
     "logits": """SELECT * EXCLUDE (asked, found), round(8.0::DOUBLE * len(list_intersect(asked, found)) / greatest(len(asked), 1) - 4.0, 6) AS logit
         FROM candidates""",
     "relevances": "SELECT *, round(1.0 / (1.0 + exp(-logit)), 6) AS relevance FROM logits",
-    "reranked": ranked("relevances", 100, "CAST(title_match AS INTEGER) DESC, relevance DESC, rank, chunk_id", name="reranked_no"),
+    "reranked": """SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY CAST(title_match AS INTEGER) DESC, relevance DESC, rank, chunk_id) AS INTEGER)
+        AS reranked_no FROM relevances""",
 }
 
 
@@ -196,7 +201,8 @@ def _fallback(spark: SparkSession, d: str) -> DataFrame:
     s = Search(Library(spark, d))
     scores = s.candidates().select("qid", "chunk_id", "logit", "rank").filter(
         "not (qid % 3 = 0 and rank = 2)").drop("rank")
-    return R.rerank_or_keep(s.fused().select("qid", "chunk_id", "rank"), scores).select(
+    ranked = s.candidates().select("qid", "chunk_id", "rank", "title_match")
+    return R.rerank_or_keep(ranked, scores).select(
         "qid", "chunk_id", "relevance", "policy", F.col("reranked").alias("rank"))
 
 
@@ -280,10 +286,11 @@ ORACLES = {
             FROM streams JOIN passages USING (chunk_id) JOIN versions USING (document_id)"""),
     "rerank": oracle("""SELECT qid, chunk_id, logit, relevance, relevance < 0.4 AS below_threshold, title_match, reranked_no AS rank FROM reranked""", **STREAMS),
     "rerank_fallback": oracle("""
-        SELECT qid, chunk_id, relevance, policy, CAST(row_number() OVER (PARTITION BY qid ORDER BY coalesce(relevance, 0.0) DESC, fused_rank, chunk_id) AS INTEGER) AS rank
+        SELECT qid, chunk_id, relevance, policy, CAST(row_number() OVER (PARTITION BY qid ORDER BY CAST(title_match AND policy = 'scored' AS INTEGER) DESC,
+          coalesce(relevance, 0.0) DESC, fused_rank, chunk_id) AS INTEGER) AS rank
         FROM kept""", **STREAMS,
-        holes="SELECT qid, chunk_id, rank AS fused_rank, CASE WHEN qid % 3 = 0 AND rank = 2 THEN NULL ELSE relevance END AS got FROM relevances",
-        kept="""SELECT qid, chunk_id, fused_rank, CASE WHEN NOT bool_or(got IS NULL) OVER w THEN got END AS relevance,
+        holes="SELECT qid, chunk_id, title_match, rank AS fused_rank, CASE WHEN qid % 3 = 0 AND rank = 2 THEN NULL ELSE relevance END AS got FROM relevances",
+        kept="""SELECT qid, chunk_id, title_match, fused_rank, CASE WHEN NOT bool_or(got IS NULL) OVER w THEN got END AS relevance,
             CASE WHEN bool_or(got IS NULL) OVER w THEN 'rrf_fallback' ELSE 'scored' END AS policy FROM holes WINDOW w AS (PARTITION BY qid)"""),
     "rerank_topk": oracle("""SELECT qid, chunk_id, relevance, CAST(row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, rank, chunk_id) AS INTEGER) AS place
         FROM relevances QUALIFY place <= 5""".replace("AS place", "AS rank_no").replace("place <= 5", "rank_no <= 5"), **STREAMS).replace("rank_no", "rank_out"),

@@ -37,13 +37,17 @@ class Search:
         return Q.with_titles(self.indexed(), self.lib.titles(), self.queries if queries is None else queries)
 
     def sparse(self) -> DataFrame:
+        """Lexical stream: the filters of a query hold before its top-k; statistics stay corpus-wide."""
         wanted = self.queries.filter("mode in ('sparse', 'hybrid')")
-        return Q.title_tier_topk(Q.titled_topk(self.titled(), self.lib.titles(), wanted, self.stream_k), self.stream_k)
+        scored = Q.filtered_titled_topk(
+            self.titled(), self.lib.titles(), wanted, self.lib.versions(), self.lib.sources(), self.stream_k, self.indexed())
+        return Q.title_tier_topk(scored, self.stream_k)
 
     def dense(self) -> DataFrame:
-        wanted = self.queries.filter("mode in ('dense', 'hybrid')").select("qid")
-        return Q.dense_topk(
-            self.lib.vectors(), self.lib.query_vectors().join(wanted, "qid", "left_semi"), self.stream_k)
+        """Vector stream under the same filters."""
+        wanted = self.queries.filter("mode in ('dense', 'hybrid')")
+        return Q.filtered_dense(
+            self.lib.vectors(), wanted, self.lib.query_vectors(), self.lib.versions(), self.lib.sources(), self.stream_k)
 
     def streams(self) -> DataFrame:
         return self._flagged().drop("title_match")

@@ -76,9 +76,9 @@ def route_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, text) of valid UTF-8 files, and the paths of the rest."""
-    text = F.decode("content", "UTF-8")
-    valid = F.encode(text, "UTF-8") == F.col("content")
-    marked = files.select("path", text.alias("text"), valid.alias("ok"))
+    raw = F.col("content").cast("string")
+    valid = F.coalesce(F.is_valid_utf8(raw), F.lit(False))
+    marked = files.select("path", F.when(valid, raw).alias("text"), valid.alias("ok"))
     return marked.filter("ok").drop("ok"), marked.filter("not ok").select("path")
 
 
@@ -99,7 +99,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
         "text", "code_language")
 
 
-def json_lines(docs: DataFrame, max_depth: int = 64) -> DataFrame:
+def json_lines(docs: DataFrame) -> DataFrame:
     """Depth-first ``path: value`` lines of JSON text, in document order.
 
     ``docs``: document_id, text. One round per nesting level: members of objects
@@ -111,7 +111,7 @@ def json_lines(docs: DataFrame, max_depth: int = 64) -> DataFrame:
     open_rows = docs.select(
         "document_id", F.lit("").alias("path"), F.array().cast("array<int>").alias("place"), "text", kind.alias("kind"))
     closed = []
-    for _ in range(max_depth):
+    while True:  # one round per level, until nothing is open
         closed.append(open_rows.filter("kind not in ('OBJECT', 'ARRAY')"))
         open_rows = cut(_children(open_rows, "OBJECT", "map<string,{}>").unionByName(
             _children(open_rows, "ARRAY", "array<{}>")))
