@@ -237,18 +237,17 @@ def with_ids(chunks: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def families(chunks: DataFrame) -> DataFrame:
-    """Sibling pairs in order, one row per (chunk, sibling position).
+    """(parent_id, chunk_id, position, sibling_ids): every child with the others of its family, in order.
 
-    Members of a family are numbered; each chunk then points at its neighbours by
-    position, so no family is collected and no pairs within it are formed.
+    A family is the children of one parent chunk, which the packer bounds by its
+    size; its ids stand in one array per parent.
     """
-    from corpusloom.functions.scale import running_number
-
     children = chunks.filter("parent_id is not null").select("parent_id", "ordinal", "chunk_id")
-    numbered = running_number(children, ["parent_id"], [F.col("ordinal")], "position")
-    sizes = numbered.groupBy("parent_id").agg(F.max("position").alias("size"))
-    return numbered.join(sizes, "parent_id").select(
-        "parent_id", "chunk_id", F.col("position").cast("long").alias("position"), (F.col("size") - 1).cast("long").alias("siblings"))
+    family = children.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id"))).alias("members"))
+    ids = F.transform("members", lambda m: m["chunk_id"])
+    return family.select("parent_id", ids.alias("ids"), F.posexplode(ids).alias("position", "chunk_id")).select(
+        "parent_id", "chunk_id", (F.col("position") + 1).cast("long").alias("position"),
+        F.filter("ids", lambda x: x != F.col("chunk_id")).alias("sibling_ids"))
 
 
 def table_chunks(tables: DataFrame, target: int, maximum: int) -> DataFrame:

@@ -80,7 +80,11 @@ def family_violations(chunks: DataFrame) -> DataFrame:
 
 
 def sibling_violations(chunks: DataFrame, siblings: DataFrame) -> DataFrame:
-    """Stated sibling pairs (chunk_id, sibling_id) that are not symmetric, or cross families."""
+    """Stated sibling pairs (chunk_id, sibling_id) that are not symmetric or cross families, and pairs not stated.
+
+    A pair is looked for from each chunk to the next of its family, around its
+    end, so a family is never expanded into all its pairs.
+    """
     back = siblings.select(F.col("sibling_id").alias("chunk_id"), F.col("chunk_id").alias("sibling_id"))
     one_way = siblings.join(back, ["chunk_id", "sibling_id"], "left_anti").withColumn("problem", F.lit("not symmetric"))
     family = chunks.select("chunk_id", "parent_id")
@@ -89,7 +93,11 @@ def sibling_violations(chunks: DataFrame, siblings: DataFrame) -> DataFrame:
         .join(family.select(F.col("chunk_id").alias("sibling_id"), F.col("parent_id").alias("other")), "sibling_id", "left")
         .filter(~F.col("parent_id").eqNullSafe(F.col("other")) | F.col("parent_id").isNull())
         .select("chunk_id", "sibling_id", F.lit("other family").alias("problem")))
-    return one_way.unionByName(crossing)
+    ring = W.partitionBy("parent_id").orderBy("chunk_id")
+    following = chunks.filter("parent_id is not null").select(
+        "chunk_id", F.coalesce(F.lead("chunk_id").over(ring), F.min("chunk_id").over(W.partitionBy("parent_id"))).alias("sibling_id"))
+    missing = following.filter("chunk_id <> sibling_id").join(siblings, ["chunk_id", "sibling_id"], "left_anti").withColumn("problem", F.lit("missing"))
+    return one_way.unionByName(crossing).unionByName(missing)
 
 
 def fuse(streams: DataFrame, limit: int) -> DataFrame:

@@ -414,22 +414,63 @@ def filtered_dense(
     return dense_topk(rows, asked, k)
 
 
-def ann_topk(
-    vectors: DataFrame, query_vectors: DataFrame, k: int, tables: int = 8, bucket: float = 1.0, seed: int = 7
-) -> DataFrame:
-    """Approximate cosine top-k: random-projection buckets, candidates re-scored exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        raw = df.select(key, array_to_vector("vec").alias("raw"))
-        return Normalizer(inputCol="raw", outputCol="unit").transform(raw).select(key, "unit")
-
-    corpus, asked = unit(vectors, "chunk_id"), unit(query_vectors, "qid")
-    model = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", numHashTables=tables, bucketLength=bucket, seed=seed).fit(corpus)
-    # Unit vectors: cosine = 1 - distance^2 / 2, and no distance exceeds 2.
-    pairs = model.approxSimilarityJoin(corpus, asked, 2.01, "distance").select(
-        F.col("datasetB.qid").alias("qid"), F.col("datasetA.chunk_id").alias("chunk_id"),
-        X.rounded(1 - F.col("distance") * F.col("distance") / 2).alias("score"))
-    return top_per_key(pairs, ["qid"], by_score(), k)
+def ann_candidates(
+    vectors: DataFrame, query_vectors: DataFrame, lists: int = 16, probes: int = 8, sample: int = 20_000
+) -> tuple[DataFrame, DataFrame]:
+    """Inverted file: chunks (chunk_id, vec, list, part) and queries (qid, vec, list, part) that meet.
+
+    Centroids are fitted on at most ``sample`` vectors, in the order of a hash;
+    every chunk enters the list of its nearest centroid, every query asks
+    ``probes`` lists. Long lists are parted, so a group has a bounded number of
+    chunks. Vectors without clusters need many probes for the same recall.
+    """
+    spark = vectors.sparkSession
+    head = vectors.orderBy(F.xxhash64("chunk_id"), "chunk_id").select("vec").limit(sample).toPandas()
+    centroids = _centroids(np.array(head["vec"].tolist(), dtype=float), lists) if len(head) else np.zeros((1, 1))
+    shared = spark.sparkContext.broadcast(centroids)
+
+    def nearest(count: int):
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    near = np.argsort(-(np.array(batch["vec"].tolist(), dtype=float) @ shared.value.T), axis=1, kind="stable")
+                    yield batch.assign(lists=list(near[:, :count].astype("int32")))
+        return assign
+
+    placed = vectors.select("chunk_id", "vec").mapInPandas(nearest(1), "chunk_id string, vec array<double>, lists array<int>").select(
+        "chunk_id", "vec", F.element_at("lists", 1).alias("list"))
+    parts = cut(placed.groupBy("list").agg(F.ceil(F.count("*") / DENSE_BLOCK).cast("int").alias("parts")))  # one row per list
+    chunks = placed.join(F.broadcast(parts), "list").select(
+        "chunk_id", "vec", "list", F.pmod(F.xxhash64("chunk_id"), "parts").cast("int").alias("part"))
+    asked = query_vectors.select("qid", "vec").mapInPandas(nearest(probes), "qid long, vec array<double>, lists array<int>")
+    asked = asked.select("qid", "vec", F.explode("lists").alias("list")).join(F.broadcast(parts), "list").select(
+        "qid", "vec", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return chunks, asked
+
+
+def _centroids(rows: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means of a bounded sample."""
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    unit = rows / np.where(norms == 0, 1.0, norms)
+    centres = unit[np.linspace(0, len(unit) - 1, min(lists, len(unit))).astype(int)].copy()
+    for _ in range(rounds):
+        owner = np.argmax(unit @ centres.T, axis=1)
+        for j in range(len(centres)):
+            if (owner == j).any():
+                mean = unit[owner == j].mean(axis=0)
+                centres[j] = mean / (np.linalg.norm(mean) or 1.0)
+    return centres
+
+
+def ann_topk(vectors: DataFrame, query_vectors: DataFrame, k: int, lists: int = 16, probes: int = 8) -> DataFrame:
+    """Approximate cosine top-k: the lists nearest to a query are searched exactly."""
+    chunks, asked = ann_candidates(vectors, query_vectors, lists, probes)
+
+    def meet(tile: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+        if not len(questions) or not len(tile):
+            return pd.DataFrame({"qid": [], "chunk_id": [], "score": []})
+        none = {"scope": None, "after": np.nan, "before": np.nan}
+        return _partial_topk(tile.assign(scope=None, day=np.nan), _query_side(questions.assign(**none)), k)
+
+    partial = chunks.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(meet, "qid long, chunk_id string, score double")
+    return top_per_key(partial, ["qid"], by_score(), k)

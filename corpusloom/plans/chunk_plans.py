@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
 from corpusloom.operators import chunk as H
+from corpusloom.operators import rank as R
 from corpusloom.plans.sqlbase import ntok, oracle
 from corpusloom.plans.tables import Library
 
@@ -69,7 +70,16 @@ def drop_short(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_families(spark: SparkSession, d: str) -> DataFrame:
-    return H.families(Library(spark, d).passages())
+    return H.families(Library(spark, d).passages()).withColumn("sibling_ids", F.array_join("sibling_ids", ","))
+
+
+def sibling_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Stated siblings of all families, with pairs lost, bent to another family, or one-sided by position."""
+    chunks = Library(spark, d).passages()
+    pairs = H.families(chunks).select("chunk_id", "position", F.explode("sibling_ids").alias("sibling_id"))
+    stated = pairs.join(chunks.select("chunk_id", "ordinal"), "chunk_id").filter("not (ordinal % 20 = 7)").select(
+        "chunk_id", F.when(F.col("ordinal") % 20 == 13, F.lit("0-00000")).otherwise(F.col("sibling_id")).alias("sibling_id")).distinct()
+    return R.sibling_violations(chunks, stated)
 
 
 def _tables(lib: Library) -> DataFrame:
@@ -100,7 +110,7 @@ def called_by(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     token_count, heading_path, sentence_units, pack_units, chunk_generic, chunk_rejects, chunk_ids, drop_short,
-    chunk_families, table_chunks, line_windows, called_by)}
+    chunk_families, sibling_audit, table_chunks, line_windows, called_by)}
 
 WSQ = r"[ \t\n\r\f\v\x{85}\x{A0}]"
 
@@ -177,7 +187,20 @@ ORACLES = {
         drafts=f"""SELECT document_id, ordinal AS idx, CASE WHEN ordinal % 4 <> 0 THEN ordinal - ordinal % 4 END AS parent_idx, CAST({ntok('text')} AS INTEGER) AS tokens,
             {ntok('text')} < 15 AND kind <> 'heading' AS short FROM blocks""",
         kept="SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY idx) - 1 AS INTEGER) AS new_idx FROM drafts WHERE NOT short"),
-    "chunk_families": oracle("""SELECT parent_id, chunk_id, row_number() OVER (PARTITION BY parent_id ORDER BY ordinal) AS position, count(*) OVER (PARTITION BY parent_id) - 1 AS siblings FROM passages"""),
+    "chunk_families": oracle("""SELECT parent_id, chunk_id, row_number() OVER (PARTITION BY parent_id ORDER BY ordinal) AS position,
+        array_to_string(list_filter(list(chunk_id) OVER (PARTITION BY parent_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+          lambda x: x <> chunk_id), ',') AS sibling_ids FROM passages"""),
+    "sibling_audit": oracle("""
+        SELECT chunk_id, sibling_id, 'not symmetric' AS problem FROM stated s WHERE NOT EXISTS (
+          SELECT 1 FROM stated t WHERE t.chunk_id = s.sibling_id AND t.sibling_id = s.chunk_id)
+        UNION ALL SELECT s.chunk_id, s.sibling_id, 'other family' FROM stated s JOIN passages a ON a.chunk_id = s.chunk_id
+          LEFT JOIN passages b ON b.chunk_id = s.sibling_id WHERE a.parent_id IS DISTINCT FROM b.parent_id
+        UNION ALL SELECT n.chunk_id, n.sibling_id, 'missing' FROM following n WHERE n.chunk_id <> n.sibling_id AND NOT EXISTS (
+          SELECT 1 FROM stated t WHERE t.chunk_id = n.chunk_id AND t.sibling_id = n.sibling_id)""",
+        stated="""SELECT DISTINCT a.chunk_id, CASE WHEN a.ordinal % 20 = 13 THEN '0-00000' ELSE b.chunk_id END AS sibling_id
+            FROM passages a JOIN passages b ON a.parent_id = b.parent_id AND a.chunk_id <> b.chunk_id WHERE a.ordinal % 20 <> 7""",
+        following="""SELECT chunk_id, coalesce(lead(chunk_id) OVER (PARTITION BY parent_id ORDER BY chunk_id),
+            min(chunk_id) OVER (PARTITION BY parent_id)) AS sibling_id FROM passages"""),
     "called_by": """
         WITH calls AS (SELECT DISTINCT l_partkey, 'p' || (l_suppkey * 7 % 100) AS callee FROM lineitem)
         SELECT DISTINCT a.p_brand AS file_id, 'p' || a.p_partkey AS symbol, 'p' || b.p_partkey AS caller

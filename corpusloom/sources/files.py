@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
-from corpusloom.functions.scale import cut
 
 # Code extensions and their language.
 CODE_EXTENSIONS = {
@@ -99,49 +102,50 @@ def text_blocks(docs: DataFrame) -> DataFrame:
         "text", "code_language")
 
 
+class Members(list):
+    """The (name, value) pairs of a JSON object, in document order."""
+
+
+def _flat(text: str) -> list[tuple[list[int], str]] | None:
+    """(place, line) of all scalars of a JSON text; None if it is no JSON. Walks with a stack of its own."""
+    try:
+        top = json.loads(text, object_pairs_hook=Members, parse_int=str, parse_float=str, parse_constant=_refuse)
+    except ValueError:
+        return None
+    out, open_ = [], [([], "", top)]
+    while open_:
+        place, path, value = open_.pop()
+        if isinstance(value, list):
+            pairs = value if isinstance(value, Members) else [(f"[{i}]", v) for i, v in enumerate(value)]
+            open_ += [([*place, i], f"{path}.{name}" if path else name, v) for i, (name, v) in reversed(list(enumerate(pairs)))]
+        else:
+            said = value if isinstance(value, str) else str(value)
+            out.append((place, f"{path}: {said}" if place else said))
+    return out
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
 def json_lines(docs: DataFrame) -> DataFrame:
     """Depth-first ``path: value`` lines of JSON text, in document order.
 
-    ``docs``: document_id, text. One round per nesting level: members of objects
-    and arrays are unfolded with an order key that grows by one number per level.
-    The text of a member keeps the key order below it; its variant form only tells
-    its type, so a string that looks like an object stays a string.
+    ``docs``: document_id, text. One pass over Arrow batches. ``place`` has one
+    number per level and orders the lines of a document. Text that is no JSON has
+    no lines; one nested too deeply for the decoder has a single null line.
     """
-    kind = F.regexp_extract(F.schema_of_variant(F.try_parse_json("text")), "^[A-Z]+", 0)
-    open_rows = docs.select(
-        "document_id", F.lit("").alias("path"), F.array().cast("array<int>").alias("place"), "text", kind.alias("kind"))
-    closed = []
-    while True:  # one round per level, until nothing is open
-        closed.append(open_rows.filter("kind not in ('OBJECT', 'ARRAY')"))
-        open_rows = cut(_children(open_rows, "OBJECT", "map<string,{}>").unionByName(
-            _children(open_rows, "ARRAY", "array<{}>")))
-        if open_rows.isEmpty():
-            break
-    rows = closed[0]
-    for level in closed[1:]:
-        rows = rows.unionByName(level)
-    value = (
-        F.when(F.col("kind") == "VOID", "None")
-        .when(F.col("kind") == "BOOLEAN", F.initcap("text")).otherwise(F.col("text")))
-    line = F.when(F.col("path") == "", value).otherwise(F.concat(F.regexp_replace("path", r"\.$", ""), F.lit(": "), value))
-    return rows.select("document_id", "place", line.alias("line"))
-
-
-def _children(rows: DataFrame, kind: str, shape: str) -> DataFrame:
-    inside = rows.filter(F.col("kind") == kind)
-    texts = F.from_json("text", shape.format("string"))
-    types = F.from_json("text", shape.format("variant"))
-    if kind == "OBJECT":
-        pairs = F.arrays_zip(F.map_entries(texts).alias("s"), F.map_entries(types).alias("v"))
-        spread = inside.select("document_id", "path", "place", F.posexplode(pairs).alias("i", "p")).select(
-            "document_id", "path", "place", "i", F.col("p.s.key").alias("name"), F.col("p.s.value").alias("text"),
-            F.col("p.v.value").alias("v"))
-    else:
-        pairs = F.arrays_zip(texts.alias("s"), types.alias("v"))
-        spread = inside.select("document_id", "path", "place", F.posexplode(pairs).alias("i", "p")).select(
-            "document_id", "path", "place", "i", F.concat(F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("name"),
-            F.col("p.s").alias("text"), F.col("p.v").alias("v"))
-    return spread.select(
-        "document_id", F.concat("path", "name", F.lit(".")).alias("path"), F.array_append("place", F.col("i")).alias("place"),
-        F.coalesce("text", F.lit("null")).alias("text"),
-        F.coalesce(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0), F.lit("VOID")).alias("kind"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows += [(doc, place, line) for place, line in (_flat(text) or [])] if text is not None else []
+                except RecursionError:
+                    rows.append((doc, [], None))
+            kinds = (batch.schema[0].type, pa.list_(pa.int32()), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["document_id", "place", "line"])
+
+    id_type = docs.schema["document_id"].dataType.simpleString()
+    return docs.select("document_id", "text").mapInArrow(run, f"document_id {id_type}, place array<int>, line string")

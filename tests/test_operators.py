@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
@@ -19,6 +20,7 @@ from corpusloom.operators import rank as R
 from corpusloom.operators import retrieve as Q
 from corpusloom.operators import threads as M
 from corpusloom.plans import tables
+from corpusloom.sources import files as S
 from corpusloom.sources import tabular
 
 
@@ -186,7 +188,22 @@ def test_ann_recall(spark, folder):
     lib = tables.Library(spark, folder)
     exact = {(r.qid, r.chunk_id) for r in Q.dense_topk(lib.vectors(), lib.query_vectors(), 10).collect()}
     near = {(r.qid, r.chunk_id) for r in Q.ann_topk(lib.vectors(), lib.query_vectors(), 10).collect()}
-    assert len(exact & near) / len(exact) > 0.8
+    assert len(exact & near) / len(exact) > 0.75
+    chunks, asked = Q.ann_candidates(lib.vectors(), lib.query_vectors())
+    pairs = chunks.join(asked, ["list", "part"]).count()
+    assert pairs < 0.6 * lib.vectors().count() * lib.query_vectors().count()
+
+
+def test_ann_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 24))
+    rows = [(f"c{i:04d}", (centres[i % 16] + 0.15 * rng.normal(size=24)).tolist()) for i in range(1600)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, vec array<double>")
+    asked = spark.createDataFrame([(i, rows[i * 37][1]) for i in range(40)], "qid long, vec array<double>")
+    exact = {(r.qid, r.chunk_id) for r in Q.dense_topk(vectors, asked, 10).collect()}
+    near = {(r.qid, r.chunk_id) for r in Q.ann_topk(vectors, asked, 10, probes=4).collect()}
+    chunks, questions = Q.ann_candidates(vectors, asked, probes=4)
+    assert len(exact & near) / len(exact) >= 0.9 and chunks.join(questions, ["list", "part"]).count() <= 0.4 * 1600 * 40
 
 
 def test_missing_date_fails_closed_and_filter_comes_first(spark):
@@ -326,3 +343,54 @@ def test_sibling_violations(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "a"), ("b", "r")], "chunk_id string, sibling_id string")
     got = {(r.chunk_id, r.sibling_id, r.problem) for r in R.sibling_violations(chunks, pairs).collect()}
     assert got == {("a", "c", "other family"), ("c", "a", "other family"), ("b", "r", "not symmetric"), ("b", "r", "other family")}
+    lost = {(r.chunk_id, r.sibling_id, r.problem) for r in R.sibling_violations(chunks, pairs.filter("chunk_id <> 'a'")).collect()}
+    assert ("a", "b", "missing") in lost
+
+
+def test_all_candidates_are_ranked_and_titles_lead(spark):
+    rows = [(1, f"c{i:03d}", i + 1, i == 149, float(i % 7)) for i in range(150)]
+    found = spark.createDataFrame(rows, "qid long, chunk_id string, rank int, title_match boolean, logit double")
+    ranked = R.rerank(found).collect()
+    assert len(ranked) == 150 and min(ranked, key=lambda r: r.reranked).chunk_id == "c149"
+    kept = R.rerank_or_keep(found.drop("logit"), found.select("qid", "chunk_id", "logit")).collect()
+    assert len(kept) == 150 and min(kept, key=lambda r: r.reranked).chunk_id == "c149"
+    some = R.rerank_or_keep(found.drop("logit"), found.filter("rank <> 5").select("qid", "chunk_id", "logit")).collect()
+    assert [r.rank for r in sorted(some, key=lambda r: r.reranked)] == list(range(1, 151))
+
+
+def test_deep_json_and_broken_bytes(spark):
+    deep = spark.createDataFrame([("d", "[" * 100 + "7" + "]" * 100), ("e", '{"a": 1}')], "document_id string, text string")
+    got = {r.document_id: r.line for r in S.json_lines(deep).collect()}
+    assert got == {"d": "[0]." * 99 + "[0]: 7", "e": "a: 1"}
+    files = spark.createDataFrame([("ok", "é".encode()), ("bad", b"a\xff\xfe"), ("null", None)], "path string, content binary")
+    texts, broken = S.decode_text(files)
+    assert {r.path: r.text for r in texts.collect()} == {"ok": "é"} and {r.path for r in broken.collect()} == {"bad", "null"}
+
+
+def test_filters_hold_in_both_streams(spark, folder):
+    from corpusloom.plans.search import Search
+    lib = tables.Library(spark, folder)
+    s = Search(lib)
+    rows = s.streams().withColumn("document_id", F.split("chunk_id", "-")[0])
+    joined = rows.join(lib.queries(), "qid").join(lib.versions().select("document_id", "publication_date"), "document_id")
+    day = F.col("publication_date")
+    outside = joined.filter((F.col("date_after").isNotNull() & ~F.coalesce(day >= F.col("date_after"), F.lit(False)))
+                            | (F.col("date_before").isNotNull() & ~F.coalesce(day <= F.col("date_before"), F.lit(False))))
+    assert rows.select("stream").distinct().count() == 2 and outside.isEmpty()
+    scoped = joined.filter("notebook_id is not null")
+    assert scoped.join(lib.sources(), ["document_id", "notebook_id"], "left_anti").isEmpty()
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from corpusloom.functions import scale
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scale.ensure_checkpoint_dir(Session)
