@@ -14,7 +14,8 @@ from corpusloom.functions.scale import ensure_checkpoint_dir
 
 #: A word is a run of anything but ASCII white space, as ``bytes.split()`` cuts it.
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20
+#: Bytes of text worked on at once: numpy needs some hundred bytes for each.
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,8 +94,9 @@ class Rolling:
     _up, _down = powers(BASE, 1 << 12), powers(INVERSE, 1 << 12)
 
     def __init__(self, data: np.ndarray) -> None:
-        if len(data) >= len(Rolling._up):  # tables of powers grow to the longest text seen
-            Rolling._up, Rolling._down = powers(BASE, 2 * len(data)), powers(INVERSE, 2 * len(data))
+        if len(data) >= len(Rolling._up):  # tables of powers grow to the longest slice seen
+            top = 1 << len(data).bit_length()
+            Rolling._up, Rolling._down = powers(BASE, top), powers(INVERSE, top)
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
             np.cumsum(BYTE[data] * Rolling._up[: len(data)], out=self.sums[1:])

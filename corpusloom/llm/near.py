@@ -5,8 +5,8 @@ one bucket per band. Every bucket proposes a star: its smallest member against t
 others, so pairs grow with the members and not with their square. Links are
 confirmed on full shingle sets. A star can miss a link between two leaves. Where a
 bucket still holds several components, its members outside the largest one are
-compared with the others inside tasks, in blocks of bounded size, and only pairs
-that are links come out. Nothing is capped.
+compared with the others inside tasks, in blocks of bounded size, on full sets; out
+of a block come only links that join components. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ DONOR = (C.mixed(np.arange(1, BINS * ATTEMPTS + 1, dtype=np.uint64)) % np.uint64
 #: Members of one centre that are compared in one group; further ones go to groups of their own.
 GROUP = 64
 #: Hashes that one side of a block holds.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -183,16 +183,17 @@ def link_components(docs: DataFrame, limit: int = LIMIT, text: str = "text") ->
     tested = cut(pairs.filter(compatible(limit)).select("a", "b").distinct())
     stars = components(confirm(tested, texts, limit))
     fresh = torn_pairs(members.select("bucket", "rep", "n"), stars, texts, limit)
-    return rows, components(stars.union(confirm(cut(fresh), texts, limit)))
+    return rows, components(stars.union(fresh))
 
 
 def torn_pairs(members: DataFrame, stars: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
-    """Linked pairs (a, b) inside buckets that hold several components.
+    """Links (a, b) that join components inside buckets that hold several.
 
     Of any two members of different components one is outside the largest
     component of the bucket. These and all members are dealt to a grid of blocks
     whose sides hold a bounded number of hashes; a block counts the common
-    hashes of its pairs from an index of the outer side.
+    hashes of its pairs from an index of the outer side, and passes over pairs
+    that its links have joined already.
     """
     placed = members.join(stars.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     counts = placed.groupBy("bucket", "comp").agg(F.sum("n").alias("hashes"))
@@ -210,9 +211,9 @@ def torn_pairs(members: DataFrame, stars: DataFrame, texts: DataFrame, limit: in
     blocks = blocks.select(
         "bucket", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "rep", "comp",
         (F.col("outer") & (F.col("at.x") == F.col("i"))).alias("outer"), (F.col("at.y") == F.col("j")).alias("inner"))
-    short = texts.select("doc_id", "text").mapInArrow(short_sets, "doc_id long, hashes binary")
+    sets = texts.select("doc_id", "text").mapInArrow(full_sets, "doc_id long, hashes binary")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = blocks.join(short, blocks.rep == short.doc_id).drop("doc_id").repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    ready = blocks.join(sets, blocks.rep == sets.doc_id).drop("doc_id").repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group = None, []
@@ -230,10 +231,9 @@ def torn_pairs(members: DataFrame, stars: DataFrame, texts: DataFrame, limit: in
     return ready.select("bucket", "x", "y", "rep", "comp", "outer", "inner", "hashes").mapInArrow(run, "a long, b long").distinct()
 
 
-def short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets as 32-bit hashes: enough to find links, which are confirmed on whole hashes."""
+def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in C.slices(batches, "text"):
-        sets = [np.unique((v >> np.uint64(32)).astype(np.uint32)).tobytes() for v in shingle_sets(part.column("text"))]
+        sets = [v.tobytes() for v in shingle_sets(part.column("text"))]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
 
 
@@ -242,30 +242,42 @@ def pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def links_of_block(group: list[list], limit: int) -> list[tuple[int, int]]:
-    """Pairs of an outer and an inner member of different components whose short sets are similar enough."""
+    """Links between members of different components, fewer than there are components.
+
+    ``group``: rep, component, outer, inner, bytes of the sorted set.
+    """
     outer = [m for m in group if m[2]]
     if not outer or len(group) < 2:
         return []
-    sets = [np.frombuffer(m[4], np.uint32) for m in outer]
-    sizes, comps, reps = np.array([len(s) for s in sets]), np.array([m[1] for m in outer]), [m[0] for m in outer]
+    roots: dict[int, int] = {}
+
+    def root(comp: int) -> int:
+        while comp in roots:
+            comp = roots[comp]
+        return comp
+
+    sets = [np.frombuffer(m[4], np.uint64) for m in outer]
+    sizes, comps = np.array([len(s) for s in sets]), np.array([m[1] for m in outer])
     owner = np.repeat(np.arange(len(sets)), sizes)
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     out = []
     for rep, comp, _, inner, raw in group:
-        if not inner:
-            continue
-        own = np.frombuffer(raw, np.uint32)
-        open_ = (comps != comp) & (100 * np.minimum(sizes, len(own)) >= limit * np.maximum(sizes, len(own)) - 100)
-        if not open_.any():
+        own = np.frombuffer(raw, np.uint64)
+        comp = root(comp)
+        open_ = (comps != comp) & (100 * np.minimum(sizes, len(own)) >= limit * np.maximum(sizes, len(own)))
+        if not inner or not open_.any():
             continue
         lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
         width = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
         both = np.bincount(owner[at], minlength=len(sets))
-        for o in np.flatnonzero(open_ & (100 * (both + 1) >= limit * (sizes + len(own) - both - 1))):
-            out.append((min(rep, reps[o]), max(rep, reps[o])))
+        for o in np.flatnonzero(open_ & (100 * both >= limit * (sizes + len(own) - both))):
+            if comps[o] != comp:
+                out.append((rep, outer[o][0]))
+                roots[int(comps[o])] = comp
+                comps[comps == comps[o]] = comp
     return out
 
 
