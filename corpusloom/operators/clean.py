@@ -75,6 +75,11 @@ def trigrams(texts: DataFrame, keys: list[str]) -> DataFrame:
     return X.unfold(words, keys, _grams(F.col("word")), "gram")
 
 
+def held_out(key: Column) -> Column:
+    """A fifth of the rows, by a hash of their key, that profiles are not fitted on."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % 5 == 0
+
+
 def language_profiles(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n, total, vocabulary) from labelled texts (lang, text).
 

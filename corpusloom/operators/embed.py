@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,29 +47,27 @@ def hashed_buckets(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return terms.groupBy("text_id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def hashed_vector(texts: pd.Series) -> list:
-    """Unit vectors of hashed term counts for one batch."""
-    import hashlib
-    import re
+def hashed_vectors(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(text_id, vector): unit vectors of the hashed term counts; a text without terms has zeros."""
+    dense = hashed_buckets(texts, dimensions).groupBy("text_id").agg(
+        F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts"))
+    cell = lambda i: F.coalesce(F.element_at("counts", i) / F.col("norm"), F.lit(0.0)).cast("float")
+    return texts.select("text_id").join(dense, "text_id", "left").select(
+        "text_id", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), cell).alias("vector"))
 
-    out = []
-    for text in texts:
-        vector = np.zeros(DIMENSIONS)
-        for term in re.findall(r"\w+", (text or "").lower()):
-            vector[int(hashlib.md5(term.encode()).hexdigest()[:6], 16) % DIMENSIONS] += 1
-        norm = np.linalg.norm(vector)
-        out.append((vector / norm if norm else vector).astype("float32").tolist())
-    return out
 
-
-def embed_missing(texts: DataFrame, lookup: DataFrame, model: str, vectorise: Vectorise = hashed_vector) -> DataFrame:
-    """New cache entries for the missed keys, one vectoriser call per Arrow batch.
+def embed_missing(texts: DataFrame, lookup: DataFrame, model: str, vectorise: Vectorise | None = None) -> DataFrame:
+    """New cache entries for the missed keys: native hashed vectors, or one call of ``vectorise`` per Arrow batch.
 
     Every key is computed once; results are joined by key, not by position.
     """
     missing = lookup.filter("status <> 'hit'").select("key")
     first = texts.select(cache_key(F.col("text"), model).alias("key"), "text").join(missing, "key", "left_semi").dropDuplicates(["key"])
 
+    if vectorise is None:
+        return hashed_vectors(first.withColumnRenamed("key", "text_id")).select(
+            F.col("text_id").alias("key"), F.size("vector").alias("dimensions"), "vector")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             vectors = vectorise(batch["text"])

@@ -52,11 +52,12 @@ FORMS = [
 
 
 def _answers(lib: Library) -> DataFrame:
-    """Assistant turns as answers with one of six marker forms; queries by turn."""
+    """Turns as answers with one of six marker forms, to all queries in turn."""
+    asked = lib.queries().count()
     form = F.element_at(F.array(*[F.lit(f) for f in FORMS]), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
     return lib.read("conversations").select(
         F.concat_ws("-", F.lit("A"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("answer_id"),
-        (F.col("conv_id") % 40).alias("qid"), F.concat("text", form).alias("answer"))
+        (F.col("conv_id") % asked).alias("qid"), F.concat("text", form).alias("answer"))
 
 
 def citation_markers(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +203,7 @@ CONTEXT = {
     "picked": """SELECT k.*, CAST(row_number() OVER (PARTITION BY k.qid ORDER BY k.no) AS INTEGER) AS source_number FROM ctx x JOIN cost k USING (qid, no) JOIN judged j USING (qid) WHERE x.taken AND j.empty_reason IS NULL""",
 }
 FORMS_SQL = "[" + ", ".join("'" + f + "'" for f in FORMS) + "]"
-ANSWERS = f"SELECT 'A-' || conv_id || '-' || turn AS answer_id, conv_id % 40 AS qid, text || {FORMS_SQL}[(conv_id + turn) % 6 + 1] AS answer FROM conversations"
+ANSWERS = f"SELECT 'A-' || conv_id || '-' || turn AS answer_id, conv_id % (SELECT count(*) FROM benchmark) AS qid, text || {FORMS_SQL}[(conv_id + turn) % 6 + 1] AS answer FROM conversations"
 MARKS_SQL = {
     "answers_in": ANSWERS,
     "found": r"""SELECT answer_id, CAST(number AS BIGINT) AS source_number, CAST(min(pos) - 1 AS INTEGER) AS position FROM (

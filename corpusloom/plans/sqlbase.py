@@ -107,10 +107,10 @@ SELECT conv_id * 100000 + turn AS source_index,
   text AS body, conv_id
 FROM conversations JOIN (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id) USING (conv_id)""",
     "entities": """
-SELECT 'r' || r_regionkey AS entity_id, r_name AS name, 'region' AS entity_type, CAST(r_regionkey % 50 AS VARCHAR) AS document_id FROM region
-UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation', CAST(n_nationkey % 50 AS VARCHAR) FROM nation
-UNION ALL SELECT 's' || s_suppkey, s_name, 'supplier', CAST(s_suppkey % 50 AS VARCHAR) FROM supplier
-UNION ALL SELECT 'p' || p_partkey, p_name, 'part', CAST(p_partkey % 50 AS VARCHAR) FROM part""",
+SELECT 'r' || r_regionkey AS entity_id, r_name AS name, 'region' AS entity_type, CAST(r_regionkey % (SELECT count(*) FROM documents) AS VARCHAR) AS document_id FROM region
+UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation', CAST(n_nationkey % (SELECT count(*) FROM documents) AS VARCHAR) FROM nation
+UNION ALL SELECT 's' || s_suppkey, s_name, 'supplier', CAST(s_suppkey % (SELECT count(*) FROM documents) AS VARCHAR) FROM supplier
+UNION ALL SELECT 'p' || p_partkey, p_name, 'part', CAST(p_partkey % (SELECT count(*) FROM documents) AS VARCHAR) FROM part""",
     "edges": """
 SELECT 'r' || n_regionkey AS source_id, 'n' || n_nationkey AS target_id, 'contains' AS relation FROM nation
 UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'hosts' FROM supplier

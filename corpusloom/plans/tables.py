@@ -233,12 +233,14 @@ class Library:
 
     # -- graph -------------------------------------------------------------
     def entities(self) -> DataFrame:
-        """Regions, nations, suppliers and parts as entities of one graph."""
+        """Regions, nations, suppliers and parts as entities of one graph, dealt to all documents."""
+        documents = self.read("documents").count()
+
         def rows(name, key, prefix, label, kind):
             return self.read(name).select(
                 F.concat(F.lit(prefix), F.col(key).cast("string")).alias("entity_id"),
                 F.col(label).alias("name"), F.lit(kind).alias("entity_type"),
-                (F.col(key) % 50).cast("string").alias("document_id"))
+                (F.col(key) % documents).cast("string").alias("document_id"))
         return (
             rows("region", "r_regionkey", "r", "r_name", "region")
             .unionByName(rows("nation", "n_nationkey", "n", "n_name", "nation"))
