@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
@@ -82,6 +82,22 @@ def lexical_scores(
     return hits.groupBy("qid", "chunk_id", *keep).agg(X.rounded(F.sum(F.col("w") * F.col("gain"))).alias("score"))
 
 
+#: Columns that filters are told by: of queries (types: names between commas) and of chunks.
+QUERY_FILTERS = {"scope": "string", "after": "int", "before": "int", "types": "string"}
+CHUNK_FILTERS = {"scope": "string", "day": "int", "doc_type": "string"}
+
+
+def _with_nulls(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in columns.items() if name not in df.columns})
+
+
+def _types(queries: DataFrame) -> Column:
+    """Asked document types between commas; null where all are welcome."""
+    if "doc_types" not in queries.columns:
+        return F.lit(None).cast("string")
+    return F.concat(F.lit(","), F.array_join("doc_types", ","), F.lit(","))
+
+
 def by_score() -> list:
     return [F.col("score").desc(), F.col("chunk_id")]
 
@@ -146,11 +162,9 @@ def lexical_topk(
     terms = cut(query_terms(queries))
     if terms.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return None
-    for name, kind in (("scope", "string"), ("after", "int"), ("before", "int")):
-        if name not in queries.columns:
-            queries = queries.withColumn(name, F.lit(None).cast(kind))
+    queries = _with_nulls(queries, QUERY_FILTERS)
     asked = queries.join(F.broadcast(terms.select("qid").distinct()), "qid", "left_semi").select(
-        "qid", "scope", "after", "before").toPandas()
+        "qid", *QUERY_FILTERS).toPandas()
     if len(asked) * terms.select("term").distinct().count() > MATRIX_CELLS:
         return None
     qids = asked["qid"].tolist()
@@ -158,11 +172,9 @@ def lexical_topk(
     title_weights = None if titles is None else _weight_matrix(titles, terms, qids)
     side = {**_filter_side(asked), "weights": weights, "titles": title_weights}
     shared = spark.sparkContext.broadcast(side)
-    for name, kind in (("title", "string"), ("scope", "string"), ("day", "int")):
-        if name not in chunks.columns:
-            chunks = chunks.withColumn(name, F.lit(None).cast(kind))
+    chunks = _with_nulls(chunks, {"title": "string", **CHUNK_FILTERS})
     rows = chunks.select(
-        "chunk_id", X.search_terms(F.col("text")).alias("terms"), X.search_terms(F.col("title")).alias("title_terms"), "scope", "day")
+        "chunk_id", X.search_terms(F.col("text")).alias("terms"), X.search_terms(F.col("title")).alias("title_terms"), *CHUNK_FILTERS)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = shared.value
@@ -181,7 +193,7 @@ def _score_batch(batch: pa.RecordBatch, side: dict, k: int) -> pa.RecordBatch:
         title = _score_terms(batch.column("title_terms"), *side["titles"], TITLE_WEIGHT)
         titled = title > 0
         scores, matched = np.maximum(scores, np.round(title, 6)), matched | titled
-    allowed = matched & _allowed(batch.column("scope").to_pandas(), batch.column("day").to_pandas(), side)
+    allowed = matched & _allowed(batch.select(list(CHUNK_FILTERS)).to_pandas(), side)
     ids = np.asarray(batch.column("chunk_id").to_pylist(), dtype=object)
     out: list[list] = [[], [], [], []]
     for column, qid in enumerate(side["qid"]):
@@ -210,13 +222,13 @@ def restrict(scored: DataFrame, queries: DataFrame, versions: DataFrame, sources
     Dates are inclusive and a missing date fails closed. Membership must hold on
     one source row, so notebook and source are tested by one semi join.
     """
-    filters = queries.select("qid", "notebook_id", "date_after", "date_before")
-    dated = scored.join(versions.select("document_id", "publication_date"), "document_id").join(
+    filters = queries.select("qid", "notebook_id", "date_after", "date_before", _types(queries).alias("types"))
+    dated = scored.join(versions.select("document_id", "publication_date", "doc_type"), "document_id").join(
         broadcast_checked(filters), "qid")
     day = F.col("publication_date")
     in_range = (F.col("date_after").isNull() | F.coalesce(day >= F.col("date_after"), F.lit(False))) & (
         F.col("date_before").isNull() | F.coalesce(day <= F.col("date_before"), F.lit(False)))
-    kept = dated.filter(in_range)
+    kept = dated.filter(in_range & (F.col("types").isNull() | F.contains("types", F.concat(F.lit(","), "doc_type", F.lit(",")))))
     members = sources.join(
         broadcast_checked(filters.select("notebook_id").filter("notebook_id is not null").distinct()),
         "notebook_id", "left_semi").select("notebook_id", "document_id")
@@ -232,7 +244,7 @@ def filtered_bm25(
     """Filters apply before the top-k; document frequencies stay corpus-wide."""
     epoch = F.lit("1970-01-01").cast("date")
     asked = queries.select(
-        "qid", "text", F.col("notebook_id").alias("scope"),
+        "qid", "text", F.col("notebook_id").alias("scope"), _types(queries).alias("types"),
         F.date_diff("date_after", epoch).alias("after"), F.date_diff("date_before", epoch).alias("before"))
     partial = lexical_topk(scoped_rows(chunks, queries, versions, sources), asked, k, corpus=chunks)
     if partial is None:
@@ -244,7 +256,9 @@ def filtered_bm25(
 def scoped_rows(chunks: DataFrame, queries: DataFrame, versions: DataFrame, sources: DataFrame) -> DataFrame:
     """Chunks with their day: once without scope, and once per asked notebook they are in."""
     epoch = F.lit("1970-01-01").cast("date")
-    dated = chunks.join(versions.select("document_id", F.date_diff("publication_date", epoch).alias("day")), "document_id")
+    kind = F.col("doc_type") if "doc_type" in versions.columns else F.lit(None).cast("string")
+    dated = chunks.join(
+        versions.select("document_id", F.date_diff("publication_date", epoch).alias("day"), kind.alias("doc_type")), "document_id")
     wanted = queries.select(F.col("notebook_id").alias("scope")).filter("scope is not null").distinct()
     members = sources.select(F.col("notebook_id").alias("scope"), "document_id").join(
         broadcast_checked(wanted), "scope", "left_semi").distinct()
@@ -282,7 +296,7 @@ def filtered_titled_topk(
     """
     epoch = F.lit("1970-01-01").cast("date")
     asked = queries.select(
-        "qid", "text", F.col("notebook_id").alias("scope"),
+        "qid", "text", F.col("notebook_id").alias("scope"), _types(queries).alias("types"),
         F.date_diff("date_after", epoch).alias("after"), F.date_diff("date_before", epoch).alias("before"))
     partial = lexical_topk(scoped_rows(chunks, queries, versions, sources), asked, k, corpus=corpus, titles=titles)
     if partial is None:
@@ -302,6 +316,7 @@ def _filter_side(queries: pd.DataFrame) -> dict:
     return {
         "qid": queries["qid"].to_numpy(),
         "scope": queries["scope"].where(queries["scope"].notna(), "").to_numpy(dtype=object),
+        "types": [t if isinstance(t, str) else None for t in queries["types"]],
         "after": pd.to_numeric(queries["after"]).fillna(-np.inf).to_numpy(dtype=float),
         "before": pd.to_numeric(queries["before"]).fillna(np.inf).to_numpy(dtype=float),
         "dated": (queries["after"].notna() | queries["before"].notna()).to_numpy(),
@@ -314,14 +329,17 @@ def _query_side(queries: pd.DataFrame) -> dict:
     return {**_filter_side(queries), "unit": vectors / np.where(norms == 0, 1.0, norms)}
 
 
-def _allowed(scope: pd.Series, day: pd.Series, side: dict) -> np.ndarray:
-    """Which (chunk, query) pairs pass scope and dates; a missing date fails closed."""
+def _allowed(chunks: pd.DataFrame, side: dict) -> np.ndarray:
+    """Which (chunk, query) pairs pass scope, dates and types; a missing date or type fails closed."""
+    scope, day = chunks["scope"], chunks["day"]
+    codes, kinds = pd.factorize(chunks["doc_type"])
+    typed = np.array([[t is None or f",{kind}," in t for t in side["types"]] for kind in kinds] + [[t is None for t in side["types"]]])
     own = scope.where(scope.notna(), "").to_numpy(dtype=object)
     same = own[:, None] == side["scope"][None, :]
     days = pd.to_numeric(day).to_numpy(dtype=float)[:, None]
     with np.errstate(invalid="ignore"):
         inside = (days >= side["after"][None, :]) & (days <= side["before"][None, :])
-    return same & (inside | ~side["dated"][None, :])
+    return same & (inside | ~side["dated"][None, :]) & typed[codes]
 
 
 def _partial_topk(chunks: pd.DataFrame, side: dict, k: int) -> pd.DataFrame:
@@ -329,7 +347,7 @@ def _partial_topk(chunks: pd.DataFrame, side: dict, k: int) -> pd.DataFrame:
     vectors = np.vstack([np.asarray(v, dtype=np.float64) for v in chunks["vec"]])
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     scores = np.round((vectors / np.where(norms == 0, 1.0, norms)) @ side["unit"].T, 6) + 0.0
-    allowed = _allowed(chunks["scope"], chunks["day"], side)
+    allowed = _allowed(chunks, side)
     ids = chunks["chunk_id"].to_numpy(dtype=object)
     out: list[list] = [[], [], []]
     for column, qid in enumerate(side["qid"]):
@@ -355,14 +373,8 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = DENSE
     bounded size, so nothing passes through the driver.
     """
     spark = chunks.sparkSession
-    for name, kind in (("scope", "string"), ("day", "int")):
-        if name not in chunks.columns:
-            chunks = chunks.withColumn(name, F.lit(None).cast(kind))
-    for name, kind in (("scope", "string"), ("after", "int"), ("before", "int")):
-        if name not in queries.columns:
-            queries = queries.withColumn(name, F.lit(None).cast(kind))
-    left = chunks.select("chunk_id", "vec", "scope", "day")
-    right = queries.select("qid", "vec", "scope", "after", "before")
+    left = _with_nulls(chunks, CHUNK_FILTERS).select("chunk_id", "vec", *CHUNK_FILTERS)
+    right = _with_nulls(queries, QUERY_FILTERS).select("qid", "vec", *QUERY_FILTERS)
     schema = "qid long, chunk_id string, score double"
     head = right.limit(block + 1).toPandas()
     if len(head) == 0:
@@ -407,9 +419,9 @@ def filtered_dense(
 ) -> DataFrame:
     """Cosine top-k among the chunks that pass each query's filters."""
     epoch = F.lit("1970-01-01").cast("date")
-    rows = scoped_rows(vectors, queries, versions, sources).select("chunk_id", "vec", "scope", "day")
+    rows = scoped_rows(vectors, queries, versions, sources).select("chunk_id", "vec", *CHUNK_FILTERS)
     asked = queries.join(query_vectors, "qid").select(
-        "qid", "vec", F.col("notebook_id").alias("scope"),
+        "qid", "vec", F.col("notebook_id").alias("scope"), _types(queries).alias("types"),
         F.date_diff("date_after", epoch).alias("after"), F.date_diff("date_before", epoch).alias("before"))
     return dense_topk(rows, asked, k)
 
@@ -469,8 +481,8 @@ def ann_topk(vectors: DataFrame, query_vectors: DataFrame, k: int, lists: int =
     def meet(tile: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         if not len(questions) or not len(tile):
             return pd.DataFrame({"qid": [], "chunk_id": [], "score": []})
-        none = {"scope": None, "after": np.nan, "before": np.nan}
-        return _partial_topk(tile.assign(scope=None, day=np.nan), _query_side(questions.assign(**none)), k)
+        none = {"scope": None, "after": np.nan, "before": np.nan, "types": None}
+        return _partial_topk(tile.assign(scope=None, day=np.nan, doc_type=None), _query_side(questions.assign(**none)), k)
 
     partial = chunks.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(meet, "qid long, chunk_id string, score double")
     return top_per_key(partial, ["qid"], by_score(), k)

@@ -39,6 +39,7 @@ INDEXED = "SELECT chunk_id, document_id, text || ' ' || source_name AS text FROM
 ALLOWED = """SELECT qid, document_id FROM queries q, versions v
   WHERE (date_after IS NULL OR (publication_date IS NOT NULL AND publication_date >= date_after))
     AND (date_before IS NULL OR (publication_date IS NOT NULL AND publication_date <= date_before))
+    AND (doc_types IS NULL OR list_contains(doc_types, v.doc_type))
     AND (notebook_id IS NULL OR EXISTS (SELECT 1 FROM sources s WHERE s.document_id = v.document_id AND s.notebook_id = q.notebook_id))"""
 BM = {"indexed": INDEXED, **bm25_sql("indexed")}
 TITLED = {

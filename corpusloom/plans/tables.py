@@ -158,6 +158,7 @@ class Library:
             F.when(q % 2 == 0, F.concat(F.lit("src"), (q % 20).cast("string"))).alias("notebook_id"),
             F.when(q % 4 != 1, F.date_add(F.lit("2020-01-01").cast("date"), (q * 3).cast("int"))).alias("date_after"),
             F.when(q % 4 != 2, F.date_add(F.lit("2022-06-01").cast("date"), (q * 5).cast("int"))).alias("date_before"),
+            F.when(q % 3 != 0, F.slice(F.array(*[F.lit(t) for t in DOC_TYPES]), (q % 4 + 1).cast("int"), 5)).alias("doc_types"),
         )
 
     def query_vectors(self) -> DataFrame:
