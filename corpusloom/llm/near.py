@@ -319,23 +319,26 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL = r"""
-WITH RECURSIVE words AS (
+WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
-items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
-classes AS (SELECT min(doc_id) AS rep, n, key FROM (SELECT doc_id, len(s) AS n, list_sort(s) AS key FROM sets WHERE len(s) > 0) GROUP BY n, key),
-member AS (SELECT d.doc_id, c.rep FROM (SELECT doc_id, list_sort(s) AS key FROM sets WHERE len(s) > 0) d JOIN classes c USING (key)),
-ritems AS (SELECT i.* FROM items i JOIN classes c ON i.doc_id = c.rep),
+listed AS MATERIALIZED (SELECT doc_id, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+grams AS MATERIALIZED (
+  SELECT doc_id, size, i, hash(word || ' ' || coalesce(lead(word, 1) OVER p, '') || ' ' || coalesce(lead(word, 2) OVER p, '') || ' '
+    || coalesce(lead(word, 3) OVER p, '') || ' ' || coalesce(lead(word, 4) OVER p, '')) AS x
+  FROM listed WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+items AS MATERIALIZED (SELECT DISTINCT doc_id, x FROM grams WHERE i <= greatest(size - 4, 1)),
+sets AS MATERIALIZED (SELECT doc_id, count(*) AS n, list(x ORDER BY x) AS key FROM items GROUP BY doc_id),
+classes AS MATERIALIZED (SELECT min(doc_id) AS rep, any_value(n) AS n, key FROM sets GROUP BY key),
+member AS (SELECT s.doc_id, s.n, c.rep FROM sets s JOIN classes c USING (key)),
+ritems AS MATERIALIZED (SELECT i.doc_id, c.n, i.x FROM items i JOIN classes c ON i.doc_id = c.rep),
 pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM ritems a JOIN ritems b ON a.x = b.x AND a.doc_id < b.doc_id
     AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+links AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT rep AS node, rep AS low FROM classes UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.node),
 comp AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.low, s.doc_id) AS component_id, s.doc_id = coalesce(c.low, s.doc_id) AS kept
-FROM sets s LEFT JOIN member m USING (doc_id) LEFT JOIN comp c ON c.node = m.rep
+SELECT d.doc_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_shingles, coalesce(c.low, d.doc_id) AS component_id, d.doc_id = coalesce(c.low, d.doc_id) AS kept
+FROM documents d LEFT JOIN member m USING (doc_id) LEFT JOIN comp c ON c.node = m.rep
 """
