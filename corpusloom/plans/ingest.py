@@ -39,8 +39,8 @@ def parse(routed: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]
     kind = F.when(F.col("kind").isin("paragraph", "blockquote", "thematic_break"), "text").otherwise(F.col("kind"))
     numbered = md.withColumn("ordinal", F.row_number().over(W.partitionBy("document_id").orderBy("start_line")) - 1)
     marked = _shape(numbered, kind=kind, role=F.when(F.col("kind") == "blockquote", "blockquote"))
-    pages = docs.filter("parser = 'html'").select(F.xxhash64("document_id").alias("page_id"), "document_id", F.col("text").alias("html"))
-    html = markup.html_blocks(pages).join(pages.select("page_id", "document_id"), "page_id")
+    pages = docs.filter("parser = 'html'").select(F.col("document_id").alias("page_id"), F.col("text").alias("html"))
+    html = markup.html_blocks(pages).withColumnRenamed("page_id", "document_id")
     cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, "\t")), "\n")
     hyper = _shape(html, text=F.coalesce("text", cells))
     parsed = docs.filter("parser = 'json'").withColumn("ok", F.try_parse_json("text").isNotNull())

@@ -123,7 +123,8 @@ class _Blocks(HTMLParser):
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """Block rows of HTML pages (page_id, html), one Arrow batch of pages at a time."""
+    """Block rows of HTML pages (page_id, html), one Arrow batch of pages at a time. Ids are numbers or strings."""
+    key = pages.schema["page_id"].dataType.simpleString()
     columns = [c.split()[0] for c in BLOCK_SCHEMA.replace("array<array<string>>", "rows_type").split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,11 +136,11 @@ def html_blocks(pages: DataFrame) -> DataFrame:
                 reader.close()
                 reader.flush()
                 out.extend({"page_id": page, **row} for row in reader.rows)
-            kinds = {"page_id": "int64", "ordinal": "int32", "level": "Int32", "header_rows": "Int32"}
+            kinds = {"page_id": "int64" if key == "bigint" else "object", "ordinal": "int32", "level": "Int32", "header_rows": "Int32"}
             yield pd.DataFrame({
                 name: pd.Series([row.get(name) for row in out], dtype=kinds.get(name, "object")) for name in columns})
 
-    return pages.select("page_id", "html").mapInPandas(parse, BLOCK_SCHEMA)
+    return pages.select("page_id", "html").mapInPandas(parse, BLOCK_SCHEMA.replace("page_id long", f"page_id {key}"))
 
 
 def html_title(html: Column) -> Column:
