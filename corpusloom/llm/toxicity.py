@@ -124,7 +124,7 @@ def counts(rows: DataFrame) -> DataFrame:
                 side = int(toxic == 1)
                 sums[side].update({t: min(n, 3) for t, n in own.items()})
                 texts[side].update(own.keys())
-            terms = [t for t in set(sums[0]) | set(sums[1]) if sums[1][t] or sums[0][t] > 1]
+            terms = list(sums[0].keys() | sums[1].keys())  # all of them: what is rare in a slice need not be rare in the sample
             yield pa.RecordBatch.from_arrays([
                 pa.array(terms, pa.string()), pa.array([sums[1][t] for t in terms], pa.int64()), pa.array([sums[0][t] for t in terms], pa.int64()),
                 pa.array([texts[1][t] for t in terms], pa.int64())], schema=schema)
@@ -171,7 +171,8 @@ def fit(rows: DataFrame) -> tuple[Lexicon, np.ndarray]:
     found = rows.filter("half = 1").select("text", "toxic").mapInArrow(run, "x array<double>, toxic long").collect()  # a few numbers per sampled row
     if not found:
         return lexicon, np.array([1.0, 0, 1.0, 0, 0, -2.0])
-    x, y = np.array([r["x"] for r in found]), np.array([float(r["toxic"] == 1) for r in found])
+    told = sorted((r["x"], float(r["toxic"] == 1)) for r in found)  # sums of floats depend on the order of rows
+    x, y = np.array([t[0] for t in told]), np.array([t[1] for t in told])
     return lexicon, logistic(x, y)
 
 

@@ -243,6 +243,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(p for p, y in held if y) / sum(y for _, y in held) > 0.85
 
 
+def test_lexicon_does_not_depend_on_partitions(spark):
+    """Clean words and phrases met once in a slice count as much as those of one slice."""
+    rows = [(f"you trash person number{i} went home", 1, i % 2) for i in range(100)]
+    rows += [(f"the {'trash' if i < 20 else 'watering'} can of house{i} stands outside", 0, i % 2) for i in range(100)]
+    table = spark.createDataFrame(rows, "text string, toxic int, half int")
+    fits = [toxicity.fit(table.repartition(n)) for n in (1, 200)]
+    assert fits[0][0].weights == fits[1][0].weights and (fits[0][1] == fits[1][1]).all()
+    assert fits[1][0].weights[" trash can "] == 0.0
+    plain = {r["term"]: (r["n1"], r["n0"], r["d1"]) for r in toxicity.counts(table.repartition(200)).collect()}
+    assert plain["trash can"] == (0, 20, 0) and plain["trash"] == (100, 20, 100) and plain["houset"] == (0, 11, 0)  # folded 7
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("Іd1оt, ｉｄｉｏｔ  TR4SH!") == " idiot idiot trash "
     lexicon = toxicity.Lexicon({" trash": 6.0, " trash can ": 0.0, " ach": 2.0})
