@@ -10,6 +10,8 @@ open sequences and a bounded cache of words.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,14 +31,27 @@ CACHE = 700_000
 AWKWARD = re.compile(r" (?:\s|\Z)")
 
 
+@functools.cache
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a JSON vocabulary, which are found in texts before anything else; read once per worker."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    odd = [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if odd:
+        raise ValueError(f"added tokens that are not matched as they stand: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
 class Encoder:
-    """Byte-level BPE ids as little-endian 32-bit numbers; the ranks are those of the JSON vocabulary.
+    """Byte-level BPE ids as little-endian 32-bit numbers; ranks and added tokens are those of the JSON vocabulary.
 
     A text without awkward blanks is a first piece and pieces with one blank
     before them, whose ids do not depend on each other; ids of pieces are kept.
+    Texts with an added token are encoded whole. ``added`` is by default that of
+    the installed vocabulary, and empty for other ranks.
     """
 
-    def __init__(self, ranks: str | None = None) -> None:
+    def __init__(self, ranks: str | None = None, added: dict[str, int] | None = None) -> None:
         import base64
 
         import public_tokenizers
@@ -44,14 +59,19 @@ class Encoder:
 
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        if added is None:
+            added = {} if ranks else added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+        self.encode = self.bpe.encode_ordinary
         self.width = np.zeros(max(table.values()) + 1, np.int64)
         for word, rank in table.items():
             self.width[rank] = len(word)
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+        special = self.added and self.added.search(text)
+        return np.array(self.bpe.encode(text, allowed_special="all") if special else self.encode(text), "<u4").tobytes()
 
     def learn(self, pieces: list[str]) -> None:
         """Encode new pieces together and part the ids by the bytes they stand for."""
@@ -64,7 +84,7 @@ class Encoder:
             start = stop
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [None if AWKWARD.search(t) else t.split(" ") for t in texts]
+        parts = [None if AWKWARD.search(t) or self.added and self.added.search(t) else t.split(" ") for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
         new = set().union(*(p[1:] for p in parts if p)) - self.known.keys()
@@ -140,12 +160,14 @@ class Packer:
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, length: int = LENGTH, windows: int = WINDOWS, ranks: str | None = None, text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, windows: int = WINDOWS, ranks: str | None = None, text: str = "text",
+         added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece. ``length`` is a power of two.
 
     A null or empty text is the end id alone; repeated rows are packed each. An
     empty table gives an empty result; other columns are ignored. ``ranks`` is the
-    rank file on the executors, by default that of the installed vocabulary.
+    rank file on the executors, by default that of the installed vocabulary;
+    ``added`` are the added tokens of another one.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = None, Packer(TaskContext.get().partitionId(), length, windows)
@@ -155,7 +177,7 @@ def pack(docs: DataFrame, length: int = LENGTH, windows: int = WINDOWS, ranks: s
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(NAMES))], names=NAMES)
 
         for part in C.slices(batches, "text"):
-            encoder = encoder or Encoder(ranks)
+            encoder = encoder or Encoder(ranks, added)
             for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.batch(part.column("text").to_pylist()), strict=True):
                 packer.add(doc, ids + END)
             yield rows()

@@ -149,6 +149,13 @@ def test_pieces_encode_like_whole_texts(text):
 ENCODER = packing.Encoder()
 
 
+def test_added_tokens_encode_like_the_vocabulary(table):
+    texts = dict(enumerate(["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|>y  z ", "one two\n<|endoftext|>\n\n three",
+                            "<|endoftext", "é <|ENDOFTEXT|> <|endoftext|>|>", "<<|endoftext|> 's", "plain text", None]))
+    check_pieces(packing.pack(table(list(texts.items()))).collect(), texts)
+    assert np.frombuffer(next(ENCODER.batch(["a <|endoftext|> b"])), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_open_sequences_are_bounded():
     packer = packing.Packer(0, length=64, windows=4)
     for i, n in enumerate([40, 41, 42, 43, 44, 45, 20, 22, 63, 1, 130, 7] * 5):
