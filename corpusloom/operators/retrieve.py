@@ -426,15 +426,11 @@ def filtered_dense(
     return dense_topk(rows, asked, k)
 
 
-def ann_candidates(
-    vectors: DataFrame, query_vectors: DataFrame, lists: int = 16, probes: int = 8, sample: int = 20_000
-) -> tuple[DataFrame, DataFrame]:
-    """Inverted file: chunks (chunk_id, vec, list, part) and queries (qid, vec, list, part) that meet.
+def _inverted(vectors: DataFrame, query_vectors: DataFrame, lists: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """Chunks (chunk_id, vec, list, part), and queries for every list that holds chunks.
 
-    Centroids are fitted on at most ``sample`` vectors, in the order of a hash;
-    every chunk enters the list of its nearest centroid, every query asks
-    ``probes`` lists. Long lists are parted, so a group has a bounded number of
-    chunks. Vectors without clusters need many probes for the same recall.
+    Queries: qid, vec, list, part, place (1 for the nearest list) and bound, which no
+    cosine in the list exceeds: the list's widest angle to its centroid is known.
     """
     spark = vectors.sparkSession
     head = vectors.orderBy(F.xxhash64("chunk_id"), "chunk_id").select("vec").limit(sample).toPandas()
@@ -445,19 +441,41 @@ def ann_candidates(
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    near = np.argsort(-(np.array(batch["vec"].tolist(), dtype=float) @ shared.value.T), axis=1, kind="stable")
-                    yield batch.assign(lists=list(near[:, :count].astype("int32")))
+                    rows = np.array(batch["vec"].tolist(), dtype=float)
+                    dots = rows @ shared.value.T
+                    near = np.argsort(-dots, axis=1, kind="stable")[:, :count]
+                    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+                    angles = np.arccos(np.clip(np.take_along_axis(dots, near, axis=1) / np.where(norms == 0, 1.0, norms), -1, 1))
+                    yield batch.assign(lists=list(near.astype("int32")), angles=list(angles))
         return assign
 
-    placed = vectors.select("chunk_id", "vec").mapInPandas(nearest(1), "chunk_id string, vec array<double>, lists array<int>").select(
-        "chunk_id", "vec", F.element_at("lists", 1).alias("list"))
-    parts = cut(placed.groupBy("list").agg(F.ceil(F.count("*") / DENSE_BLOCK).cast("int").alias("parts")))  # one row per list
+    schema = "vec array<double>, lists array<int>, angles array<double>"
+    placed = vectors.select("chunk_id", "vec").mapInPandas(nearest(1), f"chunk_id string, {schema}").select(
+        "chunk_id", "vec", F.element_at("lists", 1).alias("list"), F.element_at("angles", 1).alias("angle"))
+    parts = cut(placed.groupBy("list").agg(
+        F.ceil(F.count("*") / DENSE_BLOCK).cast("int").alias("parts"), F.max("angle").alias("radius")))  # one row per list
     chunks = placed.join(F.broadcast(parts), "list").select(
         "chunk_id", "vec", "list", F.pmod(F.xxhash64("chunk_id"), "parts").cast("int").alias("part"))
-    asked = query_vectors.select("qid", "vec").mapInPandas(nearest(probes), "qid long, vec array<double>, lists array<int>")
-    asked = asked.select("qid", "vec", F.explode("lists").alias("list")).join(F.broadcast(parts), "list").select(
-        "qid", "vec", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return chunks, asked
+    asked = query_vectors.select("qid", "vec").mapInPandas(nearest(len(centroids)), f"qid long, {schema}")
+    asked = asked.select("qid", "vec", F.posexplode(F.arrays_zip("lists", "angles")).alias("at", "l")).select(
+        "qid", "vec", F.col("l.lists").alias("list"), (F.col("at") + 1).alias("place"), F.col("l.angles").alias("angle"))
+    bound = F.cos(F.greatest(F.col("angle") - F.col("radius"), F.lit(0.0)))
+    return chunks, asked.join(F.broadcast(parts), "list").select(
+        "qid", "vec", "list", "place", bound.alias("bound"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
+def ann_candidates(
+    vectors: DataFrame, query_vectors: DataFrame, lists: int = 16, probes: int = 8, sample: int = 20_000
+) -> tuple[DataFrame, DataFrame]:
+    """Inverted file: chunks (chunk_id, vec, list, part) and queries (qid, vec, list, part) that meet first.
+
+    Centroids are fitted on at most ``sample`` vectors, in the order of a hash;
+    every chunk enters the list of its nearest centroid, every query asks
+    ``probes`` lists. Long lists are parted, so a group has a bounded number of
+    chunks. Vectors without clusters need many probes for the same recall.
+    """
+    chunks, asked = _inverted(vectors, query_vectors, lists, sample)
+    return chunks, asked.filter(F.col("place") <= probes).select("qid", "vec", "list", "part")
 
 
 def _centroids(rows: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
@@ -474,15 +492,31 @@ def _centroids(rows: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     return centres
 
 
-def ann_topk(vectors: DataFrame, query_vectors: DataFrame, k: int, lists: int = 16, probes: int = 8) -> DataFrame:
-    """Approximate cosine top-k: the lists nearest to a query are searched exactly."""
-    chunks, asked = ann_candidates(vectors, query_vectors, lists, probes)
-
+def _meet(chunks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     def meet(tile: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         if not len(questions) or not len(tile):
-            return pd.DataFrame({"qid": [], "chunk_id": [], "score": []})
+            return pd.DataFrame({
+                "qid": pd.Series([], dtype="int64"), "chunk_id": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
         none = {"scope": None, "after": np.nan, "before": np.nan, "types": None}
         return _partial_topk(tile.assign(scope=None, day=np.nan, doc_type=None), _query_side(questions.assign(**none)), k)
 
-    partial = chunks.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(meet, "qid long, chunk_id string, score double")
-    return top_per_key(partial, ["qid"], by_score(), k)
+    return chunks.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(meet, "qid long, chunk_id string, score double")
+
+
+def unread_lists(asked: DataFrame, first: DataFrame, k: int, probes: int) -> DataFrame:
+    """Queries and lists beyond the first ``probes`` whose bound reaches the k-th score of ``first``, or that lack k results."""
+    kth = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    left = asked.filter(F.col("place") > probes).join(kth, "qid", "left")
+    return left.filter(F.col("kth").isNull() | (F.col("bound") + 1e-6 >= F.col("kth"))).select("qid", "vec", "list", "part")  # scores have 6 decimals
+
+
+def ann_topk(vectors: DataFrame, query_vectors: DataFrame, k: int, lists: int = 16, probes: int = 8) -> DataFrame:
+    """Cosine top-k by an inverted file: the nearest lists first, then those that can still hold a better chunk.
+
+    Nothing is lost. Clustered vectors leave most lists unread; vectors without
+    clusters have wide lists, which are all read.
+    """
+    chunks, asked = _inverted(vectors, query_vectors, lists, 20_000)
+    first = cut(top_per_key(_meet(chunks, asked.filter(F.col("place") <= probes), k), ["qid"], by_score(), k).drop("rank"))
+    more = _meet(chunks, unread_lists(asked, first, k, probes), k)
+    return top_per_key(first.unionByName(more), ["qid"], by_score(), k)

@@ -194,6 +194,27 @@ def test_ann_recall(spark, folder):
     assert pairs < 0.6 * lib.vectors().count() * lib.query_vectors().count()
 
 
+def test_ann_query_loses_nothing(spark, folder):
+    import __spark_entry__ as entry
+    lib = tables.Library(spark, folder)
+    exact = {(r.qid, r.chunk_id, r.score, r["rank"]) for r in Q.dense_topk(lib.vectors(), lib.query_vectors(), 10).collect()}
+    found = {(r.qid, r.chunk_id, r.score, r["rank"]) for r in entry.queries()["ann_topk"](spark, folder).collect()}
+    assert len(exact & found) / len(exact) >= 0.9 and found == exact
+
+
+def test_ann_leaves_far_lists_unread(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i:04d}", (np.eye(16)[i % 16] + 0.02 * rng.normal(size=16)).tolist()) for i in range(800)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, vec array<double>")
+    asked = spark.createDataFrame([(i, rows[i * 37][1]) for i in range(20)], "qid long, vec array<double>")
+    exact = {(r.qid, r.chunk_id) for r in Q.dense_topk(vectors, asked, 10).collect()}
+    assert {(r.qid, r.chunk_id) for r in Q.ann_topk(vectors, asked, 10, probes=1).collect()} == exact
+    chunks, every = Q._inverted(vectors, asked, 16, 20_000)
+    first = Q._meet(chunks, every.filter("place <= 1"), 10)
+    top = Q.top_per_key(first, ["qid"], Q.by_score(), 10)
+    assert Q.unread_lists(every, top, 10, 1).count() < 0.2 * 20 * 16
+
+
 def test_ann_prunes_clustered_vectors(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(16, 24))
