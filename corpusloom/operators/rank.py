@@ -83,7 +83,9 @@ def sibling_violations(chunks: DataFrame, siblings: DataFrame) -> DataFrame:
     """Stated sibling pairs (chunk_id, sibling_id) that are not symmetric or cross families, and pairs not stated.
 
     A pair is looked for from each chunk to the next of its family, around its
-    end, so a family is never expanded into all its pairs.
+    end, so a family is never expanded into all its pairs. A chunk that states that
+    pair but fewer siblings than its family has is reported as incomplete, without
+    a sibling.
     """
     back = siblings.select(F.col("sibling_id").alias("chunk_id"), F.col("chunk_id").alias("sibling_id"))
     one_way = siblings.join(back, ["chunk_id", "sibling_id"], "left_anti").withColumn("problem", F.lit("not symmetric"))
@@ -97,7 +99,17 @@ def sibling_violations(chunks: DataFrame, siblings: DataFrame) -> DataFrame:
     following = chunks.filter("parent_id is not null").select(
         "chunk_id", F.coalesce(F.lead("chunk_id").over(ring), F.min("chunk_id").over(W.partitionBy("parent_id"))).alias("sibling_id"))
     missing = following.filter("chunk_id <> sibling_id").join(siblings, ["chunk_id", "sibling_id"], "left_anti").withColumn("problem", F.lit("missing"))
-    return one_way.unionByName(crossing).unionByName(missing)
+    member = family.filter("parent_id is not null").distinct()
+    stated = (
+        siblings.filter("chunk_id <> sibling_id").distinct().join(member, "chunk_id")
+        .join(member.select(F.col("chunk_id").alias("sibling_id"), "parent_id"), ["sibling_id", "parent_id"])
+        .groupBy("chunk_id", "parent_id").agg(F.count("*").alias("stated")))
+    sizes = member.groupBy("parent_id").agg(F.count("*").alias("size"))
+    incomplete = (
+        member.join(sizes, "parent_id").join(stated, ["chunk_id", "parent_id"], "left")
+        .filter(F.coalesce("stated", F.lit(0)) < F.col("size") - 1).join(missing, "chunk_id", "left_anti")
+        .select("chunk_id", F.lit(None).cast("string").alias("sibling_id"), F.lit("incomplete").alias("problem")))
+    return one_way.unionByName(crossing).unionByName(missing).unionByName(incomplete)
 
 
 def fuse(streams: DataFrame, limit: int) -> DataFrame:

@@ -370,6 +370,14 @@ def test_sibling_violations(spark):
     assert ("a", "b", "missing") in lost
 
 
+def test_siblings_missing_on_both_sides_are_reported(spark):
+    chunks = spark.createDataFrame([(c, "p") for c in "abcd"] + [("r", None)], "chunk_id string, parent_id string")
+    every = spark.createDataFrame([(a, b) for a in "abcd" for b in "abcd" if a != b], "chunk_id string, sibling_id string")
+    assert R.sibling_violations(chunks, every).collect() == []
+    got = R.sibling_violations(chunks, every.filter("chunk_id || sibling_id not in ('ac', 'ca')")).collect()
+    assert {tuple(r) for r in got} == {("a", None, "incomplete"), ("c", None, "incomplete")}
+
+
 def test_all_candidates_are_ranked_and_titles_lead(spark):
     rows = [(1, f"c{i:03d}", i + 1, i == 149, float(i % 7)) for i in range(150)]
     found = spark.createDataFrame(rows, "qid long, chunk_id string, rank int, title_match boolean, logit double")
