@@ -3,7 +3,8 @@
 A k-mer of bytes is chosen when the smallest of its inner s-mers lies at its
 first or last place. Whether a k-mer is chosen depends on its own bytes alone, so
 two texts that share a passage choose the same anchors inside it wherever it
-stands. The fingerprint keeps the smallest anchor hashes.
+stands. All anchors are kept, with their places; the fingerprint is a short digest
+of their smallest hashes beside them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common as C
 
 K, S, SKETCH = 12, 5, 64
+STARTS, HASHES = pa.list_(pa.int32()), pa.list_(pa.int64())
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -48,47 +50,51 @@ def anchors(data: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return starts, rolling.of(starts, starts + k)
 
 
-def sketch(data: bytes, k: int = K, s: int = S, keep: int = SKETCH) -> np.ndarray:
-    """The ``keep`` smallest distinct anchor hashes, as 32-bit numbers in order."""
-    _, hashes = anchors(np.frombuffer(data, np.uint8), k, s)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    if len(short) > 4 * keep:  # the smallest, and what repeats among them, before they are made distinct
-        bound = keep
-        while True:
-            some = np.unique(np.partition(short, min(bound * 2, len(short) - 1))[: bound * 2])
-            if len(some) >= keep or bound * 2 >= len(short):
-                return some[:keep]
-            bound *= 4
-    return np.unique(short)[:keep]
+def sketch(data: bytes, k: int = K, s: int = S) -> np.ndarray:
+    """All distinct anchor hashes in order."""
+    return np.unique(anchors(np.frombuffer(data, np.uint8), k, s)[1])
 
 
-def text_of(found: np.ndarray) -> str:
-    return found.astype(">u4").tobytes().hex()
+def text_of(found: np.ndarray, keep: int = SKETCH) -> str:
+    """Digest of distinct hashes in order: the ``keep`` smallest as 32-bit numbers."""
+    return np.unique((found >> np.uint64(32)).astype(np.uint32))[:keep].astype(">u4").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, keep: int = SKETCH) -> float:
-    """Estimated Jaccard similarity of the anchors: the share of the smallest of both that both hold.
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of anchor hashes.
 
-    Two empty fingerprints are alike, an empty and another one are not.
+    Two empty sets are alike, an empty and another one are not.
     """
     if not len(a) and not len(b):
         return 1.0
-    union = np.union1d(a, b)[:keep]
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True)).sum()) / len(union)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def printed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and hashes of all anchors, and the distinct hashes in order."""
+    starts, hashes = anchors(np.frombuffer(data, np.uint8))
+    return starts.astype(np.int32), C.signed(hashes), np.unique(hashes)
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of every row, with ``fingerprint``: the operator by itself. Null texts are empty."""
-    names = [c for c in docs.columns if c not in ("fingerprint", "_printed")]
+    """All columns of every row, with all anchors of the text and ``fingerprint``: the operator by itself.
+
+    ``anchor_starts`` are byte positions in order, ``anchor_hashes`` stand beside
+    them. Null texts are empty.
+    """
+    names = [c for c in docs.columns if c not in ("anchor_starts", "anchor_hashes", "fingerprint", "_printed")]
     inner = docs.select(*names, C.text_or_empty(text).alias("_printed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in C.slices(batches, "_printed"):
-            prints = [text_of(sketch(t.as_buffer().to_pybytes() if t.is_valid else b"")) for t in part.column("_printed").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(prints, pa.string())], names=[*names, "fingerprint"])
+            prints = [printed(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in part.column("_printed").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:-1], pa.array([p[0] for p in prints], STARTS), pa.array([p[1] for p in prints], HASHES),
+                 pa.array([text_of(p[2]) for p in prints], pa.string())], names=[*names, "anchor_starts", "anchor_hashes", "fingerprint"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
-    return inner.mapInArrow(run, f"{schema}, fingerprint string")
+    return inner.mapInArrow(run, f"{schema}, anchor_starts array<int>, anchor_hashes array<bigint>, fingerprint string")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -120,11 +126,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double")
+          "near_edited double, near_next double, anchor_starts array<int>, anchor_hashes array<bigint>, "
+          "edited_anchor_starts array<int>, edited_anchor_hashes array<bigint>")
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """Fingerprint of every text and of its edited text, and their likeness.
+    """Anchors and fingerprint of every text and of its edited text, and the likeness of all their anchors.
 
     Null texts are empty; a table of one row has itself as next document; an empty
     table gives an empty result; columns besides doc_id and text are ignored.
@@ -134,11 +141,11 @@ def compare(docs: DataFrame) -> DataFrame:
     dealt = parts.repartition(n, "part").sortWithinPartitions("part", "tail", F.col("at").desc(), "text").select("part", "tail", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (part, doc_id, text, sketch) of the row that waits for its next one
+        held = None  # (part, doc_id, text, anchors) of the row that waits for its next one
         for batch in C.slices(batches, "text"):
             out = []
             for part, tail, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "tail", "doc_id", "text")), strict=True):
-                mark = sketch(text.encode()) if not tail or held is not None and held[0] == part else None
+                mark = printed(text.encode()) if not tail or held is not None and held[0] == part else None
                 if held is not None and held[0] == part:
                     out.append(row(*held[1:], text, mark))
                     held = None
@@ -151,16 +158,18 @@ def compare(docs: DataFrame) -> DataFrame:
 
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+    ("anchor_starts", STARTS), ("anchor_hashes", HASHES), ("edited_anchor_starts", STARTS), ("edited_anchor_hashes", HASHES)])
 
 
-def row(doc: int | None, text: str, mark: np.ndarray, following: str, next_mark: np.ndarray) -> dict:
+def row(doc: int | None, text: str, mark: tuple, following: str, next_mark: tuple) -> dict:
     half = len(text) // 2
     edited = (text[: len(text) - half] + following[:half]).encode()
-    other = sketch(edited)
+    other = printed(edited)
     return {
-        "doc_id": doc, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited).hexdigest(), "fingerprint": text_of(mark),
-        "edited_fingerprint": text_of(other), "near_edited": likeness(mark, other), "near_next": likeness(mark, next_mark)}
+        "doc_id": doc, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited).hexdigest(), "fingerprint": text_of(mark[2]),
+        "edited_fingerprint": text_of(other[2]), "near_edited": likeness(mark[2], other[2]), "near_next": likeness(mark[2], next_mark[2]),
+        "anchor_starts": mark[0], "anchor_hashes": mark[1], "edited_anchor_starts": other[0], "edited_anchor_hashes": other[1]}
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

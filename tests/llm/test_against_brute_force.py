@@ -410,6 +410,24 @@ def test_fingerprints(result, texts):
         assert r["near_edited"] == syncmers.likeness(a, b) and r["near_next"] == syncmers.likeness(a, c)
 
 
+def test_all_anchors_of_long_texts(table):
+    """A passage of 500 bytes that two long texts share is seen in their anchors and places."""
+    rng = np.random.default_rng(4)
+    shared, a, b = (bytes(rng.integers(97, 123, n, np.uint8)).decode() for n in (500, 60_000, 60_000))
+    texts = {1: a[:20_000] + shared + a[20_000:], 2: b[:50_000] + shared + b[50_000:]}
+    rows = {r["doc_id"]: r for r in syncmers.compare(table(list(texts.items()))).collect()}
+    places = []
+    for doc, text in texts.items():
+        starts, hashes = syncmers.anchors(np.frombuffer(text.encode(), np.uint8))
+        assert rows[doc]["anchor_starts"] == starts.tolist() and rows[doc]["anchor_hashes"] == common.signed(hashes).tolist()
+        places.append(dict(zip(rows[doc]["anchor_hashes"], rows[doc]["anchor_starts"], strict=True)))
+    common_ones = places[0].keys() & places[1].keys()
+    assert len(common_ones) > 60 and all(places[1][h] - places[0][h] == 30_000 for h in common_ones)
+    assert rows[1]["near_next"] == len(common_ones) / len(places[0].keys() | places[1].keys()) > 0
+    got = syncmers.fingerprint(table(list(texts.items()))).collect()
+    assert {r["doc_id"]: len(r["anchor_starts"]) for r in got} == {d: len(r["anchor_starts"]) for d, r in rows.items()}
+
+
 def test_likeness_follows_shared_anchors(texts):
     errors = []
     found = list(texts.values())
