@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scale import cut
+from corpusloom.functions.scale import cut, running_number
 from corpusloom.llm.common import WORD, documents
 
 WEIGHTS = (3, 1, 2)
@@ -88,13 +88,29 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture takes it, with the columns of ``docs``.
 
     Copies are joined back by id, source and a hash of the text. Rows equal in all
-    three cannot be told apart: each takes the rounded average of their copies.
+    three are numbered on both sides where their copies differ, so each row takes
+    its own copies.
     """
-    taken = copies(docs, **settings).groupBy("doc_id", "source", "tag").agg(F.round(F.avg("copies")).cast("int").alias("times")).filter("times > 0")
+    key = ["doc_id", "source", "tag"]
+    each = copies(docs, **settings).select(*key, "copies")
+    groups = cut(each.groupBy(*key).agg(F.min("copies").alias("low"), F.max("copies").alias("high")))
     rows = docs.select(F.struct("*").alias("row"))  # columns of any name stay inside
     same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
-    joined = rows.join(taken, same & (text_tag("row.text") == F.col("tag")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    same = same & (text_tag("row.text") == F.col("tag"))
+    taken = rows.join(groups.filter("low = high and low > 0"), same).select("row", F.col("low").cast("int").alias("times"))
+    uneven = groups.filter("low < high").select(*key, F.to_json(F.struct(*key)).alias("group"))  # never null
+    if not uneven.isEmpty():
+        # The tie spreads a group over range partitions; it is not the order of anything.
+        numbered = running_number(rows.join(uneven, same).select("row", "group", tie()), ["group"], [F.col("tie")], "turn")
+        slots = each.select("copies", F.to_json(F.struct(*key)).alias("group")).join(uneven.select("group"), "group", "left_semi")
+        slots = running_number(slots.withColumn("tie", tie()), ["group"], [F.col("tie")], "turn")
+        own = numbered.join(slots.select("group", "turn", "copies"), ["group", "turn"])
+        taken = taken.unionByName(own.filter("copies > 0").select("row", F.col("copies").cast("int").alias("times")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
+def tie() -> Column:
+    return F.xxhash64(F.monotonically_increasing_id()).alias("tie")
 
 
 def text_tag(name: str = "text") -> Column:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm import common, mixing, near, packing, quality, registry, repeats, secrets, sharding, syncmers, toxicity, urls
@@ -380,6 +381,18 @@ def test_mix_takes_rows_as_often_as_stated(spark, folder):
     assert Counter(r["doc_id"] for r in mixing.mix(docs).collect()) == stated
 
 
+def test_mix_of_equal_rows_takes_the_stated_copies(table):
+    """A large group of equal rows, with null ids as well, is sampled and neither lost nor kept whole."""
+    rows = [(None, "same words here", "a")] * 300 + [(7, "other equal words", "b")] * 200 + [(100 + i, f"text number {i} of c", "c") for i in range(100)]
+    docs = table(rows)
+    stated = Counter()
+    for r in mixing.copies(docs).collect():
+        stated[r["doc_id"], r["source"]] += r["copies"]
+    uneven = {(r["doc_id"], r["source"]): r["n"] for r in mixing.copies(docs).groupBy("doc_id", "source").agg(F.count_distinct("copies").alias("n")).collect()}
+    assert max(uneven.values()) > 1
+    assert Counter((r["doc_id"], r["source"]) for r in mixing.mix(docs).collect()) == +stated
+
+
 # -- fingerprints ------------------------------------------------------------
 def plain_anchors(data, k, s):
     rolling = common.Rolling(np.frombuffer(data, np.uint8))
