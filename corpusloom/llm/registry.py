@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corpusloom.llm import mixing, near, packing, quality, repeats, secrets, sharding, syncmers, toxicity, urls
+from corpusloom.llm import manifest, mixing, near, packing, quality, repeats, runs, secrets, sharding, syncmers, templates, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": near.query,
         "op9_mixing": mixing.query,
         "op10_fingerprints": syncmers.query,
+        "op11_html_text": templates.query,
+        "op12_word_runs": runs.query,
+        "op13_merkle_manifest": manifest.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    found = {"op8_near_dedup": near.SQL, "op9_mixing": mixing.SQL}
+    found = {"op8_near_dedup": near.SQL, "op9_mixing": mixing.SQL, "op13_merkle_manifest": manifest.SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
