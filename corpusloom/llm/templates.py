@@ -65,7 +65,7 @@ PLAIN = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*+)>")
 CLOSE = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*+>")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAMES = re.compile(r"[a-z0-9]+")
-DIGITS = re.compile(r"\d+")
+DIGITS, NUMBER = re.compile(r"\d+"), re.compile(r"\d{3,}")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -103,7 +103,7 @@ def judge(tag: str, given: dict[str, str], parent: Element) -> tuple[int, bool]:
             side = [n for n in names if n in SIDE or n.startswith(SIDE_STARTS)]
             if side and not (set(side) <= {"header", "banner"} and (parent.main or OWN & set(names))):
                 out = max(out, 1 if tag in LOOSE else 2)
-                talk = talk or any(n.startswith("sidebar") or n == "related" for n in side)
+                talk = talk or len(side) == len(names) and bool({"sidebar", "aside", "related", "recommended"} & set(side))
     return out, talk
 
 
@@ -232,7 +232,7 @@ def scan(page: str) -> tuple[list[tuple[str, bool]], list[tuple]]:
                 out, main = 0, True
         name = tag
         if given.get("class"):
-            name += "." + DIGITS.sub("0", ".".join(sorted(given["class"].split())))
+            name += "." + NUMBER.sub("0", ".".join(sorted(given["class"].split())))
         elif tag in ("div", "section", "table"):
             parent.nth[tag] += 1
             name += f"[{parent.nth[tag]}]"
