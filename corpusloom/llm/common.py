@@ -68,46 +68,83 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: One random 64-bit value per byte, by rule.
-BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+PRIME = np.uint64((1 << 61) - 1)
+BASE = 0x9E3779B97F4A7C15 % ((1 << 61) - 1)
+INVERSE = pow(BASE, -1, (1 << 61) - 1)
+LOW30, LOW31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+U1, U8, U30, U31, U61 = (np.uint64(x) for x in (1, 8, 30, 31, 61))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo 2 ** 61 - 1."""
+    x = (x & PRIME) + (x >> U61)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2 ** 31 modulo 2 ** 61 - 1, below 2 ** 62 + 2 ** 34; x is below 2 ** 64."""
+    return (x >> U30) + ((x & LOW30) << U31)
+
+
+def product(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """a * (high * 2 ** 31 + low) modulo 2 ** 61 - 1 for factors below it."""
+    a_low, a_high = a & LOW31, a >> U31
+    return reduced(((a_high * high) << U1) + shifted(a_high * low + a_low * high) + a_low * low)
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Low 31 and high 30 bits of base ** 0 .. base ** n modulo 2 ** 61 - 1."""
+    out = np.ones(1, np.uint64)
+    while len(out) <= n:
+        step = np.uint64(pow(base, len(out), int(PRIME)))
+        out = np.concatenate([out, product(out, step & LOW31, step >> U31)])
+    return out & LOW31, out >> U31
 
 
 class Rolling:
-    """Polynomial hashes of any piece of a byte string, from one prefix sum modulo 2 ** 64."""
+    """Hashes of any piece of a byte string from one prefix sum.
+
+    Polynomials modulo the prime 2 ** 61 - 1: two different pieces of n bytes agree for at
+    most n of all bases, whatever their structure (modulo 2 ** 64 strings such as
+    Thue-Morse's agree for every base).
+    """
 
     _up, _down = powers(BASE, 1 << 12), powers(INVERSE, 1 << 12)
+    _PART = 1 << 22  # terms whose sums of products with a byte fit 64 bits
 
     def __init__(self, data: np.ndarray) -> None:
-        if len(data) >= len(Rolling._up):  # tables of powers grow to the longest slice seen
+        if len(data) >= len(Rolling._up[0]):  # tables of powers grow to the longest slice seen
             top = 1 << len(data).bit_length()
             Rolling._up, Rolling._down = powers(BASE, top), powers(INVERSE, top)
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(BYTE[data] * Rolling._up[: len(data)], out=self.sums[1:])
-        self.back = Rolling._down
+        self.data, self.back = data, Rolling._down
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        low, high = Rolling._up
+        for at in range(0, len(data), self._PART):
+            x = data[at: at + self._PART].astype(np.uint64) + U1
+            end = at + len(x)
+            total = reduced(np.cumsum(x * low[at:end])) + reduced(shifted(np.cumsum(x * high[at:end])))
+            self.sums[at + 1: end + 1] = reduced(total + self.sums[at])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hashes of data[start:stop]; equal pieces of equal length agree."""
-        with np.errstate(over="ignore"):
-            return mixed((self.sums[stop] - self.sums[start]) * self.back[start])
+        """Hashes of data[start:stop]; equal pieces agree."""
+        return mixed(product(reduced(self.sums[stop] + PRIME - self.sums[start]), self.back[0][start], self.back[1][start]))
 
     def windows(self, width: int) -> np.ndarray:
-        """Hashes of all pieces of ``width`` bytes."""
+        """Hashes of all pieces of ``width`` bytes; those of up to 16 bytes come from one or two words of 8 bytes."""
         n = len(self.sums) - width
         if n <= 0:
             return np.empty(0, np.uint64)
-        with np.errstate(over="ignore"):
-            return mixed((self.sums[width:] - self.sums[:n]) * self.back[:n])
+        if width > 16:
+            return mixed(product(reduced(self.sums[width:] + PRIME - self.sums[:n]), self.back[0][:n], self.back[1][:n]))
+        word = min(width, 8)
+        block = np.zeros(n + width - word, np.uint64)
+        for i in range(word):
+            block = (block << U8) | self.data[i: i + len(block)]
+        first = mixed(block)
+        return mixed(first[:n] ^ (block[width - word:] + BYTES)) if width > 8 else first
+
+
+BYTES = np.uint64(0x9E3779B97F4A7C15)
 
 
 def signed(values: np.ndarray) -> np.ndarray:
