@@ -97,17 +97,17 @@ def phrases(rows: DataFrame, match: int) -> DataFrame:
 
 
 def judged(parsed: DataFrame) -> DataFrame:
-    """Phrases with a trigger that occurs twice: (doc, tag, trigger, lo, hi, kind).
+    """Phrases with a trigger that occurs twice: (doc, tag, trigger, lo, hi, kind); ``rows`` is how many rows a text stands for.
 
     kind 1: repeated as a whole; 2: so, and one copy is compared with single entries;
     3: a single entry. 10 is added where the trigger has too many occurrences for one group.
     """
-    single = parsed.select("doc", "tag", F.explode(F.arrays_zip("trigger", "entry", "at", "lo", "hi")).alias("p")).select("doc", "tag", "p.*")
-    triggers = single.groupBy("trigger").agg(F.count("*").alias("met"), F.min("entry").alias("e1"), F.max("entry").alias("e2")).filter("met > 1").select(
+    single = parsed.select("doc", "tag", "rows", F.explode(F.arrays_zip("trigger", "entry", "at", "lo", "hi")).alias("p")).select("doc", "tag", "rows", "p.*")
+    triggers = single.groupBy("trigger").agg(F.sum("rows").alias("met"), F.min("entry").alias("e1"), F.max("entry").alias("e2")).filter("met > 1").select(
         "trigger", (F.col("e1") != F.col("e2")).alias("torn"), (F.col("met") > GROUP).alias("many"))
     flagged = cut(single.join(triggers, "trigger"))
     torn = flagged.filter("torn")
-    entries = torn.groupBy("trigger", "entry").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "at")).alias("first"))
+    entries = torn.groupBy("trigger", "entry").agg(F.sum("rows").alias("n"), F.min(F.struct("doc", "tag", "at")).alias("first"))
     kind = F.when(F.col("n") == 1, 3).when(F.col("first") == F.struct("doc", "tag", "at"), 2).otherwise(1) + F.when(F.col("many"), 10).otherwise(0)
     out = ["doc", "tag", "trigger", "lo", "hi"]
     return torn.join(entries, ["trigger", "entry"]).select(*out, kind.alias("kind")).union(flagged.filter("not torn").select(*out, F.lit(1)))
@@ -245,29 +245,46 @@ def remove(docs: DataFrame, match: int = MATCH, text: str = "text", with_text: b
     A byte goes when a string of ``match`` bytes over it starts anywhere else, in
     this text or another; bytes cut inside a character are replaced in kept_text.
     Null and empty texts, and texts shorter than ``match`` bytes, lose nothing.
-    Repeated rows are repeated texts: those long enough lose everything. An empty
-    table gives an empty result; other columns are ignored.
+    Repeated rows are repeated texts: those long enough lose everything, and one of
+    them stands for all in the comparison with others. An empty table gives an empty
+    result; other columns are ignored.
     """
     rows = keyed(docs, text)
     parsed = C.written(phrases(rows, match), "parsed")
+    key = ["doc", "tag"]
+    again = cut(parsed.filter(F.col("n_bytes") >= match).groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1"))
+    units, texts = parsed.withColumn("rows", F.lit(1).cast("long")), rows.select(*key, "text")
+    repeated = not again.isEmpty()
+    if repeated:  # one row for each of them, with a count
+        names = ["trigger", "entry", "at", "lo", "hi"]
+        same = parsed.join(again, key).groupBy(*key, "rows").agg(*[F.first(c).alias(c) for c in names])
+        units = units.select(*key, "rows", *names).join(again, key, "left_anti").unionByName(same)
+        one = texts.join(again, key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
+        texts = texts.join(again, key, "left_anti").unionByName(one)
     mark = F.struct("trigger", "lo", "hi", "kind")
-    marks = judged(parsed).groupBy("doc", "tag").agg(F.collect_list(mark).alias("marks"))
-    marked = C.written(rows.select("doc", "tag", "text").join(marks, ["doc", "tag"]), "marked")
+    marks = judged(units).groupBy(*key).agg(F.collect_list(mark).alias("marks"))
+    marked = C.written(texts.join(marks, key), "marked")
     rest = cut(open_strings(marked.filter(F.exists("marks", lambda m: m["kind"].isin(2, 3, 12, 13))), match))
     many = rest.filter("body is null")
     twice = many.groupBy("trigger", "string").count().filter("count > 1").select("trigger", "string")
     hits = sorted_strings(rest.filter("body is not null"), match).union(
-        many.filter("need").join(twice, ["trigger", "string"]).select("doc", "tag", "lo", F.col("lo").alias("hi")))
-    hits = hits.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("hits"))
-    found = dropped(marked.join(hits, ["doc", "tag"], "left"), match, with_text).dropDuplicates(["doc", "tag"])
-    whole = parsed.select("doc_id", "doc", "tag", "n_bytes", "sha")
+        many.filter("need").join(twice, ["trigger", "string"]).select(*key, "lo", F.col("lo").alias("hi")))
+    hits = hits.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("hits"))
+    found = dropped(marked.join(hits, key, "left"), match, with_text)
+    whole = parsed.select("doc_id", *key, "n_bytes", "sha")
     if with_text:
-        whole = rows.join(whole.drop("doc_id").distinct(), ["doc", "tag"])
-    result = whole.join(found, ["doc", "tag"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"),
-        *([F.coalesce("kept_text", "text").alias("kept_text")] if with_text else []))
-    return result
+        whole = whole.join(texts.groupBy(*key).agg(F.first("text").alias("text")), key)
+
+    def told(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+            F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"),
+            *([F.coalesce("kept_text", "text").alias("kept_text")] if with_text else []))
+
+    if not repeated:
+        return told(whole.join(found, key, "left"))
+    gone = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1), "kept_sha": F.lit(hashlib.sha256(b"").hexdigest()), "kept_text": F.lit("")}
+    return told(whole.join(again, key, "left_anti").join(found, key, "left")).union(told(whole.join(again, key, "left_semi").withColumns(gone)))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
