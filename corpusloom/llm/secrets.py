@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-Both models are first-order chains over characters, trained on labelled samples:
-values that the patterns call secrets, and other words of the same texts. A token
-of at least ``TOKEN`` characters that no pattern covers is a secret when its
-log-likelihood ratio per character reaches ``LEAST``.
+Both models are first-order chains over characters, trained on labelled samples.
+Random: the values that the patterns call secrets, and as many made strings of the
+alphabets that keys are written in. Ordinary: other words of the same texts, and
+constants, names and paths put together from them. A piece of at least ``TOKEN``
+characters outside the patterns' spans is a secret when it mixes kinds of characters,
+is no UUID, and its log-likelihood ratio per character reaches ``LEAST``.
 """
 
 from __future__ import annotations
@@ -30,9 +32,12 @@ KINDS = ("assign", "access", "hex", "markov")
 TOKEN, SAMPLE = 20, 8
 TOKENS, SAMPLES = (re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % n) for n in (TOKEN, SAMPLE))
 #: Natural-log ratio per character at which a token counts as random.
-LEAST = 0.6
-#: Share of a model that stands for characters drawn evenly: a random string may use alphabets the samples lack.
-EVEN = {"random": 0.5, "ordinary": 0.02}
+LEAST = 0.8
+#: Share of a model that stands for characters drawn evenly.
+EVEN = {"random": 0.1, "ordinary": 0.02}
+UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+KIND_OF_CHARACTER = (re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[0-9]"))
+LETTERS = re.compile(r"[A-Za-z]{3,}")
 
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 BREAK = len(SYMBOLS)
@@ -53,21 +58,57 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def tokens(text: str, spans: list[Span], pattern: re.Pattern) -> list[tuple[int, int, str]]:
-    """Start, end and word of all matches of ``pattern`` that touch no span."""
+def tokens(text: str, spans: list[Span], pattern: re.Pattern, cut: bool = True) -> list[tuple[int, int, str]]:
+    """Start, end and word of all matches of ``pattern`` outside the spans.
+
+    A match that touches spans is cut there and its pieces are matched again, or left out without ``cut``.
+    """
     found = [(*m.span(), m[0]) for m in pattern.finditer(text)]
     if not spans or not found:
         return found
-    free, i, reach = [], 0, 0
-    for start, end, word in found:  # both lists stand by their starts
-        while i < len(spans) and spans[i][0] < end:
-            reach = max(reach, spans[i][1])
-            i += 1
-        if reach <= start:
+    free, first = [], 0
+    reach = np.maximum.accumulate([s[1] for s in spans]).tolist()  # spans stand by their starts
+    for start, end, word in found:
+        while first < len(spans) and reach[first] <= start:
+            first += 1
+        at, k, touched = start, first, False
+        while k < len(spans) and spans[k][0] < end:
+            if spans[k][1] > at:
+                touched = True
+                if cut:
+                    free += [(at + m.start(), at + m.end(), m[0]) for m in pattern.finditer(text[at: max(spans[k][0], at)])]
+                at = spans[k][1]
+            k += 1
+        if not touched:
             free.append((start, end, word))
+        elif cut and at < end:
+            free += [(at + m.start(), at + m.end(), m[0]) for m in pattern.finditer(text[at:end])]
     return free
 
 
+def mixes(word: str) -> bool:
+    """Whether a token has two kinds of letters and digits, no mere sprinkle of letters (times), and is no UUID."""
+    lower, upper, digits = (len(k.findall(word)) for k in KIND_OF_CHARACTER)
+    return (lower > 0) + (upper > 0) + (digits > 0) > 1 and 7 * (lower + upper) >= len(word) and not UUID.fullmatch(word)
+
+
+def put_together(words: list[str]) -> list[str]:
+    """Constants, names and paths of three words each, in four ways of writing."""
+    rows = list(zip(words[::3], words[1::3], words[2::3], strict=False))
+    made = []
+    for i, row in enumerate(rows):
+        way = i % 4
+        if way == 0:
+            made.append("_".join(row).upper())
+        elif way == 1:
+            made.append(row[0].lower() + "".join(w.capitalize() for w in row[1:]) + str(i % 100))
+        elif way == 2:
+            made.append("/".join(row) + f"-{i % 10}")
+        else:
+            made.append("-".join(row).lower() + f"_{i % 1000}")
+    return made
+
+
 def pair_counts(words: list[str]) -> np.ndarray:
     """How often each character follows each, starts and ends of words included."""
     codes = CODE[np.frombuffer(("\n" + "\n".join(words) + "\n").encode(), np.uint8)]
@@ -77,9 +118,12 @@ def pair_counts(words: list[str]) -> np.ndarray:
 def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratio of every pair of characters (SIZE x SIZE), from all texts.
 
-    Labelled samples are the values of the patterns (random) and the words of
-    ``SAMPLE`` characters or more outside them (ordinary). Tasks send one count per
-    pair and label; the driver sees two tables of fixed size.
+    Labelled samples are the values of the patterns (random), and the words of
+    ``SAMPLE`` characters or more outside them with what is put together from words
+    (ordinary). Tasks send one count per pair and label; the driver sees two tables of
+    fixed size. Null and empty texts give no sample, repeated rows count again; an
+    empty table leaves the made random strings against an even model. Only the column
+    ``text`` is read.
     """
     schema = pa.schema([("random", pa.bool_()), ("pair", pa.int32()), ("n", pa.int64())])
 
@@ -91,7 +135,8 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
                 spans = base_spans(value)
                 for start, end, _ in spans:
                     secret += SAMPLES.findall(value[start:end])[-1:]
-                plain += [word for _, _, word in tokens(value, spans, SAMPLES)] if spans else SAMPLES.findall(value)
+                plain += [word for _, _, word in tokens(value, spans, SAMPLES, cut=False)] if spans else SAMPLES.findall(value)
+                plain += put_together(LETTERS.findall(value))
             sums += np.stack([pair_counts(plain), pair_counts(secret)])
         kind, pair = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(kind == 1), pa.array(pair.astype(np.int32)), pa.array(sums[kind, pair])], schema=schema)
@@ -100,9 +145,20 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     table = np.zeros((2, SIZE * SIZE))
     for r in rows.groupBy("random", "pair").agg(F.sum("n").alias("n")).collect():
         table[int(r["random"]), r["pair"]] = r["n"]
+    made = pair_counts(made_random()).astype(float)
+    table[1] += made * max(1.0, table[1].sum() / made.sum())  # half of the random sample, at least
+    table[0] += pair_counts([c * 40 for c in SYMBOLS]) * (table[0].sum() / (50 * 40 * BREAK))  # rules and runs of one sign: a fiftieth
     return ratios(table[1].reshape(SIZE, SIZE), table[0].reshape(SIZE, SIZE))
 
 
+def made_random(n: int = 3000, size: int = 40) -> list[str]:
+    """Strings drawn evenly from each of the alphabets of keys: base64, the same for URLs, base62, base32, hex digits."""
+    upper, lower, digits = SYMBOLS[:26], SYMBOLS[26:52], SYMBOLS[52:62]
+    alphabets = [upper + lower + digits + "+/", upper + lower + digits + "_-", upper + lower + digits, upper + "234567", digits + "abcdef"]
+    rng = np.random.default_rng(7)
+    return ["".join(np.array(list(a))[rng.integers(0, len(a), size)]) for a in alphabets for _ in range(n // len(alphabets))]
+
+
 def ratios(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     """log P(next | character, random) - log P(next | character, ordinary), smoothed."""
     def chain(counts: np.ndarray, even: float) -> np.ndarray:
@@ -119,7 +175,7 @@ def ratio_of(word: str, model: np.ndarray) -> float:
 
 def all_spans(text: str, model: np.ndarray, least: float = LEAST) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
-    extra = [(start, end, "markov") for start, end, word in tokens(text, base, TOKENS) if ratio_of(word, model) >= least]
+    extra = [(start, end, "markov") for start, end, word in tokens(text, base, TOKENS) if mixes(word) and ratio_of(word, model) >= least]
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
