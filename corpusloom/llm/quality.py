@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
 
@@ -138,5 +139,11 @@ def rate(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     return inner.mapInArrow(run, ", ".join(filter(None, [schema, COUNTS, SHARES, VERDICT])))
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, unchanged; columns of any name stay as they are."""
+    row = docs.select(F.struct("*").alias("row"), C.text_or_empty().alias("text"))
+    return rate(row, keep=["row"]).filter("kept").select("row.*")
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return rate(C.documents(spark, folder), keep=["doc_id"])
