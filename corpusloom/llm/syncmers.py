@@ -3,23 +3,25 @@
 A k-mer of bytes is chosen when the smallest of its inner s-mers lies at its
 first or last place. Whether a k-mer is chosen depends on its own bytes alone, so
 two texts that share a passage choose the same anchors inside it wherever it
-stands. All anchors are kept, with their places; the fingerprint is a short digest
-of their smallest hashes beside them.
+stands. All anchors are kept, with their places; the fingerprint lists the first 40
+bits of all their distinct hashes, and likeness compares two such lists.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
 
-K, S, SKETCH = 12, 5, 64
+K, S = 12, 5
+KEPT = np.uint64(24)  # bits of a hash that a fingerprint leaves out
 STARTS, HASHES = pa.list_(pa.int32()), pa.list_(pa.int64())
 
 
@@ -51,17 +53,21 @@ def anchors(data: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
 
 
 def sketch(data: bytes, k: int = K, s: int = S) -> np.ndarray:
-    """All distinct anchor hashes in order."""
-    return np.unique(anchors(np.frombuffer(data, np.uint8), k, s)[1])
+    """The distinct anchors of a text in order, by the first 40 bits of their hashes."""
+    return distinct(anchors(np.frombuffer(data, np.uint8), k, s)[1])
 
 
-def text_of(found: np.ndarray, keep: int = SKETCH) -> str:
-    """Digest of distinct hashes in order: the ``keep`` smallest as 32-bit numbers."""
-    return np.unique((found >> np.uint64(32)).astype(np.uint32))[:keep].astype(">u4").tobytes().hex()
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes >> KEPT)
+
+
+def text_of(found: np.ndarray) -> str:
+    """Fingerprint of distinct anchors: ten hexadecimal digits each, in order."""
+    return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of anchor hashes.
+    """Jaccard similarity of two sets of anchors as fingerprints list them.
 
     Two empty sets are alike, an empty and another one are not.
     """
@@ -72,9 +78,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def printed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and hashes of all anchors, and the distinct hashes in order."""
+    """Starts and hashes of all anchors, and the distinct ones in order."""
     starts, hashes = anchors(np.frombuffer(data, np.uint8))
-    return starts.astype(np.int32), C.signed(hashes), np.unique(hashes)
+    return starts.astype(np.int32), C.signed(hashes), distinct(hashes)
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -97,48 +103,89 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return inner.mapInArrow(run, f"{schema}, anchor_starts array<int>, anchor_hashes array<bigint>, fingerprint string")
 
 
+def tree(value: Column, cuts: list[int], low: int = 0) -> Column:
+    """How many of ``cuts`` (descending) are at or above ``value``, in log2 comparisons."""
+    if not cuts:
+        return F.lit(low)
+    half = len(cuts) // 2
+    return F.when(value <= F.lit(cuts[half]), tree(value, cuts[half + 1:], low + half + 1)).otherwise(tree(value, cuts[:half], low))
+
+
+def placed(spark: SparkSession, weights: list[int], n: int) -> list[int]:
+    """For each part a number whose hash falls into the partition (of n) that has least to do so far, largest parts first."""
+    numbers = spark.range(20 * n + 200).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    free = [(0, r["p"], r["id"]) for r in sorted(numbers, key=lambda r: r["p"])]
+    heapq.heapify(free)
+    out = [0] * len(weights)
+    for part in sorted(range(len(weights)), key=lambda i: -weights[i]):
+        load, p, number = heapq.heappop(free)
+        out[part] = number
+        heapq.heappush(free, (load + weights[part] + 1, p, number))
+    return out
+
+
+PARTS = 4  # parts for each partition, so that partitions can be made equal in bytes
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (part, tail, doc_id, text): every part in descending doc_id, closed by the first row of the next part.
+    """Rows (slot, part, tail, doc_id, text, at, tie): every part in descending doc_id, closed by the first row of the next part.
 
-    Parts are ranges of doc_id between a bounded number of quantiles; the text is
-    shuffled once. A null doc_id stands last; repeated ids stand by their text.
+    Parts are ranges of doc_id between a bounded number of quantiles, and ranges of a
+    text hash for null ids, which stand last in the order of that hash; repeated ids
+    stand by their text. Parts with equal ``slot`` share a partition; the text is
+    shuffled once.
     """
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     low = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("at"), "doc_id", C.text_or_empty().alias("text"))
-    marks = [i / parts for i in range(1, parts)]
-    cuts = rows.agg(F.percentile_approx("at", marks, 10000).alias("q")).first()["q"] if marks else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    part = F.lit(0)
-    for i in range(0, len(cuts), 64):  # the number of cuts at or above the id, in sums short enough to compile
-        part = part + sum((F.when(F.col("at") <= F.lit(c), 1).otherwise(0) for c in cuts[i: i + 64]), F.lit(0))
-    rows = rows.withColumn("part", part.cast("int"))
-    heads = [(r["part"], r["head"]) for r in rows.groupBy("part").agg(F.max("at").alias("head")).orderBy("part").collect()]
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).cast("long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty().alias("text"))
+    rows = rows.withColumn("tie", tie)
+    marks = [i / (PARTS * n) for i in range(1, PARTS * n)]
+    known = F.when(F.col("doc_id").isNotNull(), F.col("at"))
+    seen = rows.agg(F.percentile_approx(known, marks, 10000).alias("q"), F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    cuts = sorted(set(seen["q"] or []), reverse=True)
+    nulls = -(-(seen["n"] - seen["ids"]) * PARTS * n // max(seen["n"], 1))
+    spread = F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * nulls), F.lit(max(nulls - 1, 0)))
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), spread + len(cuts) + 1).otherwise(tree(F.col("at"), cuts)).cast("int"))
+    heads = rows.groupBy("part").agg(F.max("at").alias("at"), F.min("tie").alias("tie"), F.sum(F.octet_length("text")).alias("size")).orderBy("part").collect()
     if not heads:
-        return rows.select("part", F.lit(0).alias("tail"), "doc_id", "text", "at")
-    # The first row of each part also closes the part before it; that of the first closes the last.
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    closing = F.element_at(F.create_map(*[x for h, p in before.items() for x in (F.lit(h), F.lit(p))]), F.col("at"))
-    tails = F.when(F.col("at").isin(list(before)), F.array(F.struct(F.col("part"), F.lit(0).alias("tail")), F.struct(closing.alias("part"), F.lit(1).alias("tail"))))
-    places = F.coalesce(tails, F.array(F.struct(F.col("part"), F.lit(0).alias("tail"))))
-    return rows.select(F.explode(places).alias("p"), "doc_id", "text", "at").select("p.part", "p.tail", "doc_id", "text", "at")
-
-
+        return rows.select(F.lit(0).cast("long").alias("slot"), "part", F.lit(0).alias("tail"), "doc_id", "text", "at", "tie")
+    slots = placed(spark, [r["size"] for r in heads], n)
+    # What a part is followed by is found by its place in these lists.
+    lists = {"at": [], "tie": [], "slot": [], "before": [], "before_slot": []}
+    of = {r["part"]: i for i, r in enumerate(heads)}
+    for part in range(heads[-1]["part"] + 1):
+        i = of.get(part, 0)
+        for name, value in zip(lists, (heads[i]["at"], heads[i]["tie"], slots[i], heads[i - 1]["part"], slots[i - 1]), strict=True):
+            lists[name].append(value)
+    own = {name: F.element_at(F.lit(values).cast("array<long>"), F.col("part") + 1) for name, values in lists.items()}
+    here = F.struct(own["slot"].alias("slot"), F.col("part"), F.lit(0).alias("tail"))
+    there = F.struct(own["before_slot"].alias("slot"), own["before"].cast("int").alias("part"), F.lit(1).alias("tail"))
+    first = (F.col("at") == own["at"]) & (F.col("tie") == own["tie"])
+    places = F.when(first, F.array(here, there)).otherwise(F.array(here))
+    return rows.select(F.explode(places).alias("p"), "doc_id", "text", "at", "tie").select("p.*", "doc_id", "text", "at", "tie")
+
+
+KINDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+ALL = [("anchor_starts", STARTS), ("anchor_hashes", HASHES), ("edited_anchor_starts", STARTS), ("edited_anchor_hashes", HASHES)]
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double, anchor_starts array<int>, anchor_hashes array<bigint>, "
-          "edited_anchor_starts array<int>, edited_anchor_hashes array<bigint>")
+          "near_edited double, near_next double")
+ALL_RESULT = ", anchor_starts array<int>, anchor_hashes array<bigint>, edited_anchor_starts array<int>, edited_anchor_hashes array<bigint>"
 
 
-def compare(docs: DataFrame) -> DataFrame:
-    """Anchors and fingerprint of every text and of its edited text, and the likeness of all their anchors.
+def compare(docs: DataFrame, places: bool = True) -> DataFrame:
+    """Fingerprint of every text and of its edited text, the likeness of both, and with ``places`` all anchors with their places.
 
     Null texts are empty; a table of one row has itself as next document; an empty
     table gives an empty result; columns besides doc_id and text are ignored.
     """
     parts = with_next(docs)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = parts.repartition(n, "part").sortWithinPartitions("part", "tail", F.col("at").desc(), "text").select("part", "tail", "doc_id", "text")
+    order = ["part", "tail", F.col("at").desc(), "tie", "text"]
+    dealt = parts.repartition(n, "slot").sortWithinPartitions(*order).select("part", "tail", "doc_id", "text")
+    schema = pa.schema(KINDS + (ALL if places else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (part, doc_id, text, anchors) of the row that waits for its next one
@@ -147,30 +194,26 @@ def compare(docs: DataFrame) -> DataFrame:
             for part, tail, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "tail", "doc_id", "text")), strict=True):
                 mark = printed(text.encode()) if not tail or held is not None and held[0] == part else None
                 if held is not None and held[0] == part:
-                    out.append(row(*held[1:], text, mark))
+                    out.append(row(*held[1:], text, mark, places))
                     held = None
                 if not tail:
                     held = (part, doc, text, mark)
-            yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
-
-    return dealt.mapInArrow(run, RESULT)
-
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
-    ("anchor_starts", STARTS), ("anchor_hashes", HASHES), ("edited_anchor_starts", STARTS), ("edited_anchor_hashes", HASHES)])
+    return dealt.mapInArrow(run, RESULT + (ALL_RESULT if places else ""))
 
 
-def row(doc: int | None, text: str, mark: tuple, following: str, next_mark: tuple) -> dict:
+def row(doc: int | None, text: str, mark: tuple, following: str, next_mark: tuple, places: bool) -> dict:
     half = len(text) // 2
     edited = (text[: len(text) - half] + following[:half]).encode()
     other = printed(edited)
-    return {
+    found = {
         "doc_id": doc, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited).hexdigest(), "fingerprint": text_of(mark[2]),
-        "edited_fingerprint": text_of(other[2]), "near_edited": likeness(mark[2], other[2]), "near_next": likeness(mark[2], next_mark[2]),
-        "anchor_starts": mark[0], "anchor_hashes": mark[1], "edited_anchor_starts": other[0], "edited_anchor_hashes": other[1]}
+        "edited_fingerprint": text_of(other[2]), "near_edited": likeness(mark[2], other[2]), "near_next": likeness(mark[2], next_mark[2])}
+    if places:
+        found |= {"anchor_starts": mark[0], "anchor_hashes": mark[1], "edited_anchor_starts": other[0], "edited_anchor_hashes": other[1]}
+    return found
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    return compare(C.documents(spark, folder))
+    return compare(C.documents(spark, folder), places=False)
