@@ -2,7 +2,7 @@
 
 The labelled URLs are those that a rule decides. Features are length, depth, digit
 ratio, entropy, parameter counts, and how often labelled URLs with the same host
-suffix are blocked. Features and scoring are DataFrame expressions and the tree
+suffix or first path segment are blocked. Features and scoring are DataFrame expressions and the tree
 ensemble of Spark's own library.
 """
 
@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scale import cut
+from corpusloom.functions.scale import broadcast_checked, cut
 
 #: Bound of the labelled rows that the trees are fitted on, in the order of a hash.
 SAMPLE = 20_000
@@ -37,7 +37,8 @@ RULES = (
 )
 LEXICAL = ["n_chars", "host_chars", "labels", "depth", "path_chars", "params", "query_chars", "digit_ratio", "host_digits", "hyphens", "entropy",
            "host_entropy"]
-SUFFIX = ["top_rate", "second_rate"]
+LEVELS = ("top", "second", "lead")
+SUFFIX = [f"{level}_rate" for level in LEVELS]
 
 
 def parts(url: Column) -> tuple[Column, Column, Column]:
@@ -82,29 +83,44 @@ def featured(pages: DataFrame, url: str = "url") -> DataFrame:
         "params": F.when(F.length(asked) > 1, count(asked, "&") + 1).otherwise(0), "query_chars": F.length(r),
         "digit_ratio": digits(text) / F.greatest(F.length(text), F.lit(1)), "host_digits": digits(h), "hyphens": count(h, "-"),
         "entropy": entropy(text), "host_entropy": entropy(h),
-        "top": F.substring_index(h, ".", -1), "second": F.substring_index(h, ".", -2),
+        "top": F.substring_index(h, ".", -1), "second": F.substring_index(h, ".", -2), "lead": F.regexp_extract(p, r"^/([^/]*)/", 1),
     }).drop("_rest")
 
 
-def suffix_rates(labelled: DataFrame, level: str) -> DataFrame:
-    """Smoothed share of blocked URLs among the labelled ones of each host suffix."""
-    return labelled.groupBy(F.col(level).alias(f"{level}_key")).agg(((F.sum("label") + 0.5) / (F.count("*") + 1)).alias(f"{level}_rate"))
+FOLDS = 5
 
 
-def with_rates(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    for level in ("top", "second"):
-        rates = suffix_rates(labelled, level)
-        rows = rows.join(rates, rows[level] == rates[f"{level}_key"], "left").drop(f"{level}_key").fillna(0.5, [f"{level}_rate"])
+def with_rates(rows: DataFrame, labelled: DataFrame, apart: bool = False) -> DataFrame:
+    """``rows`` with the smoothed share of blocked URLs among the labelled ones of their host suffixes, and all features.
+
+    With ``apart``, for labelled rows themselves, the labelled rows of the same fold do
+    not count, so no row's rate holds its own label. Counts go to the rows as a checked broadcast.
+    """
+    for level in LEVELS:
+        key, counts = f"{level}_key", [F.sum("label").alias("_b"), F.count("*").alias("_n")]
+        whole = labelled.groupBy(F.col(level).alias(key)).agg(*counts)
+        rows = rows.join(broadcast_checked(whole), rows[level] == F.col(key), "left").drop(key)
+        blocked, seen = F.coalesce("_b", F.lit(0.0)), F.coalesce("_n", F.lit(0))
+        if apart:
+            own = labelled.groupBy(F.col(level).alias(key), F.col("fold").alias("_fold")).agg(F.sum("label").alias("_ob"), F.count("*").alias("_on"))
+            rows = rows.join(broadcast_checked(own), (rows[level] == F.col(key)) & (rows["fold"] == F.col("_fold")), "left")
+            blocked, seen = blocked - F.coalesce("_ob", F.lit(0.0)), seen - F.coalesce("_on", F.lit(0))
+        rows = rows.withColumn(f"{level}_rate", (blocked + 0.5) / (seen + 1)).drop("_b", "_n", "_ob", "_on", "_fold", key)
     return VectorAssembler(inputCols=LEXICAL + SUFFIX, outputCol="features", handleInvalid="keep").transform(rows)
 
 
 def fit(labelled: DataFrame) -> Model | str:
-    """Trees from at most ``SAMPLE`` labelled rows (label 1: block), or the only verdict there is."""
+    """Trees from at most ``SAMPLE`` labelled rows (label 1: block), or the only verdict there is.
+
+    Null URLs have empty parts and count as they are labelled; repeated rows fall into
+    one fold; an empty table gives allow. Columns besides those of ``featured`` and the label are ignored.
+    """
     kinds = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return "block" if kinds.get(1.0) else "allow"
+    labelled = labelled.withColumn("fold", F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS)))
     sample = labelled.orderBy(F.xxhash64("host", "path", "page_id"), "page_id").limit(SAMPLE)
-    sample = cut(with_rates(sample, labelled).select("features", "label").repartition(4))
+    sample = cut(with_rates(sample, labelled, apart=True).select("features", "label").repartition(4))
     return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1, subsamplingRate=0.8).fit(sample)
 
 
