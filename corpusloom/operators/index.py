@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
 from corpusloom.functions.scale import broadcast_checked, cut, top_per_key
-from corpusloom.operators.retrieve import B, IDF_FLOOR, K1, TITLE_WEIGHT, by_score, query_terms
+from corpusloom.operators.retrieve import B, IDF_FLOOR, K1, TITLE_WEIGHT, by_score, filters_of, members_of, query_terms
 
 SHARD, WINDOW, QUERIES, BUCKETS = 16384, 16, 256, 16
 #: Query terms that are looked up by a pushed filter; more are joined.
@@ -76,6 +76,7 @@ class Index:
         return cls(spark, path, [], [], 0)._commit([write_segment(counted(tokens(chunks)), path, shard)], [])
 
     def _commit(self, segments: list[str], dead: list[str]) -> Index:
+        segments = [s for s in segments if s]
         row = [(segments, dead, self.version + 1)]
         made = self.spark.createDataFrame(row, "segments array<string>, dead array<string>, version int")
         made.coalesce(1).write.parquet(f"{self.path}/versions/{self.version + 1}")
@@ -151,24 +152,31 @@ class Index:
         return both.select(rows.alias("r")).select("r.field", (F.col("r.n") * sign).alias("n"), (F.col("r.length") * sign).alias("length"))
 
     # -- search ------------------------------------------------------------
-    def topk(self, queries: DataFrame, k: int, titles: bool = False, sources: DataFrame | None = None, measure: bool = False) -> DataFrame:
-        """(qid, chunk_id, score, title_match, rank): the k best chunks of every query among those that pass its filters.
+    def topk(self, queries: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
+        """(qid, chunk_id, score, rank): the k best chunks of every query among those that pass its filters.
 
         ``queries``: qid, text and where asked notebook_id, source_ids, doc_types,
         date_after, date_before. ``sources``: source_id, notebook_id, document_id, needed
-        where a query names notebooks or sources. With ``titles`` the title of a chunk's
-        document counts as well, and title matches come first. Statistics stay
-        corpus-wide. With ``measure``: (blocks_read, blocks) instead, summed over all
-        queries and shards.
+        where a query names notebooks or sources. Statistics stay corpus-wide.
         """
-        found = self._groups(queries, k, titles, sources)
-        if measure:
-            return found.agg(F.sum("blocks_read").alias("blocks_read"), F.sum("blocks").alias("blocks"))
-        rows = found.filter("chunk_id is not null").withColumn("score", X.rounded(F.col("score")))
-        order = [F.col("title_match").desc(), *by_score()] if titles else by_score()
-        return top_per_key(rows.drop("blocks_read", "blocks"), ["qid"], order, k)
-
-    def _groups(self, queries: DataFrame, k: int, titles: bool, sources: DataFrame | None) -> DataFrame:
+        return top_per_key(self._rows(queries, k, None, sources).drop("title_match"), ["qid"], by_score(), k)
+
+    def titled(self, queries: DataFrame, k: int, sources: DataFrame | None = None, tier: bool = True) -> DataFrame:
+        """(qid, chunk_id, score, title_match): at least the k best of text and title.
+
+        The score is the better of both; with ``tier`` title matches come before all others.
+        """
+        return self._rows(queries, k, tier, sources)
+
+    def blocks(self, queries: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
+        """(blocks_read, blocks) of ``topk``, summed over all queries and shards."""
+        return self._groups(queries, k, None, sources).agg(F.sum("blocks_read").alias("blocks_read"), F.sum("blocks").alias("blocks"))
+
+    def _rows(self, queries: DataFrame, k: int, titles: bool | None, sources: DataFrame | None) -> DataFrame:
+        found = self._groups(queries, k, titles, sources).filter("chunk_id is not null")
+        return found.select("qid", "chunk_id", X.rounded(F.col("score")).alias("score"), "title_match")
+
+    def _groups(self, queries: DataFrame, k: int, titles: bool | None, sources: DataFrame | None) -> DataFrame:
         spark = self.spark
         terms = query_terms(queries).withColumn("bucket", _bucket(F.col("term")))
         head = terms.limit(FILTERED + 1).collect()
@@ -187,10 +195,10 @@ class Index:
             statistics = broadcast_checked(self.statistics(terms))
         idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
         weighted = terms.join(statistics, "term").select("qid", "field", "term", (idf * F.col("qtf")).alias("w"), "mean")
-        if not titles:
+        if titles is None:
             weighted, posted = weighted.filter("field = 'text'"), posted.filter("field = 'text'")
         member = F.struct("field", "term", "w", "mean")
-        asked = weighted.groupBy("qid").agg(F.collect_list(member).alias("terms")).join(_filters(queries, sources), "qid")
+        asked = weighted.groupBy("qid").agg(F.collect_list(member).alias("terms")).join(filters_of(queries, sources), "qid")
         blocks = max(1, -(-n // QUERIES))
         asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")))
         wanted = asked.select("block", F.explode("terms").alias("t")).select("block", "t.field", "t.term").distinct()
@@ -232,8 +240,7 @@ class Index:
     def _members(self, asked: DataFrame, sources: DataFrame) -> DataFrame:
         """Bitmaps (seg, shard, block, name, n, places) of the notebooks and sources that the queries name."""
         wanted = broadcast_checked(asked.filter("keys is not null").select("block", F.explode("keys").alias("name")).distinct())
-        rows = sources.select("document_id", F.explode(F.array(F.concat(F.lit("n:"), "notebook_id"), F.concat(F.lit("s:"), "source_id"))).alias("name"))
-        rows = rows.join(wanted, "name").select("block", "name", "document_id").distinct()
+        rows = members_of(sources).join(wanted, "name").select("block", "name", "document_id").distinct()
         placed = self.docs().select("seg", "shard", "place", "document_id").join(rows, "document_id")
         return placed.groupBy("seg", "shard", "block", "name").agg(F.bitmap_construct_agg(F.col("place").cast("long")).alias("places"))
 
@@ -247,32 +254,6 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _filters(queries: DataFrame, sources: DataFrame | None) -> DataFrame:
-    """(qid, after, before, kinds, keys): days, document types, and names of bitmaps of which one must hold.
-
-    A source must lie in the asked notebook, as one source row must meet both; a query
-    whose sources all lie elsewhere keeps an empty list and finds nothing.
-    """
-    epoch = F.lit("1970-01-01").cast("date")
-    have = set(queries.columns)
-    day = lambda c: F.date_diff(c, epoch) if c in have else F.lit(None).cast("int")
-    rows = queries.select(
-        "qid", day("date_after").alias("after"), day("date_before").alias("before"),
-        (F.col("doc_types") if "doc_types" in have else F.lit(None).cast("array<string>")).alias("kinds"),
-        (F.col("notebook_id") if "notebook_id" in have else F.lit(None).cast("string")).alias("notebook_id"),
-        (F.col("source_ids") if "source_ids" in have else F.lit(None).cast("array<string>")).alias("source_ids"))
-    book = F.array(F.concat(F.lit("n:"), "notebook_id"))
-    if sources is None:
-        return rows.select("qid", "after", "before", "kinds", F.lit(None).cast("array<string>").alias("keys"))
-    named = rows.filter("size(source_ids) > 0").select("qid", "notebook_id", F.explode("source_ids").alias("source_id"))
-    own = sources.select("source_id", F.col("notebook_id").alias("book")).distinct()
-    fit = own.join(broadcast_checked(named), "source_id").filter("notebook_id is null or notebook_id = book")
-    fit = fit.groupBy("qid").agg(F.collect_set(F.concat(F.lit("s:"), "source_id")).alias("own"))
-    empty = F.array().cast("array<string>")
-    keys = F.when(F.coalesce(F.size("source_ids") > 0, F.lit(False)), F.coalesce("own", empty)).when(F.col("notebook_id").isNotNull(), book)
-    return rows.join(fit, "qid", "left").select("qid", "after", "before", "kinds", keys.alias("keys"))
-
-
 # -- writing ---------------------------------------------------------------
 def counted(rows: DataFrame) -> DataFrame:
     """Terms of forward rows with their counts, each once."""
@@ -307,9 +288,11 @@ STAGED = f"{POSTINGS}, place int, chunk_id string, document_id string, day int,
 
 
 def write_segment(forward: DataFrame, path: str, size: int = SHARD) -> str:
-    """Write forward rows as a segment of the folder; its name. One exchange of terms to shards, one of postings to files."""
+    """Write forward rows as a segment of the folder; its name, empty if there are no rows. One exchange of terms to shards, one of postings to files."""
     spark = forward.sparkSession
-    shards = max(1, -(-forward.count() // size))
+    shards = -(-forward.count() // size)
+    if not shards:
+        return ""
     name = f"seg-{uuid.uuid4().hex}-{shards}"
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = forward.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int"))
@@ -431,8 +414,11 @@ def gain(tf: np.ndarray, dl: np.ndarray, mean: float, weight: float) -> np.ndarr
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
-def search_shard(table: pa.Table, k: int, titles: bool) -> pa.Table:
-    """The best chunks of one shard for one block of queries; a superset where rounded scores tie."""
+def search_shard(table: pa.Table, k: int, titles: bool | None) -> pa.Table:
+    """The best chunks of one shard for one block of queries; a superset where rounded scores tie.
+
+    ``titles``: None for texts alone, else whether title matches come first.
+    """
     rows: dict[int, list[dict]] = {i: [] for i in range(5)}
     for r in table.to_pylist():
         rows[r["kind"]].append(r)
@@ -466,8 +452,8 @@ def search_shard(table: pa.Table, k: int, titles: bool) -> pa.Table:
                 allowed &= (days <= q["before"]) & (days != NO_DAY)
             own = {f: fields[f].blocks([(t["term"], t["w"]) for t in q["terms"] if t["field"] == f]) for f in FIELDS}
             blocks = sum(len(x[0]) for x in own.values())
-            if titles:
-                best, score, titled = both_fields(fields, own, allowed, k)
+            if titles is not None:
+                best, score, titled = both_fields(fields, own, allowed, k, titles)
                 read = blocks
             else:
                 best, score, read = pruned(fields["text"], *own["text"], allowed, k)
@@ -539,8 +525,8 @@ def pruned(
 FIRST, ROUNDS = 64, 16
 
 
-def both_fields(fields: dict[str, Shard], own: dict[str, tuple], allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best by title match, then the better of both scores."""
+def both_fields(fields: dict[str, Shard], own: dict[str, tuple], allowed: np.ndarray, k: int, tier: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best by title match (with ``tier``), then the better of both scores."""
     n = len(allowed)
     score = {f: np.zeros(-(-n // WINDOW) * WINDOW) for f in own}
     for f, (blocks, weights, _) in own.items():
@@ -548,6 +534,6 @@ def both_fields(fields: dict[str, Shard], own: dict[str, tuple], allowed: np.nda
     titled = score["title"][:n] > 0
     final = np.maximum(score["text"], score["title"])[:n]
     found = allowed & (final > 0)
-    key = np.where(found, final + titled * 1e6, 0)
+    key = np.where(found, final + tier * titled * 1e6, 0)
     best = np.flatnonzero(found & (key >= kth(key, k) - TIE))
     return best, final[best], titled[best]

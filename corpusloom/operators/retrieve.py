@@ -18,7 +18,6 @@ from corpusloom.functions.scale import BROADCAST_ROWS, broadcast_checked, cut, t
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TITLE_WEIGHT = 3.0
 DENSE_BLOCK = 4096
-MATRIX_CELLS = 16_000_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -82,60 +81,53 @@ def lexical_scores(
     return hits.groupBy("qid", "chunk_id", *keep).agg(X.rounded(F.sum(F.col("w") * F.col("gain"))).alias("score"))
 
 
-#: Columns that filters are told by: of queries (types: names between commas) and of chunks.
-QUERY_FILTERS = {"scope": "string", "after": "int", "before": "int", "types": "string"}
-CHUNK_FILTERS = {"scope": "string", "day": "int", "doc_type": "string"}
+#: What filters are told by: of queries (keys: names of which a document must have one) and of chunks (members: its names).
+QUERY_FILTERS = {"keys": "array<string>", "after": "int", "before": "int", "kinds": "array<string>"}
+CHUNK_FILTERS = {"members": "array<string>", "day": "int", "doc_type": "string"}
 
 
 def _with_nulls(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({name: F.lit(None).cast(kind) for name, kind in columns.items() if name not in df.columns})
 
 
-def _types(queries: DataFrame) -> Column:
-    """Asked document types between commas; null where all are welcome."""
-    if "doc_types" not in queries.columns:
-        return F.lit(None).cast("string")
-    return F.concat(F.lit(","), F.array_join("doc_types", ","), F.lit(","))
+def filters_of(queries: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """(qid, after, before, kinds, keys): days, document types, and names of memberships of which one must hold.
+
+    ``queries`` may have notebook_id, source_ids, doc_types, date_after, date_before. A
+    source must lie in the asked notebook, as one source row must meet both; a query
+    whose sources all lie elsewhere keeps an empty list and finds nothing.
+    """
+    epoch = F.lit("1970-01-01").cast("date")
+    have = set(queries.columns)
+    day = lambda c: F.date_diff(c, epoch) if c in have else F.lit(None).cast("int")
+    given = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    rows = queries.select(
+        "qid", day("date_after").alias("after"), day("date_before").alias("before"), given("doc_types", "array<string>").alias("kinds"),
+        given("notebook_id", "string").alias("notebook_id"), given("source_ids", "array<string>").alias("source_ids"))
+    if sources is None:
+        return rows.select("qid", "after", "before", "kinds", F.lit(None).cast("array<string>").alias("keys"))
+    book = F.when(F.col("notebook_id").isNotNull(), F.array(F.concat(F.lit("n:"), "notebook_id")))
+    if "source_ids" not in have or "source_id" not in sources.columns:
+        return rows.select("qid", "after", "before", "kinds", book.alias("keys"))
+    named = rows.filter("size(source_ids) > 0").select("qid", "notebook_id", F.explode("source_ids").alias("source_id"))
+    own = sources.select("source_id", F.col("notebook_id").alias("book")).distinct()
+    fit = own.join(broadcast_checked(named), "source_id").filter("notebook_id is null or notebook_id = book")
+    fit = fit.groupBy("qid").agg(F.collect_set(F.concat(F.lit("s:"), "source_id")).alias("own"))
+    asked = F.coalesce(F.size("source_ids") > 0, F.lit(False))
+    keys = F.when(asked, F.coalesce("own", F.array().cast("array<string>"))).otherwise(book)
+    return rows.join(fit, "qid", "left").select("qid", "after", "before", "kinds", keys.alias("keys"))
+
+
+def members_of(sources: DataFrame) -> DataFrame:
+    """(document_id, name): the notebooks (n:) and sources (s:) that a document is in."""
+    names = [F.concat(F.lit(mark), column) for mark, column in (("n:", "notebook_id"), ("s:", "source_id")) if column in sources.columns]
+    return sources.select("document_id", F.explode(F.array(*names)).alias("name"))
 
 
 def by_score() -> list:
     return [F.col("score").desc(), F.col("chunk_id")]
 
 
-def _weight_matrix(corpus: DataFrame, terms: DataFrame, qids: list) -> tuple[list, np.ndarray, float]:
-    """Vocabulary, weights by (term, query) and mean chunk length of one corpus."""
-    frequencies, n, mean_length = corpus_statistics(corpus, terms, True)
-    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    rows = terms.join(frequencies, "term").select("qid", "term", (idf * F.col("qtf")).alias("w")).toPandas()
-    vocabulary = sorted(set(rows["term"]))
-    matrix = np.zeros((len(vocabulary), len(qids)))
-    place, column = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(qids)}
-    matrix[rows["term"].map(place).to_numpy(dtype=int), rows["qid"].map(column).to_numpy(dtype=int)] = rows["w"].to_numpy(dtype=float)
-    return vocabulary, matrix, mean_length
-
-
-def _score_terms(terms: pa.Array, vocabulary: list, matrix: np.ndarray, mean_length: float, weight: float) -> np.ndarray:
-    """Scores of one batch of term lists for all queries."""
-    n, size = len(terms), len(vocabulary)
-    scores = np.zeros((n, matrix.shape[1]))
-    if not size:
-        return scores
-    lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(int)
-    index = pc.fill_null(pc.index_in(terms.flatten(), value_set=pa.array(vocabulary)), -1).to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(n), lengths)
-    known = index >= 0
-    pairs, tf = np.unique(owner[known] * size + index[known], return_counts=True)
-    owner, term, tf = pairs // size, pairs % size, tf * weight
-    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length))
-    for low in range(0, n, 256):
-        first, last = np.searchsorted(owner, [low, low + 256])
-        if first < last:
-            part = owner[first:last]
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            scores[part[starts]] = np.add.reduceat(matrix[term[first:last]] * gain[first:last, None], starts, axis=0)
-    return scores
-
-
 def _best(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k largest keys, ties by id."""
     if len(key) > k:
@@ -146,124 +138,9 @@ def _best(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return kept[np.lexsort((ids[kept].astype(str), -key[kept]))[:k]]
 
 
-def lexical_topk(
-    chunks: DataFrame, queries: DataFrame, k: int, corpus: DataFrame | None = None, titles: DataFrame | None = None
-) -> DataFrame | None:
-    """(qid, chunk_id, score, title_match): the k best of every task for every query.
-
-    ``chunks``: chunk_id, text and optionally title, scope, day; ``queries``: qid,
-    text and optionally scope, after, before. ``corpus`` and ``titles`` are the
-    texts that statistics are taken from. The query weights travel to the tasks as
-    one matrix; terms are cut on the JVM, and each Arrow batch is scored as a
-    sparse product. No text and no table of queries times chunks is shuffled.
-    Returns None if the weights are too large for that; callers then join.
-    """
-    spark = chunks.sparkSession
-    terms = cut(query_terms(queries))
-    if terms.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return None
-    queries = _with_nulls(queries, QUERY_FILTERS)
-    asked = queries.join(F.broadcast(terms.select("qid").distinct()), "qid", "left_semi").select(
-        "qid", *QUERY_FILTERS).toPandas()
-    if len(asked) * terms.select("term").distinct().count() > MATRIX_CELLS:
-        return None
-    qids = asked["qid"].tolist()
-    weights = _weight_matrix(chunks if corpus is None else corpus, terms, qids)
-    title_weights = None if titles is None else _weight_matrix(titles, terms, qids)
-    side = {**_filter_side(asked), "weights": weights, "titles": title_weights}
-    shared = spark.sparkContext.broadcast(side)
-    chunks = _with_nulls(chunks, {"title": "string", **CHUNK_FILTERS})
-    rows = chunks.select(
-        "chunk_id", X.search_terms(F.col("text")).alias("terms"), X.search_terms(F.col("title")).alias("title_terms"), *CHUNK_FILTERS)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = shared.value
-        step = max(1, 2_000_000 // max(1, len(given["qid"])))
-        for whole in batches:
-            for low in range(0, whole.num_rows, step):
-                yield _score_batch(whole.slice(low, step), given, k)
-
-    return rows.mapInArrow(score, "qid long, chunk_id string, score double, title_match int")
-
-
-def _score_batch(batch: pa.RecordBatch, side: dict, k: int) -> pa.RecordBatch:
-    raw = _score_terms(batch.column("terms"), *side["weights"], 1.0)
-    scores, matched, titled = np.round(raw, 6), raw > 0, np.zeros(raw.shape, dtype=bool)
-    if side["titles"] is not None:
-        title = _score_terms(batch.column("title_terms"), *side["titles"], TITLE_WEIGHT)
-        titled = title > 0
-        scores, matched = np.maximum(scores, np.round(title, 6)), matched | titled
-    allowed = matched & _allowed(batch.select(list(CHUNK_FILTERS)).to_pandas(), side)
-    ids = np.asarray(batch.column("chunk_id").to_pylist(), dtype=object)
-    out: list[list] = [[], [], [], []]
-    for column, qid in enumerate(side["qid"]):
-        rows = np.flatnonzero(allowed[:, column])
-        if len(rows):
-            # Scores stay far below the offset, so title matches come first.
-            key = scores[rows, column] + titled[rows, column] * 1e6
-            best = rows[_best(key, ids[rows], k)]
-            for target, values in zip(out, ([qid] * len(best), ids[best], scores[best, column], titled[best, column].astype("int32"))):
-                target.extend(values)
-    kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(v, type=t) for v, t in zip(out, kinds)], names=["qid", "chunk_id", "score", "title_match"])
-
-
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    partial = lexical_topk(chunks, queries, k)
-    if partial is None:
-        partial = lexical_scores(chunks, queries)
-    return top_per_key(partial.select("qid", "chunk_id", "score"), ["qid"], by_score(), k)
-
-
-def restrict(scored: DataFrame, queries: DataFrame, versions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Keep (query, document) rows that pass the filters of the query.
-
-    Dates are inclusive and a missing date fails closed. Membership must hold on
-    one source row, so notebook and source are tested by one semi join.
-    """
-    filters = queries.select("qid", "notebook_id", "date_after", "date_before", _types(queries).alias("types"))
-    dated = scored.join(versions.select("document_id", "publication_date", "doc_type"), "document_id").join(
-        broadcast_checked(filters), "qid")
-    day = F.col("publication_date")
-    in_range = (F.col("date_after").isNull() | F.coalesce(day >= F.col("date_after"), F.lit(False))) & (
-        F.col("date_before").isNull() | F.coalesce(day <= F.col("date_before"), F.lit(False)))
-    kept = dated.filter(in_range & (F.col("types").isNull() | F.contains("types", F.concat(F.lit(","), "doc_type", F.lit(",")))))
-    members = sources.join(
-        broadcast_checked(filters.select("notebook_id").filter("notebook_id is not null").distinct()),
-        "notebook_id", "left_semi").select("notebook_id", "document_id")
-    scoped = kept.filter("notebook_id is not null").join(members, ["notebook_id", "document_id"], "left_semi")
-    free = kept.filter("notebook_id is null")
-    columns = scored.columns
-    return free.select(columns).unionByName(scoped.select(columns))
-
-
-def filtered_bm25(
-    chunks: DataFrame, queries: DataFrame, versions: DataFrame, sources: DataFrame, k: int
-) -> DataFrame:
-    """Filters apply before the top-k; document frequencies stay corpus-wide."""
-    epoch = F.lit("1970-01-01").cast("date")
-    asked = queries.select(
-        "qid", "text", F.col("notebook_id").alias("scope"), _types(queries).alias("types"),
-        F.date_diff("date_after", epoch).alias("after"), F.date_diff("date_before", epoch).alias("before"))
-    partial = lexical_topk(scoped_rows(chunks, queries, versions, sources), asked, k, corpus=chunks)
-    if partial is None:
-        scored = lexical_scores(chunks, queries, keep=["document_id"])
-        partial = restrict(scored, queries, versions, sources)
-    return top_per_key(partial.select("qid", "chunk_id", "score"), ["qid"], by_score(), k)
-
-
-def scoped_rows(chunks: DataFrame, queries: DataFrame, versions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Chunks with their day: once without scope, and once per asked notebook they are in."""
-    epoch = F.lit("1970-01-01").cast("date")
-    kind = F.col("doc_type") if "doc_type" in versions.columns else F.lit(None).cast("string")
-    dated = chunks.join(
-        versions.select("document_id", F.date_diff("publication_date", epoch).alias("day"), kind.alias("doc_type")), "document_id")
-    wanted = queries.select(F.col("notebook_id").alias("scope")).filter("scope is not null").distinct()
-    members = sources.select(F.col("notebook_id").alias("scope"), "document_id").join(
-        broadcast_checked(wanted), "scope", "left_semi").distinct()
-    free = dated.withColumn("scope", F.lit(None).cast("string"))
-    return free.unionByName(dated.join(members, "document_id").select(free.columns))
+    """Without a stored index: one pass over the texts. ``index.Index.topk`` reads postings instead."""
+    return top_per_key(lexical_scores(chunks, queries), ["qid"], by_score(), k)
 
 
 def with_titles(chunks: DataFrame, titles: DataFrame, queries: DataFrame) -> DataFrame:
@@ -277,34 +154,6 @@ def with_titles(chunks: DataFrame, titles: DataFrame, queries: DataFrame) -> Dat
         F.max("score").alias("score"), F.max("title_match").alias("title_match"))
 
 
-def titled_topk(chunks: DataFrame, titles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best k of every query and task by title match, then score; a superset of the tiers.
-
-    ``chunks``: chunk_id, text, title. Both branches are scored in one pass.
-    """
-    partial = lexical_topk(chunks, queries, k, titles=titles)
-    return with_titles(chunks, titles, queries) if partial is None else partial
-
-
-def filtered_titled_topk(
-    chunks: DataFrame, titles: DataFrame, queries: DataFrame, versions: DataFrame, sources: DataFrame, k: int, corpus: DataFrame
-) -> DataFrame:
-    """``titled_topk`` among the chunks that pass each query's filters.
-
-    ``chunks``: chunk_id, document_id, text, title; ``corpus``: the texts that
-    statistics are taken from.
-    """
-    epoch = F.lit("1970-01-01").cast("date")
-    asked = queries.select(
-        "qid", "text", F.col("notebook_id").alias("scope"), _types(queries).alias("types"),
-        F.date_diff("date_after", epoch).alias("after"), F.date_diff("date_before", epoch).alias("before"))
-    partial = lexical_topk(scoped_rows(chunks, queries, versions, sources), asked, k, corpus=corpus, titles=titles)
-    if partial is None:
-        scored = with_titles(corpus, titles, queries).join(chunks.select("chunk_id", "document_id"), "chunk_id")
-        partial = restrict(scored, queries, versions, sources).drop("document_id")
-    return partial
-
-
 def title_tier_topk(scored: DataFrame, k: int) -> DataFrame:
     """Select k by title match, then score; emit in score order."""
     tier = [F.col("title_match").desc(), *by_score()]
@@ -313,10 +162,14 @@ def title_tier_topk(scored: DataFrame, k: int) -> DataFrame:
 
 
 def _filter_side(queries: pd.DataFrame) -> dict:
+    keys = [None if k is None else list(k) for k in queries["keys"]]
+    names = sorted({name for k in keys for name in k or []})
     return {
         "qid": queries["qid"].to_numpy(),
-        "scope": queries["scope"].where(queries["scope"].notna(), "").to_numpy(dtype=object),
-        "types": [t if isinstance(t, str) else None for t in queries["types"]],
+        "names": {name: i for i, name in enumerate(names)},
+        "keys": np.array([[k is not None and name in k for k in keys] for name in names], dtype=bool).reshape(len(names), len(keys)),
+        "free": np.array([k is None for k in keys], dtype=bool),
+        "kinds": [None if t is None else set(t) for t in queries["kinds"]],
         "after": pd.to_numeric(queries["after"]).fillna(-np.inf).to_numpy(dtype=float),
         "before": pd.to_numeric(queries["before"]).fillna(np.inf).to_numpy(dtype=float),
         "dated": (queries["after"].notna() | queries["before"].notna()).to_numpy(),
@@ -330,16 +183,20 @@ def _query_side(queries: pd.DataFrame) -> dict:
 
 
 def _allowed(chunks: pd.DataFrame, side: dict) -> np.ndarray:
-    """Which (chunk, query) pairs pass scope, dates and types; a missing date or type fails closed."""
-    scope, day = chunks["scope"], chunks["day"]
+    """Which (chunk, query) pairs pass membership, dates and types; a missing date or type fails closed."""
     codes, kinds = pd.factorize(chunks["doc_type"])
-    typed = np.array([[t is None or f",{kind}," in t for t in side["types"]] for kind in kinds] + [[t is None for t in side["types"]]])
-    own = scope.where(scope.notna(), "").to_numpy(dtype=object)
-    same = own[:, None] == side["scope"][None, :]
-    days = pd.to_numeric(day).to_numpy(dtype=float)[:, None]
+    typed = np.array([[t is None or kind in t for t in side["kinds"]] for kind in kinds] + [[t is None for t in side["kinds"]]])
+    inside_any = np.zeros((len(chunks), len(side["qid"])), dtype=bool) | side["free"][None, :]
+    names = side["names"]
+    if names:
+        for i, own in enumerate(chunks["members"]):
+            rows = [names[name] for name in (own if own is not None else ()) if name in names]
+            if rows:
+                inside_any[i] |= side["keys"][rows].any(axis=0)
+    days = pd.to_numeric(chunks["day"]).to_numpy(dtype=float)[:, None]
     with np.errstate(invalid="ignore"):
         inside = (days >= side["after"][None, :]) & (days <= side["before"][None, :])
-    return same & (inside | ~side["dated"][None, :]) & typed[codes]
+    return inside_any & (inside | ~side["dated"][None, :]) & typed[codes]
 
 
 def _partial_topk(chunks: pd.DataFrame, side: dict, k: int) -> pd.DataFrame:
@@ -363,9 +220,9 @@ def _partial_topk(chunks: pd.DataFrame, side: dict, k: int) -> pd.DataFrame:
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = DENSE_BLOCK) -> DataFrame:
     """Exact cosine top-k; filters first.
 
-    ``chunks``: chunk_id, vec and optionally scope, day. ``queries``: qid, vec and
-    optionally scope, after, before (days as integers). A query with a scope sees
-    only the rows of that scope; a chunk in several scopes has one row in each.
+    ``chunks``: chunk_id, vec and optionally members, day, doc_type. ``queries``: qid, vec
+    and optionally keys, after, before (days as integers), kinds. A query with keys sees
+    only chunks with one of them among their members.
 
     Up to ``block`` queries travel to the tasks as one matrix; each Arrow batch of
     chunks is one matrix product and emits at most k rows per query. Beyond that,
@@ -417,12 +274,14 @@ def filtered_dense(
     vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame,
     versions: DataFrame, sources: DataFrame, k: int,
 ) -> DataFrame:
-    """Cosine top-k among the chunks that pass each query's filters."""
+    """Cosine top-k among the chunks that pass each query's filters. A chunk has one row, whatever it is a member of."""
     epoch = F.lit("1970-01-01").cast("date")
-    rows = scoped_rows(vectors, queries, versions, sources).select("chunk_id", "vec", *CHUNK_FILTERS)
-    asked = queries.join(query_vectors, "qid").select(
-        "qid", "vec", F.col("notebook_id").alias("scope"), _types(queries).alias("types"),
-        F.date_diff("date_after", epoch).alias("after"), F.date_diff("date_before", epoch).alias("before"))
+    asked = cut(queries.select("qid").join(query_vectors, "qid").join(filters_of(queries, sources), "qid"))
+    wanted = asked.select(F.explode("keys").alias("name")).distinct()
+    member = members_of(sources).join(broadcast_checked(wanted), "name").groupBy("document_id").agg(F.collect_set("name").alias("members"))
+    kind = F.col("doc_type") if "doc_type" in versions.columns else F.lit(None).cast("string")
+    dated = versions.select("document_id", F.date_diff("publication_date", epoch).alias("day"), kind.alias("doc_type"))
+    rows = vectors.join(dated, "document_id").join(member, "document_id", "left")
     return dense_topk(rows, asked, k)
 
 
@@ -497,8 +356,8 @@ def _meet(chunks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         if not len(questions) or not len(tile):
             return pd.DataFrame({
                 "qid": pd.Series([], dtype="int64"), "chunk_id": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
-        none = {"scope": None, "after": np.nan, "before": np.nan, "types": None}
-        return _partial_topk(tile.assign(scope=None, day=np.nan, doc_type=None), _query_side(questions.assign(**none)), k)
+        none = {"keys": None, "after": np.nan, "before": np.nan, "kinds": None}
+        return _partial_topk(tile.assign(members=None, day=np.nan, doc_type=None), _query_side(questions.assign(**none)), k)
 
     return chunks.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(meet, "qid long, chunk_id string, score double")
 

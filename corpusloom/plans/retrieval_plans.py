@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
+from corpusloom.functions.scale import ensure_checkpoint_dir
+from corpusloom.operators import quantise
 from corpusloom.operators import rank as R
 from corpusloom.operators import retrieve as Q
+from corpusloom.operators.index import Index
 from corpusloom.plans.search import LIMIT, STREAM_K, Search
 from corpusloom.plans.sqlbase import oracle
 from corpusloom.plans.tables import Library
@@ -40,7 +45,8 @@ ALLOWED = """SELECT qid, document_id FROM queries q, versions v
   WHERE (date_after IS NULL OR (publication_date IS NOT NULL AND publication_date >= date_after))
     AND (date_before IS NULL OR (publication_date IS NOT NULL AND publication_date <= date_before))
     AND (doc_types IS NULL OR list_contains(doc_types, v.doc_type))
-    AND (notebook_id IS NULL OR EXISTS (SELECT 1 FROM sources s WHERE s.document_id = v.document_id AND s.notebook_id = q.notebook_id))"""
+    AND (notebook_id IS NULL AND source_ids IS NULL OR EXISTS (SELECT 1 FROM sources s WHERE s.document_id = v.document_id
+      AND (q.notebook_id IS NULL OR s.notebook_id = q.notebook_id) AND (q.source_ids IS NULL OR list_contains(q.source_ids, s.source_id))))"""
 BM = {"indexed": INDEXED, **bm25_sql("indexed")}
 TITLED = {
     **BM, **bm25_sql("titles", Q.TITLE_WEIGHT),
@@ -107,13 +113,12 @@ def _query_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
     s = Search(Library(spark, d))
-    return Q.bm25_topk(s.indexed(), s.queries, K).select("qid", "chunk_id", "score", "rank")
+    return s.index().topk(s.queries.select("qid", "text"), K).select("qid", "chunk_id", "score", "rank")
 
 
 def _filtered_bm25(spark: SparkSession, d: str) -> DataFrame:
     s = Search(Library(spark, d))
-    return Q.filtered_bm25(s.indexed(), s.queries, s.lib.versions(), s.lib.sources(), K).select(
-        "qid", "chunk_id", "score", "rank")
+    return s.index().topk(s.queries, K, s.lib.sources()).select("qid", "chunk_id", "score", "rank")
 
 
 def _filtered_dense(spark: SparkSession, d: str) -> DataFrame:
@@ -124,12 +129,31 @@ def _filtered_dense(spark: SparkSession, d: str) -> DataFrame:
 
 def _title_bm25(spark: SparkSession, d: str) -> DataFrame:
     s = Search(Library(spark, d))
-    return Q.top_per_key(s.lexical(), ["qid"], Q.by_score(), K)
+    return Q.top_per_key(s.index().titled(s.queries.select("qid", "text"), K, tier=False), ["qid"], Q.by_score(), K)
 
 
 def _title_tier(spark: SparkSession, d: str) -> DataFrame:
     s = Search(Library(spark, d))
-    return Q.title_tier_topk(Q.titled_topk(s.titled(), s.lib.titles(), s.queries, K), K)
+    return Q.title_tier_topk(s.index().titled(s.queries.select("qid", "text"), K), K)
+
+
+def _index_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """What the stored index knows of the query terms."""
+    s = Search(Library(spark, d))
+    return s.index().statistics(Q.query_terms(s.queries)).select("field", "term", F.col("df").cast("long"), F.col("n").cast("long"), X.rounded(F.col("mean")).alias("mean"))
+
+
+def _refreshed(spark: SparkSession, d: str) -> DataFrame:
+    """Search after changes of a stored index: some chunks came late, some were replaced, some deleted, and all merged."""
+    s = Search(Library(spark, d))
+    doc = F.col("document_id").cast("long")
+    early = s.chunks().filter(doc % 5 != 0).withColumn("text", F.when(doc % 5 == 1, F.concat(F.lit("draft "), F.reverse("text"))).otherwise(F.col("text")))
+    ensure_checkpoint_dir(spark)
+    index = Index.build(early, f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}")
+    index = index.upsert(s.chunks().filter(doc % 5 <= 1)).delete(s.indexed().filter(doc % 5 == 2))
+    changed = index.topk(s.queries.select("qid", "text"), K).withColumn("merged", F.lit(False))
+    merged = index.merge().topk(s.queries.select("qid", "text"), K).withColumn("merged", F.lit(True))
+    return changed.unionByName(merged).select("merged", "qid", "chunk_id", "score", "rank")
 
 
 def _cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +163,20 @@ def _cosine(spark: SparkSession, d: str) -> DataFrame:
 
 def _ann(spark: SparkSession, d: str) -> DataFrame:
     lib = Library(spark, d)
-    return Q.ann_topk(lib.vectors(), lib.query_vectors(), K)
+    return quantise.topk(quantise.encode(lib.vectors()), lib.query_vectors(), K)
+
+
+def _ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the approximate search finds nine tenths of the true neighbours with at most 30 % of the exact distances."""
+    lib = Library(spark, d)
+    coded = quantise.encode(lib.vectors())
+    true = Q.dense_topk(lib.vectors(), lib.query_vectors(), K).select("qid", "chunk_id")
+    found = quantise.topk(coded, lib.query_vectors(), K).select("qid", "chunk_id", F.lit(1).alias("hit"))
+    recall = true.join(found, ["qid", "chunk_id"], "left").agg((F.count("hit") / F.count("*")).alias("recall"))
+    measured = quantise.candidates(coded, lib.query_vectors(), K).agg(F.count("*").alias("measured"))
+    pairs = coded.agg(F.count("*").alias("n")).join(lib.query_vectors().agg(F.count("*").alias("q")), F.lit(True))
+    both = recall.join(measured, F.lit(True)).join(pairs, F.lit(True))
+    return both.select((F.col("recall") >= 0.9).alias("recall_at_least_90"), (F.col("measured") <= 0.3 * F.col("n") * F.col("q")).alias("distances_at_most_30"))
 
 
 def _violations(spark: SparkSession, d: str) -> DataFrame:
@@ -231,6 +268,9 @@ QUERIES = {
     "cosine_topk": _cosine,
     "filtered_dense": _filtered_dense,
     "ann_topk": _ann,
+    "ann_recall": _ann_recall,
+    "index_statistics": _index_statistics,
+    "postings_refresh": _refreshed,
     "plan_expand": _expand,
     "stream_violations": _violations,
     "parent_promote": _promote,
@@ -247,6 +287,11 @@ QUERIES = {
 ORACLES = {
     "query_terms": oracle("SELECT qid, term, CAST(qtf AS INTEGER) AS qtf FROM qterms", qterms=BM["qterms"]),
     "bm25_topk": oracle(ranked("indexed_scored", K), **BM),
+    "index_statistics": oracle("""
+        SELECT 'text' AS field, term, df, n, round(avgdl, 6) AS mean FROM indexed_df, indexed_n WHERE term IN (SELECT term FROM qterms)
+        UNION ALL SELECT 'title', term, df, n, round(avgdl, 6) FROM titles_df, titles_n WHERE term IN (SELECT term FROM qterms)""", **TITLED),
+    "postings_refresh": oracle("SELECT merged, qid, chunk_id, score, rank FROM (" + ranked("indexed_scored", K) + "), (SELECT unnest([false, true]) AS merged)",
+        indexed=INDEXED + " WHERE CAST(document_id AS BIGINT) % 5 <> 2", **bm25_sql("indexed")),
     "filtered_bm25": oracle(
         "SELECT qid, chunk_id, score, rank FROM picked",
         **BM, allowed=ALLOWED,
@@ -257,6 +302,7 @@ ORACLES = {
         "SELECT * EXCLUDE (t) FROM (" + ranked("bounded", K) + ")", **TITLED,
         bounded=ranked("both_scored", K, "title_match DESC, score DESC, chunk_id", name="t")),
     "cosine_topk": oracle("SELECT * EXCLUDE (document_id) FROM (" + ranked("dense_scored", K) + ")", **DENSE),
+    "ann_recall": "SELECT true AS recall_at_least_90, true AS distances_at_most_30",
     "filtered_dense": oracle(
         "SELECT qid, chunk_id, score, rank FROM picked", **DENSE, allowed=ALLOWED,
         inside="SELECT s.* FROM dense_scored s JOIN allowed USING (qid, document_id)", picked=ranked("inside", K)),

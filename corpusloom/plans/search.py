@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scale import broadcast_checked, cut, top_per_key
+from corpusloom.functions.scale import broadcast_checked, cut, ensure_checkpoint_dir
 from corpusloom.operators import rank as R
 from corpusloom.operators import retrieve as Q
+from corpusloom.operators.index import Index
 from corpusloom.plans.tables import Library
 
+#: Indexes that this session has built, by the files they were built from.
+_STORED: dict[tuple, Index] = {}
 STREAM_K = 20
 LIMIT = 10
 
@@ -28,20 +33,26 @@ class Search:
         return self.lib.passages().select(
             "chunk_id", "document_id", F.concat_ws(" ", "text", "source_name").alias("text"))
 
-    def titled(self) -> DataFrame:
-        """Searched passages with the title of their document."""
-        titles = self.lib.versions().select("document_id", "title")
-        return self.indexed().join(titles, "document_id")
-
-    def lexical(self, queries: DataFrame | None = None) -> DataFrame:
-        return Q.with_titles(self.indexed(), self.lib.titles(), self.queries if queries is None else queries)
+    def chunks(self) -> DataFrame:
+        """Searched passages with title, day and type of their document."""
+        day = F.date_diff("publication_date", F.lit("1970-01-01").cast("date")).alias("day")
+        titled = F.when(F.trim("title") != "", F.col("title")).alias("title")
+        return self.indexed().join(self.lib.versions().select("document_id", titled, day, "doc_type"), "document_id")
+
+    def index(self) -> Index:
+        """The stored index of the library; built where the documents' files are new to this session."""
+        spark = self.lib.spark
+        files = self.lib.read("documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        key = (id(spark), files.agg(F.bit_xor(F.xxhash64("*")), F.count("*")).first())
+        if key not in _STORED:
+            ensure_checkpoint_dir(spark)
+            _STORED[key] = Index.build(self.chunks(), f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}")
+        return _STORED[key]
 
     def sparse(self) -> DataFrame:
         """Lexical stream: the filters of a query hold before its top-k; statistics stay corpus-wide."""
         wanted = self.queries.filter("mode in ('sparse', 'hybrid')")
-        scored = Q.filtered_titled_topk(
-            self.titled(), self.lib.titles(), wanted, self.lib.versions(), self.lib.sources(), self.stream_k, self.indexed())
-        return Q.title_tier_topk(scored, self.stream_k)
+        return Q.title_tier_topk(self.index().titled(wanted, self.stream_k, self.lib.sources()), self.stream_k)
 
     def dense(self) -> DataFrame:
         """Vector stream under the same filters."""

@@ -73,7 +73,10 @@ SELECT item_id AS qid, text, ['dense', 'sparse', 'hybrid'][item_id % 3 + 1] AS m
   CASE WHEN item_id % 2 = 0 THEN 'src' || CAST(item_id % 20 AS VARCHAR) END AS notebook_id,
   CASE WHEN item_id % 4 <> 1 THEN DATE '2020-01-01' + CAST(item_id * 3 AS INTEGER) END AS date_after,
   CASE WHEN item_id % 4 <> 2 THEN DATE '2022-06-01' + CAST(item_id * 5 AS INTEGER) END AS date_before,
-  CASE WHEN item_id % 3 <> 0 THEN ['generic', 'book', 'paper', 'code', 'markdown', 'email', 'resume', 'slides', 'documentation'][item_id % 4 + 1:item_id % 4 + 5] END AS doc_types
+  CASE WHEN item_id % 3 <> 0 THEN ['generic', 'book', 'paper', 'code', 'markdown', 'email', 'resume', 'slides', 'documentation'][item_id % 4 + 1:item_id % 4 + 5] END AS doc_types,
+  CASE WHEN item_id % 6 = 2 THEN list_transform(range(item_id, item_id + 301), lambda d: 'src' || CAST(d % 20 AS VARCHAR) || ':' || CAST(d AS VARCHAR))
+       WHEN item_id % 9 = 1 THEN list_transform(range(item_id, item_id + 201), lambda d: 'lang-en:' || CAST(d AS VARCHAR))
+       WHEN item_id % 50 = 3 THEN ['none:0'] END AS source_ids
 FROM benchmark""",
     "query_vectors": """
 SELECT item_id AS qid, CAST(embedding AS DOUBLE[]) AS vec FROM benchmark JOIN embeddings ON vec_id = item_id""",

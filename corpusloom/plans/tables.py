@@ -159,6 +159,10 @@ class Library:
             F.when(q % 4 != 1, F.date_add(F.lit("2020-01-01").cast("date"), (q * 3).cast("int"))).alias("date_after"),
             F.when(q % 4 != 2, F.date_add(F.lit("2022-06-01").cast("date"), (q * 5).cast("int"))).alias("date_before"),
             F.when(q % 3 != 0, F.slice(F.array(*[F.lit(t) for t in DOC_TYPES]), (q % 4 + 1).cast("int"), 5)).alias("doc_types"),
+            # Sources: of the asked notebook and of others; one list that names none there is.
+            F.when(q % 6 == 2, F.transform(F.sequence(q, q + 300), lambda d: F.concat(F.lit("src"), (d % 20).cast("string"), F.lit(":"), d.cast("string"))))
+            .when(q % 9 == 1, F.transform(F.sequence(q, q + 200), lambda d: F.concat(F.lit("lang-en:"), d.cast("string"))))
+            .when(q % 50 == 3, F.array(F.lit("none:0"))).alias("source_ids"),
         )
 
     def query_vectors(self) -> DataFrame:
