@@ -26,11 +26,25 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return jobs.ingest_stream(stream, jobs.work_folder(spark, "ingest"), T, MAX)
 
 
+def stream_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in four files, one after another; what is known comes from keyed state alone."""
+    folder = jobs.work_folder(spark, "decisions")
+    docs = Library(spark, d).read("documents").select("doc_id", "text", "source")
+    jobs.in_files(docs, f"{folder}/in", "doc_id", 4)
+    stream = spark.readStream.schema("doc_id long, text string, source string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    jobs.run(jobs.decide_stream(stream), folder, lambda rows, i: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"))
+    return spark.read.schema(jobs.DECIDED).parquet(f"{folder}/out").select("content_hash", "arrival", "notebook_id", "decision")
+
+
 def stream_turns(spark: SparkSession, d: str) -> DataFrame:
-    stream = jobs.source(spark, d, "conversations.parquet").select(
+    """Turns in three files in order of arrival."""
+    folder = jobs.work_folder(spark, "turns")
+    turns = Library(spark, d).read("conversations").select(
         F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), (F.col("conv_id") * 100000 + F.col("turn")).alias("arrival"),
-        "role", F.col("text").alias("content"))
-    return jobs.turn_stream(stream, jobs.work_folder(spark, "turns")).select("session_id", "arrival", "role", "sequence")
+        "role", F.col("text").alias("content"), "turn")
+    jobs.in_files(turns, f"{folder}/in", "turn", 3)
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    return jobs.turn_stream(stream, folder).select("session_id", "arrival", "role", "sequence")
 
 
 def stream_timeline(spark: SparkSession, d: str) -> DataFrame:
@@ -46,9 +60,13 @@ def stream_timeline(spark: SparkSession, d: str) -> DataFrame:
         "happened_at", F.date_format("happened_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_documents, stream_ingest, stream_turns, stream_timeline)}
+QUERIES = {f.__name__: f for f in (ingest_documents, stream_ingest, stream_decisions, stream_turns, stream_timeline)}
 
 ORACLES = {
+    "stream_decisions": """SELECT sha256(coalesce(text, '')) AS content_hash, doc_id AS arrival, coalesce(source, '') AS notebook_id,
+        CASE WHEN row_number() OVER (PARTITION BY sha256(coalesce(text, '')), source ORDER BY doc_id) > 1 THEN 'conflict'
+             WHEN row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) > 1 THEN 'new_source' ELSE 'new_document' END AS decision
+        FROM documents""",
     "stream_turns": """SELECT 's' || conv_id AS session_id, conv_id * 100000 + turn AS arrival, role,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence FROM conversations""",
     "stream_timeline": oracle("""

@@ -1,16 +1,20 @@
 """Incremental ingest, turns and timeline as Structured Streaming jobs.
 
-Every batch writes below its own batch folder and overwrites it on a replay, and
-reads only earlier batches, so a restarted job gives the same tables.
+What a batch must know of earlier ones is keyed state in a RocksDB store: the notebooks
+that hold a content hash, the last number of a session. So the work of a batch does not
+grow with history, and a replay or restart goes on from the state of the last batch that
+was committed. Results of a batch are written below a folder of its own.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusloom.functions import expr as X
 from corpusloom.functions.scale import cut, ensure_checkpoint_dir
@@ -31,18 +35,69 @@ def source(spark: SparkSession, folder: str, pattern: str, per_batch: int = 1) -
         "pathGlobFilter", pattern).parquet(folder)
 
 
-def run(stream: DataFrame, folder: str, batch: Callable[[DataFrame, int], None]) -> None:
-    """Process everything available, batch by batch, and stop."""
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(
-        availableNow=True).start()
-    query.awaitTermination()
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def earlier(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows of the batches before ``batch_id``."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema + ", batch long").parquet(path).filter(F.col("batch") < batch_id).drop("batch")
+def run(stream: DataFrame, folder: str, batch: Callable[[DataFrame, int], None]) -> None:
+    """Process everything available, batch by batch, and stop. State goes to RocksDB."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE)
+    conf.set(STORE, ROCKS)
+    try:
+        query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(
+            availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set(STORE, before)
+
+
+class Deciding(StatefulProcessor):
+    """What happens to arriving files of one content hash; state: the notebooks that hold it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.books = handle.getMapState("books", "notebook_id string", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # The text is the same in all rows of a hash: one is kept, of the others only number and notebook.
+        text, parts = None, []
+        for part in rows:
+            if len(part):
+                text = part["text"].iloc[0] if text is None else text
+                parts.append(part[["arrival", "notebook_id"]])
+        files = pd.concat(parts).sort_values("arrival", kind="stable")
+        known = self.books.exists()
+        decisions, texts, here = [], [], set()
+        for book in files["notebook_id"]:
+            if book in here or self.books.containsKey((book,)):
+                decision = "conflict"
+            elif known or here:
+                decision = "new_source"
+            else:
+                decision = "new_document"
+            here.add(book)
+            decisions.append(decision)
+            texts.append(text if decision == "new_document" else None)
+        for book in here:
+            self.books.updateValue((book,), (1,))
+        yield files.assign(content_hash=key[0], decision=decisions, text=texts)[["content_hash", "arrival", "notebook_id", "decision", "text"]]
+
+    def close(self) -> None:
+        pass
+
+
+DECIDED = "content_hash string, arrival long, notebook_id string, decision string, text string"
+
+
+def decide_stream(docs: DataFrame) -> DataFrame:
+    """Stream of documents (doc_id, text, source) with the ingest decision; the text stays with new documents.
+
+    A null text has the hash of an empty one, a null source is the notebook without a name.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    files = docs.select(
+        F.sha2(text, 256).alias("content_hash"), F.col("doc_id").cast("long").alias("arrival"), F.coalesce("source", F.lit("")).alias("notebook_id"), text.alias("text"))
+    return files.groupBy("content_hash").transformWithStateInPandas(Deciding(), DECIDED, "Append", "None")
 
 
 STATUS = "document_id string, content_hash string, notebook_id string, decision string, status string, chunks long"
@@ -51,24 +106,17 @@ STATUS = "document_id string, content_hash string, notebook_id string, decision
 def ingest_stream(docs: DataFrame, folder: str, target: int, maximum: int) -> DataFrame:
     """Stream of documents (doc_id, text, source) into status and chunk tables.
 
-    A document whose hash was stored by an earlier batch, or earlier in this one,
-    is not chunked again.
+    A document whose hash was seen by an earlier batch, or earlier in this one,
+    is not chunked again. No batch reads what earlier ones have written.
     """
     spark = docs.sparkSession
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        if rows.isEmpty():
+        decided = cut(rows.withColumn("document_id", X.uuid5(F.concat(F.lit("document:"), "content_hash"))))
+        if decided.isEmpty():
             return
-        known = earlier(spark, f"{folder}/status", batch_id, STATUS)
-        files = rows.select(
-            F.col("source").alias("notebook_id"), F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("arrival"), "text")
-        decided = B.ingest_decision(
-            files.drop("text"), known.filter("decision = 'new_document'").select("document_id", "content_hash"),
-            known.select("notebook_id", "document_id"))
-        named = cut(decided)
-        fresh = named.filter("decision = 'new_document'").join(files.select("arrival", "text"), "arrival")
         # Hash by document once: it spreads a small batch and serves the packing too.
-        fresh = fresh.select("document_id", "text").repartition("document_id")
+        fresh = decided.filter("decision = 'new_document'").select("document_id", "text").repartition("document_id")
         blocks = X.unfold(fresh, ["document_id"], X.lines(F.col("text")), "text", "ordinal").select(
             "document_id", "ordinal", F.when(F.length("text") < 60, "heading").otherwise("text").alias("kind"), "text",
             F.when(F.length("text") < 60, F.length("text") % 3 + 1).cast("int").alias("level"), F.lit(None).cast("int").alias("page"))
@@ -76,33 +124,58 @@ def ingest_stream(docs: DataFrame, folder: str, target: int, maximum: int) -> Da
         good, refused = H.split_rejects(cut(H.generic_units(blocks, target, limit)), limit)
         H.pack(good, target, limit).write.mode("overwrite").parquet(f"{folder}/chunks/batch={batch_id}")
         counted = spark.read.parquet(f"{folder}/chunks/batch={batch_id}").groupBy("document_id").agg(F.count("*").alias("chunks"))
+        fresh_only = F.col("decision") == "new_document"
         failed = refused.select("document_id").withColumn("failed", F.lit(True))
-        named.join(counted, "document_id", "left").join(failed, "document_id", "left").select(
+        decided.join(counted, "document_id", "left").join(failed, "document_id", "left").select(
             "document_id", "content_hash", "notebook_id", "decision",
             F.when(F.col("decision") == "conflict", "conflict").when(F.col("failed"), "failed").otherwise("indexed").alias("status"),
-            F.coalesce("chunks", F.lit(0)).alias("chunks")).write.mode("overwrite").parquet(f"{folder}/status/batch={batch_id}")
+            F.when(fresh_only, F.coalesce("chunks", F.lit(0))).otherwise(0).cast("long").alias("chunks")).write.mode("overwrite").parquet(f"{folder}/status/batch={batch_id}")
+
+    run(decide_stream(docs), folder, batch)
+    return spark.read.schema(STATUS).parquet(f"{folder}/status").drop("batch")
+
 
-    run(docs, folder, batch)
-    return spark.read.parquet(f"{folder}/status").drop("batch")
+class Numbering(StatefulProcessor):
+    """Turns of one session numbered on; state: the last number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        turns = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        start = self.last.get()[0] + 1 if self.last.exists() else 0
+        self.last.update((start + len(turns) - 1,))
+        yield turns.assign(session_id=key[0], sequence=range(start, start + len(turns)))[["session_id", "arrival", "role", "content", "sequence"]]
+
+    def close(self) -> None:
+        pass
 
 
 TURNS = "session_id string, arrival long, role string, content string, sequence long"
 
 
 def turn_stream(turns: DataFrame, folder: str) -> DataFrame:
-    """Stream of turns (session_id, arrival, role, content) with sequence numbers."""
+    """Stream of turns (session_id, arrival, role, content) with sequence numbers, by session in order of arrival."""
     spark = turns.sparkSession
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        if rows.isEmpty():
-            return
-        stored = earlier(spark, f"{folder}/turns", batch_id, TURNS)
-        B.append_turns(stored, rows).select(
-            "session_id", F.col("arrival").cast("long").alias("arrival"), "role", "content", F.col("sequence").cast("long").alias("sequence")
-        ).write.mode("overwrite").parquet(f"{folder}/turns/batch={batch_id}")
-
-    run(turns, folder, batch)
-    return spark.read.parquet(f"{folder}/turns").drop("batch")
+        rows.write.mode("overwrite").parquet(f"{folder}/turns/batch={batch_id}")
+
+    ready = turns.select("session_id", F.col("arrival").cast("long").alias("arrival"), "role", "content")
+    run(ready.groupBy("session_id").transformWithStateInPandas(Numbering(), TURNS, "Append", "None"), folder, batch)
+    return spark.read.schema(TURNS).parquet(f"{folder}/turns").drop("batch")
+
+
+def in_files(rows: DataFrame, folder: str, order: str, parts: int) -> str:
+    """``rows`` as ``parts`` files or so in the order of a column, written one after another, for a stream to read."""
+    marks = [i / parts for i in range(1, parts)]
+    cuts = rows.agg(F.percentile_approx(order, marks, 1000).alias("q")).first()["q"] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        part = rows if low is None else rows.filter(F.col(order) > low)
+        part = part if high is None else part.filter(F.col(order) <= high)
+        part.coalesce(1).write.mode("overwrite").parquet(f"{folder}/part={i}")
+    return folder
 
 
 def timeline_stream(activities: list[DataFrame], folder: str, limit: int) -> DataFrame:
