@@ -109,10 +109,12 @@ def order_keys(parents: DataFrame) -> DataFrame:
     the latest of its ancestors, and so on below that one. The key of a message is
     therefore the descending chain of maxima on its path from the root, read from
     the end. Two path pieces combine, so keys are built by doubling parent
-    pointers; where replies follow their parents a key has a single entry.
+    pointers; where replies follow their parents a key has a single entry. A cycle
+    among the parents is an error: after as many doublings as the number of messages
+    has bits, every path has reached its root.
     """
     state = cut(parents.select("source_index", F.col("parent").alias("up"), F.array("source_index").alias("order_key")))
-    while True:
+    for _ in range(state.count().bit_length() + 1):
         if state.filter("up is not null").isEmpty():
             return state.select("source_index", "order_key")
         above = state.select(F.col("source_index").alias("up"), F.col("up").alias("far"), F.col("order_key").alias("head"))
@@ -120,6 +122,9 @@ def order_keys(parents: DataFrame) -> DataFrame:
             "source_index", F.col("far").alias("up"),
             F.when(F.col("head").isNull(), F.col("order_key")).otherwise(F.concat(
                 F.filter("head", lambda x: x > F.get("order_key", F.lit(0))), "order_key")).alias("order_key")))
+    if state.filter("up is not null").isEmpty():
+        return state.select("source_index", "order_key")
+    raise ValueError("replies form a cycle; see cycle_members")
 
 
 def thread_order(messages: DataFrame) -> DataFrame:

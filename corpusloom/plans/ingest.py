@@ -10,8 +10,8 @@ from corpusloom.functions.scale import cut
 from corpusloom.operators import classify as C
 from corpusloom.operators import clean as N
 from corpusloom.operators import strategies as S
+from corpusloom.sources import delimited, mail, markup, tabular
 from corpusloom.sources import files as S1
-from corpusloom.sources import markup
 
 BLOCK_COLUMNS = ["document_id", "ordinal", "kind", "text", "level", "page", "role", "source", "ordered"]
 
@@ -47,16 +47,50 @@ def parse(routed: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]
     lines = S1.json_lines(parsed.filter("ok"))
     members = lines.withColumn("ordinal", F.row_number().over(W.partitionBy("document_id").orderBy("place")) - 1)
     flat = _shape(members, kind=F.lit("text"), text=F.col("line"))
-    blocks = plain.unionByName(marked).unionByName(hyper).unionByName(flat)
+    rows, not_csv = delimited.scan(delimited.lines_of(docs.filter("parser = 'csv'").select(F.col("document_id").alias("file_id"), "text")))
+    tables = _shape(table_blocks(rows).withColumnRenamed("file_id", "document_id"), kind=F.lit("table"))
+    letters, no_mail = mail_blocks(docs.filter("parser = 'email'"))
+    blocks = plain.unionByName(marked).unionByName(hyper).unionByName(flat).unionByName(tables).unionByName(_shape(letters))
     rejects = (
         routed.filter("outcome = 'unsupported'").select("path", F.lit("unsupported format").alias("reason"))
         .unionByName(broken.select("path", F.lit("not valid UTF-8").alias("reason")))
         .unionByName(parsed.filter("not ok").select(F.col("document_id").alias("path"), F.lit("not valid JSON").alias("reason")))
-        .unionByName(docs.filter("parser not in ('text', 'markdown', 'html', 'json')").select(
+        .unionByName(not_csv.select(F.col("file_id").alias("path"), "reason"))
+        .unionByName(no_mail.select(F.col("document_id").alias("path"), F.lit("no message in this mailbox").alias("reason")))
+        .unionByName(docs.filter("parser not in ('text', 'markdown', 'html', 'json', 'csv', 'email')").select(
             F.col("document_id").alias("path"), F.lit("no parser for this format").alias("reason"))))
     return blocks, rejects
 
 
+def table_blocks(rows: DataFrame) -> DataFrame:
+    """(file_id, ordinal, text) from scanned rows: header and some rows each, cells between tabs; a header alone is one block."""
+    header = cut(rows.filter("row_no = 0").select("file_id", F.col("cells").alias("header")))
+    data = rows.filter("row_no > 0").withColumn("row_no", F.col("row_no") - 1)
+    full = tabular.csv_blocks(data, header).select("file_id", F.col("ordinal").cast("int").alias("ordinal"), "rows")
+    alone = header.join(data.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.lit(0).alias("ordinal"), F.array("header").alias("rows"))
+    lines = F.transform("rows", lambda r: F.array_join(r, "\t"))
+    return full.unionByName(alone).select("file_id", "ordinal", F.array_join(lines, "\n").alias("text"))
+
+
+def mail_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Subject as heading and body as text of every message, and the documents without a message.
+
+    A file ``.eml`` is one message, others are mailboxes.
+    """
+    boxes = mail.split_mbox(docs.filter("ext <> '.eml'").select(F.col("document_id").alias("box_id"), "text"))
+    single = docs.filter("ext = '.eml'").select(F.col("document_id").alias("box_id"), F.lit(1).alias("part"), F.col("text").alias("message"))
+    named = boxes.select("box_id", F.col("part").cast("int").alias("part"), "message").unionByName(single)
+    sent = named.select(F.to_json(F.struct("box_id", "part")).alias("mail_id"), F.col("message").alias("raw"))
+    read = cut(mail.decode_messages(sent).filter("error is null"))
+    at = F.from_json("mail_id", "box_id string, part int")
+    items = F.array(
+        F.struct(F.lit(0).alias("place"), F.lit("heading").alias("kind"), F.col("subject").alias("text"), F.lit(1).alias("level")),
+        F.struct(F.lit(1).alias("place"), F.lit("text").alias("kind"), F.col("body").alias("text"), F.lit(None).cast("int").alias("level")))
+    rows = read.select(at.alias("at"), F.explode(items).alias("i")).filter("trim(i.text) <> ''").select(
+        F.col("at.box_id").alias("document_id"), (F.col("at.part") * 2 + F.col("i.place")).alias("ordinal"), "i.kind", "i.text", "i.level")
+    return rows, docs.select("document_id").join(rows.select("document_id").distinct(), "document_id", "left_anti")
+
+
 def ingest(contents: DataFrame, known: DataFrame, target: int, maximum: int) -> dict[str, DataFrame]:
     """Route, parse, clean, classify and chunk files (path, content).
 

@@ -10,7 +10,7 @@ from corpusloom.operators import classify as C
 from corpusloom.operators import clean as N
 from corpusloom.plans.sqlbase import oracle, quoted
 from corpusloom.plans.tables import Library, _pick
-from corpusloom.sources import files, mail, markup, tabular
+from corpusloom.sources import delimited, files, mail, markup, tabular
 
 EXTS = [".txt", ".md", ".py", ".html", ".csv", ".json", ".log", ".bin", ".mbox"]
 
@@ -55,6 +55,21 @@ def csv_batches(spark: SparkSession, d: str) -> DataFrame:
         F.get(F.get("rows", F.lit(0)), F.lit(0)).alias("header_cell"), F.get(F.get("rows", F.lit(1)), F.lit(0)).alias("first_key"))
 
 
+def csv_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as rows of one quoted file per source, cut at every line break; scanned back into cells."""
+    docs = Library(spark, d).read("documents")
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    file = F.concat(F.coalesce("source", F.lit("none")), F.lit(".csv"))
+    records = docs.select(file.alias("file_id"), "doc_id", F.concat_ws(",", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), quoted).alias("record"))
+    lines = records.select("file_id", "doc_id", F.posexplode(F.split("record", "\n")).alias("pos", "line"))
+    lines = tabular.running_number(lines, ["file_id"], [F.col("doc_id"), F.col("pos")], "n").select("file_id", (F.col("n") - 1).alias("line_no"), "line")
+    given = lines.select("file_id").distinct().select("file_id", F.lit(",").alias("delimiter"), F.lit('"').alias("quote"), F.lit(True).alias("double"), F.lit(False).alias("skip"))
+    rows, _ = delimited.scan(lines, given)
+    return rows.select(
+        "file_id", "row_no", F.get("cells", F.lit(0)).alias("doc_id"), F.get("cells", F.lit(1)).alias("lang"), F.sha2(F.get("cells", F.lit(2)), 256).alias("text_sha256"),
+        F.size("cells").alias("width"))
+
+
 def table_partition(spark: SparkSession, d: str) -> DataFrame:
     """Parts, one sheet per brand, and nations as sheets."""
     lib = Library(spark, d)
@@ -240,7 +255,7 @@ def callouts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    ingest_route, text_blocks, csv_batches, table_partition, json_flatten, html_blocks, html_title, markdown_blocks,
+    ingest_route, text_blocks, csv_batches, csv_scan, table_partition, json_flatten, html_blocks, html_title, markdown_blocks,
     message_id_canonical, mbox_split, mime_decode, clean_text, strip_repeated_blocks, reordinal, detect_language,
     canonicalize_blocks, classify_doc, annotate_resume, annotate_slides, annotate_docs, callouts)}
 
@@ -305,6 +320,10 @@ ORACLES = {
                 lambda x: regexp_replace(x, '^{WSQ}+|{WSQ}+$', '', 'g')), lambda x: x <> '') END AS parts,
               CASE WHEN code THEN 'code' ELSE 'text' END AS kind, CASE WHEN code THEN 'python' END AS code_language
             FROM (SELECT doc_id, replace(text, '. ', '. ' || chr(10) || chr(10) || ' ' || chr(9)) AS t, {quoted(EXTS)}[doc_id % 9 + 1] = '.py' AS code FROM documents)))""",
+    "csv_scan": """SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY CAST(doc_id AS BIGINT)) - 1 AS row_no, doc_id, lang, text_sha256, 3 AS width FROM (
+          SELECT coalesce(source, 'none') || '.csv' AS file_id, CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, sha256(coalesce(text, '')) AS text_sha256,
+            max(length(replace(coalesce(text, ''), '"', '""')) + 40) OVER (PARTITION BY source) AS longest FROM documents)
+        WHERE longest <= 131072""",
     "csv_batches": """
         WITH RECURSIVE r AS (SELECT o_orderpriority AS file_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS row_no, CAST(o_orderkey AS VARCHAR) AS key,
             greatest(1, (length(CAST(o_orderkey AS VARCHAR)) + length(CAST(o_custkey AS VARCHAR)) + length(o_orderstatus) + 10 + o_custkey % 90 + 5 + 3) // 4) AS cost FROM orders),
