@@ -29,7 +29,7 @@ from corpusloom.functions import expr as X
 from corpusloom.functions.scale import broadcast_checked, cut, top_per_key
 from corpusloom.operators.retrieve import B, IDF_FLOOR, K1, TITLE_WEIGHT, by_score, filters_of, members_of, query_terms
 
-SHARD, WINDOW, QUERIES, BUCKETS = 16384, 16, 256, 16
+SHARD, WINDOW, QUERIES, BUCKETS = 16384, 16, 32, 16
 #: Query terms that are looked up by a pushed filter; more are joined.
 FILTERED = 8000
 FORWARD = -1  # the bucket of forward rows
@@ -73,7 +73,7 @@ class Index:
     def build(cls, chunks: DataFrame, path: str, shard: int = SHARD) -> Index:
         """A new index over ``chunks`` with one segment."""
         spark = chunks.sparkSession
-        return cls(spark, path, [], [], 0)._commit([write_segment(counted(tokens(chunks)), path, shard)], [])
+        return cls(spark, path, [], [], 0)._commit([write_segment(counted(tokens(chunks)), chunks.count(), path, shard)], [])
 
     def _commit(self, segments: list[str], dead: list[str]) -> Index:
         segments = [s for s in segments if s]
@@ -105,7 +105,7 @@ class Index:
         """Chunks replace those with their ids; new ids are added. One more segment and one more dead table."""
         ready = cut(tokens(chunks))
         dead = self._write_dead(ready.select("chunk_id"))
-        return self._commit([*self.segments, write_segment(counted(ready), self.path, shard)], [*self.dead, dead])
+        return self._commit([*self.segments, write_segment(counted(ready), ready.count(), self.path, shard)], [*self.dead, dead])
 
     def delete(self, ids: DataFrame) -> Index:
         """Chunks with these ids (chunk_id) count no more; unknown ids change nothing."""
@@ -118,7 +118,8 @@ class Index:
 
     def merge(self, shard: int = SHARD) -> Index:
         """One segment of all live chunks, made from forward rows; no text is cut into terms again."""
-        return self._commit([write_segment(self.live().drop("seg", "shard", "place"), self.path, shard)], [])
+        rows = self.live()
+        return self._commit([write_segment(rows.drop("seg", "shard", "place"), rows.select("chunk_id").count(), self.path, shard)], [])
 
     # -- statistics --------------------------------------------------------
     def statistics(self, terms: DataFrame, posted: DataFrame | None = None) -> DataFrame:
@@ -235,7 +236,7 @@ class Index:
         def search(table: pa.Table) -> pa.Table:
             return search_shard(table, k, titles)
 
-        return rows.repartition(tasks, "seg", "shard", "block").groupBy("seg", "shard", "block").applyInArrow(search, schema)
+        return rows.repartition(2 * tasks, "seg", "shard", "block").groupBy("seg", "shard", "block").applyInArrow(search, schema)
 
     def _members(self, asked: DataFrame, sources: DataFrame) -> DataFrame:
         """Bitmaps (seg, shard, block, name, n, places) of the notebooks and sources that the queries name."""
@@ -287,10 +288,10 @@ def unique_terms(lists: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
 STAGED = f"{POSTINGS}, place int, chunk_id string, document_id string, day int, doc_type string, dl int, title_dl int, terms array<string>, tf_counts array<int>, title_terms array<string>, title_tfs array<int>"
 
 
-def write_segment(forward: DataFrame, path: str, size: int = SHARD) -> str:
-    """Write forward rows as a segment of the folder; its name, empty if there are no rows. One exchange of terms to shards, one of postings to files."""
+def write_segment(forward: DataFrame, count: int, path: str, size: int = SHARD) -> str:
+    """Write ``count`` forward rows as a segment of the folder; its name, empty if there are no rows. One exchange of terms to shards, one of postings to files."""
     spark = forward.sparkSession
-    shards = -(-forward.count() // size)
+    shards = -(-count // size)
     if not shards:
         return ""
     name = f"seg-{uuid.uuid4().hex}-{shards}"
@@ -300,7 +301,7 @@ def write_segment(forward: DataFrame, path: str, size: int = SHARD) -> str:
     def settle(table: pa.Table) -> pa.Table:
         return shard_rows(table, name)
 
-    made = dealt.repartition(min(tasks, shards), "shard").groupBy("shard").applyInArrow(settle, STAGED)
+    made = dealt.repartition(tasks, "shard").groupBy("shard").applyInArrow(settle, STAGED)
     made = made.withColumn("bucket", F.when(F.col("term").isNull(), FORWARD).otherwise(_bucket(F.col("term"))))
     files = F.floor(F.col("shard") / F.when(F.col("term").isNull(), 1).otherwise(SPREAD))
     made.repartition(tasks, "bucket", files).sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{path}/{name}")
@@ -316,12 +317,10 @@ def shard_rows(table: pa.Table, seg: str) -> pa.Table:
     table = table.take(pa.array(order))
     n = table.num_rows
     shard = table.column("shard")[0].as_py() if n else 0
-    rows: dict[str, list] = {x.split()[0]: [] for x in STAGED.split(", ")}
-    fixed = {"seg": [seg] * n, "shard": [shard] * n, "place": list(range(n))}
-    for c in ("chunk_id", "document_id", "day", "doc_type", "dl", "title_dl", "terms", "tf_counts", "title_terms", "title_tfs"):
-        fixed[c] = table.column(c)
-        front = {c: fixed.get(c, [None] * n) for c in rows}
-    back = {c: [] for c in rows}
+    schema = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in STAGED.split(", ")])
+    given = {"seg": pa.array([seg] * n, pa.string()), "shard": pa.array(np.full(n, shard, np.int32)), "place": pa.array(np.arange(n, dtype=np.int32))}
+    given |= {c: table.column(c).combine_chunks() for c in table.column_names if c != "shard"}
+    tables = [pa.Table.from_arrays([given[f.name].cast(f.type) if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)]
     for field, terms, tfs, length in (("text", "terms", "tf_counts", "dl"), ("title", "title_terms", "title_tfs", "title_dl")):
         lists = table.column(terms).combine_chunks()
         flat = lists.flatten().dictionary_encode()
@@ -343,27 +342,29 @@ def shard_rows(table: pa.Table, seg: str) -> pa.Table:
         opens = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         closes = np.append(opens[1:], len(owner))
         ends = np.append(first, len(code))
-        words = flat.dictionary.to_pylist()
         inner = (place % WINDOW).astype(np.uint8)
         tf2, top, low = tf.clip(max=65535).astype("<u2"), top.clip(max=65535).astype("<u2"), low.astype("<u4")
-        for a, b in zip(opens.tolist(), closes.tolist(), strict=True):
-            lo, hi = ends[a], ends[b]
-            for c, v in (("seg", seg), ("shard", shard), ("field", field), ("term", words[owner[a]]), ("n", int(hi - lo)), ("windows", window[a:b].tobytes()),
-                         ("starts", (ends[a:b + 1] - lo).astype("<u4").tobytes()), ("max_tf", top[a:b].tobytes()), ("min_dl", low[a:b].tobytes()),
-                         ("places", inner[lo:hi].tobytes()), ("tfs", tf2[lo:hi].tobytes())):
-                back[c].append(v)
-    m = len(back["term"])
-    schema = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in STAGED.split(", ")])
-    tables = []
-    for given, count in ((front, n), (back, m)):
-        arrays = []
-        for f in schema:
-            v = given[f.name]
-            arrays.append(v.combine_chunks().cast(f.type) if isinstance(v, pa.ChunkedArray) else pa.array(v if len(v) else [None] * count, f.type))
-        tables.append(pa.Table.from_arrays(arrays, schema=schema))
+        cuts, at = np.append(opens, len(owner)), ends[np.append(opens, len(owner))]
+        # Where the blocks of each term open, counted from its first posting, and the end of the last one.
+        many = np.diff(cuts) + 1
+        term = np.repeat(np.arange(len(opens)), many)
+        spot = np.arange(len(term)) - term
+        starts = (ends[spot] - at[term]).astype("<u4")
+        m = len(opens)
+        made = {
+            "seg": pa.array([seg] * m), "shard": pa.array(np.full(m, shard, np.int32)), "field": pa.array([field] * m), "term": flat.dictionary.take(pa.array(owner[opens])),
+            "n": pa.array(np.diff(at).astype(np.int32)), "windows": _sliced(window, cuts), "starts": _sliced(starts, np.append(0, np.cumsum(many))),
+            "max_tf": _sliced(top, cuts), "min_dl": _sliced(low, cuts), "places": _sliced(inner, at), "tfs": _sliced(tf2, at)}
+        tables.append(pa.Table.from_arrays([made[f.name].cast(f.type) if f.name in made else pa.nulls(m, f.type) for f in schema], schema=schema))
     return pa.concat_tables(tables)
 
 
+def _sliced(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of values[cuts[i]:cuts[i + 1]] for every i, without copying them one by one."""
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
 _ARROW = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
 
 

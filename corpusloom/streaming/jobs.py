@@ -11,8 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -56,31 +55,24 @@ class Deciding(StatefulProcessor):
     """What happens to arriving files of one content hash; state: the notebooks that hold it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.books = handle.getMapState("books", "notebook_id string", "n int")
+        # One value, so that a key costs one read and one write; notebooks of a hash are few beside its files.
+        self.books = handle.getValueState("books", "names array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # The text is the same in all rows of a hash: one is kept, of the others only number and notebook.
-        text, parts = None, []
-        for part in rows:
-            if len(part):
-                text = part["text"].iloc[0] if text is None else text
-                parts.append(part[["arrival", "notebook_id"]])
-        files = pd.concat(parts).sort_values("arrival", kind="stable")
-        known = self.books.exists()
-        decisions, texts, here = [], [], set()
-        for book in files["notebook_id"]:
-            if book in here or self.books.containsKey((book,)):
-                decision = "conflict"
-            elif known or here:
-                decision = "new_source"
-            else:
-                decision = "new_document"
-            here.add(book)
-            decisions.append(decision)
-            texts.append(text if decision == "new_document" else None)
-        for book in here:
-            self.books.updateValue((book,), (1,))
-        yield files.assign(content_hash=key[0], decision=decisions, text=texts)[["content_hash", "arrival", "notebook_id", "decision", "text"]]
+        text, files = None, []
+        for row in rows:
+            text = row.text if text is None else text
+            files.append((row.arrival, row.notebook_id))
+        stored = self.books.get()
+        held = set(stored[0]) if stored else set()
+        before = len(held)
+        for arrival, book in sorted(files, key=lambda f: (f[0] is not None, f[0] or 0)):
+            decision = "conflict" if book in held else "new_source" if held else "new_document"
+            held.add(book)
+            yield Row(content_hash=key[0], arrival=arrival, notebook_id=book, decision=decision, text=text if decision == "new_document" else None)
+        if len(held) > before:
+            self.books.update((sorted(held),))
 
     def close(self) -> None:
         pass
@@ -97,7 +89,7 @@ def decide_stream(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     files = docs.select(
         F.sha2(text, 256).alias("content_hash"), F.col("doc_id").cast("long").alias("arrival"), F.coalesce("source", F.lit("")).alias("notebook_id"), text.alias("text"))
-    return files.groupBy("content_hash").transformWithStateInPandas(Deciding(), DECIDED, "Append", "None")
+    return files.groupBy("content_hash").transformWithState(Deciding(), DECIDED, "Append", "None")
 
 
 STATUS = "document_id string, content_hash string, notebook_id string, decision string, status string, chunks long"
@@ -141,11 +133,12 @@ class Numbering(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turns = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        turns = sorted(((r.arrival, r.role, r.content) for r in rows), key=lambda t: (t[0] is not None, t[0] or 0))
         start = self.last.get()[0] + 1 if self.last.exists() else 0
+        for number, (arrival, role, content) in enumerate(turns, start):
+            yield Row(session_id=key[0], arrival=arrival, role=role, content=content, sequence=number)
         self.last.update((start + len(turns) - 1,))
-        yield turns.assign(session_id=key[0], sequence=range(start, start + len(turns)))[["session_id", "arrival", "role", "content", "sequence"]]
 
     def close(self) -> None:
         pass
@@ -162,7 +155,7 @@ def turn_stream(turns: DataFrame, folder: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{folder}/turns/batch={batch_id}")
 
     ready = turns.select("session_id", F.col("arrival").cast("long").alias("arrival"), "role", "content")
-    run(ready.groupBy("session_id").transformWithStateInPandas(Numbering(), TURNS, "Append", "None"), folder, batch)
+    run(ready.groupBy("session_id").transformWithState(Numbering(), TURNS, "Append", "None"), folder, batch)
     return spark.read.schema(TURNS).parquet(f"{folder}/turns").drop("batch")
 
 

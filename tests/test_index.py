@@ -79,7 +79,7 @@ def test_changes_equal_a_rebuild(spark, search, tmp_path):
     merged = index.merge()
     assert len(merged.segments) == 1 and not merged.dead and rows(merged.topk(asked, 5)) == want
     # A segment that no version names, as a broken write leaves it, changes nothing.
-    I.write_segment(I.counted(I.tokens(pick(ids[:50]))), str(tmp_path), 300)
+    I.write_segment(I.counted(I.tokens(pick(ids[:50]))), 50, str(tmp_path), 300)
     assert rows(I.Index.open(spark, str(tmp_path)).topk(asked, 5)) == want
     assert rows(I.Index(spark, str(tmp_path), [s for s in index.segments[:1]], [], 1).topk(asked, 5)) == old
 
