@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-SECTIONS = ["retrieval", "library", "source", "chunk", "network", "strategy", "stream"]
+SECTIONS = ["retrieval", "library", "source", "chunk", "network", "strategy", "stream", "store"]
 
 
 def _modules():
