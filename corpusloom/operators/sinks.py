@@ -10,6 +10,7 @@ until ``expire``. One writer at a time.
 
 from __future__ import annotations
 
+import copy
 import uuid
 from functools import reduce
 
@@ -21,7 +22,7 @@ from corpusloom.functions import expr as X
 from corpusloom.functions.scale import cut
 
 BUCKETS = 256
-MANIFEST = "version int, bucket int, folder string, writer string"
+MANIFEST = "bucket int, folder string"
 CONTENTS, ASSETS = "content_hash string, content binary", "asset_id string, content_hash string, mime_type string, size long"
 BLOCKS = "version_id string, ordinal int, kind string, text string, level int, page int"
 DIGESTS = "version_id string, digest string, blocks long"
@@ -35,19 +36,13 @@ class Table:
     ) -> None:
         self.spark, self.path, self.schema, self.key = spark, path, T.StructType.fromDDL(schema), key
         self.ddl, self.order, self.buckets = schema, order or [key], buckets
-        rows = self._manifests().collect()
-        self.version = max((r.version for r in rows), default=0)
-        # Of several manifests with one number, left by retries of a commit, all readers take the same.
-        writer = min((r.writer for r in rows if r.version == self.version), default=None)
-        self.folders = {r.bucket: r.folder for r in rows if (r.version, r.writer) == (self.version, writer) and r.bucket >= 0}
-
-    def _manifests(self) -> DataFrame:
-        found = self.spark.createDataFrame([], MANIFEST)
-        if self._exists(f"{self.path}/versions"):
-            found = self.spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{self.path}/versions")
-            # Only the newest version is looked at; it has one row per bucket.
-            found = found.filter(F.col("version") == found.agg(F.max("version")).first()[0])
-        return found
+        # A manifest counts once its job has ended; of several with one number all readers take the same.
+        names = [n for n in self._names("versions") if self._exists(f"{path}/versions/{n}/_SUCCESS")]
+        newest = min(names, key=lambda n: (-int(n.split("-")[0]), n), default="0-")
+        self.version, self.folders = int(newest.split("-")[0]), {}
+        if names:
+            rows = spark.read.schema(MANIFEST).parquet(f"{path}/versions/{newest}").collect()
+            self.folders = {r.bucket: r.folder for r in rows}
 
     def _path(self, path: str):
         found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -57,6 +52,12 @@ class Table:
         found, system = self._path(path)
         return system.exists(found)
 
+    def _names(self, part: str) -> list[str]:
+        """Names in a folder of the table, without marks and temporary files."""
+        found, system = self._path(f"{self.path}/{part}")
+        names = [s.getPath().getName() for s in system.listStatus(found)] if system.exists(found) else []
+        return [n for n in names if n[0] not in "._"]
+
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
@@ -81,8 +82,11 @@ class Table:
         return self._read(self._touched(wanted)).join(wanted, self.key, "left_semi").select(self.schema.names)
 
     def _touched(self, rows: DataFrame) -> list[int]:
-        """Buckets of the keys: at most ``buckets`` numbers come to the driver."""
-        return sorted(r[0] for r in rows.select(self.bucket(F.col(self.key))).distinct().collect())
+        """Buckets of the keys: at most ``buckets`` numbers come to the driver. A null key is an error."""
+        found = rows.select(F.col(self.key).isNull().alias("bad"), self.bucket(F.col(self.key)).alias("b")).distinct().collect()
+        if any(r.bad for r in found):
+            raise ValueError(f"rows without {self.key}")
+        return sorted(r.b for r in found)
 
     def _rewrite(self, touched: list[int], rows: DataFrame) -> Table:
         """Store ``rows`` as the whole content of the touched buckets and commit."""
@@ -90,16 +94,15 @@ class Table:
         # Rebalancing gives each bucket its own files and splits a large one over several tasks.
         placed = rows.select(*self.schema.names).withColumn("bucket", self.bucket(F.col(self.key))).hint("rebalance", "bucket")
         placed.sortWithinPartitions("bucket", *self.order).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
-        stored = self.spark.read.schema("bucket int").parquet(f"{self.path}/data/{folder}").select("bucket").distinct().collect()
-        kept = {b: f for b, f in self.folders.items() if b not in set(touched)} | {r.bucket: folder for r in stored}
-        return self._commit(kept)
+        stored = {int(n.split("=")[1]): folder for n in self._names(f"data/{folder}")}
+        return self._commit({b: f for b, f in self.folders.items() if b not in set(touched)} | stored)
 
     def _commit(self, folders: dict[int, str]) -> Table:
-        writer = uuid.uuid4().hex
-        rows = [(self.version + 1, b, f, writer) for b, f in sorted(folders.items())] or [(self.version + 1, -1, "", writer)]
-        made = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
-        made.write.parquet(f"{self.path}/versions/{self.version + 1}-{writer}")
-        return Table(self.spark, self.path, self.ddl, self.key, self.order, self.buckets)
+        made = self.spark.createDataFrame(sorted(folders.items()), MANIFEST).coalesce(1)
+        made.write.parquet(f"{self.path}/versions/{self.version + 1}-{uuid.uuid4().hex}")
+        after = copy.copy(self)
+        after.version, after.folders = self.version + 1, folders
+        return after
 
     def upsert(self, rows: DataFrame, stored: bool = False) -> Table:
         """Rows replace all rows with their keys; a row without a key is an error.
@@ -107,8 +110,6 @@ class Table:
         ``stored``: the rows come from a stored table and may be read several times.
         """
         ready = rows.select(*self.schema.names) if stored else cut(rows.select(*self.schema.names))
-        if not ready.filter(F.col(self.key).isNull()).isEmpty():
-            raise ValueError(f"rows without {self.key}")
         touched = self._touched(ready)
         if not touched:
             return self
@@ -123,16 +124,12 @@ class Table:
 
     def expire(self) -> int:
         """Remove data folders that the newest version does not name, and older manifests; returns their number."""
-        removed, named = 0, set(self.folders.values())
-        for part in ("data", "versions"):
-            root, system = self._path(f"{self.path}/{part}")
-            for status in system.listStatus(root) if system.exists(root) else []:
-                name = status.getPath().getName()
-                stale = name not in named if part == "data" else int(name.split("-")[0]) < self.version
-                if stale:
-                    system.delete(status.getPath(), True)
-                    removed += 1
-        return removed
+        stale = [f"data/{n}" for n in self._names("data") if n not in set(self.folders.values())]
+        stale += [f"versions/{n}" for n in self._names("versions") if int(n.split("-")[0]) < self.version]
+        for name in stale:
+            found, system = self._path(f"{self.path}/{name}")
+            system.delete(found, True)
+        return len(stale)
 
 
 class AssetStore:
