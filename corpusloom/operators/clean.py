@@ -15,6 +15,7 @@ from corpusloom.functions import expr as X
 from corpusloom.functions.scale import broadcast_checked, cut
 
 MIN_LANGUAGE_CHARS, MAX_LANGUAGES = 5, 500
+SKETCH_ROWS, SKETCH_WIDTH = 2, 4096
 
 
 def _compose(texts: pd.Series) -> pd.Series:
@@ -58,6 +59,46 @@ def drop_repeated(blocks: DataFrame, keep_order: bool = True) -> DataFrame:
     return kept.unionByName(others)
 
 
+def _cells(width: int) -> list[Column]:
+    """Two counters of a line's hash; a line is not lighter than any of its counters says."""
+    return [F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(width)).cast("int") for seed in range(SKETCH_ROWS)]
+
+
+def source_noise(blocks: DataFrame, share: float = 0.5, least: int = 5, width: int = SKETCH_WIDTH) -> DataFrame:
+    """(source, text, documents): headings and text lines in more than ``share`` of a source's documents.
+
+    ``blocks``: source, document_id, kind, text. Counts are of distinct documents
+    with a block; sources with fewer than ``least`` documents have no noise, a null
+    source is a source of its own. Lines are first counted in ``width`` shared
+    counters per source and row, which add up inside tasks before they are shuffled and
+    never count a line too low; only lines whose counters are all heavy are counted
+    exactly. A row has at most as many heavy counters of a source as its documents have
+    lines on average, divided by the share. No text is shuffled but candidates.
+    """
+    comparable = F.col("kind").isin("text", "heading") & (F.coalesce("text", F.lit("")) != "")
+    lines = blocks.select("source", "document_id", F.when(comparable, F.col("text")).alias("text"))
+    totals = cut(lines.groupBy("source").agg(F.count_distinct("document_id").alias("_of")).filter(F.col("_of") >= least))
+    listed = lines.filter(F.col("text").isNotNull() & F.col("document_id").isNotNull())
+    marks = F.array(*[F.struct(F.lit(i).alias("row"), c.alias("cell")) for i, c in enumerate(_cells(width))])
+    counted = listed.select("source", F.explode(marks).alias("m")).groupBy("source", "m.row", "m.cell").agg(F.count("*").alias("_n"))
+    sizes = broadcast_checked(totals.select(F.col("source").alias("_s"), "_of"))
+    heavy = cut(counted.join(sizes, F.col("source").eqNullSafe(F.col("_s"))).filter(F.col("_n") > F.col("_of") * share).select("source", "row", "cell"))
+    candidates = listed
+    for i, cell in enumerate(_cells(width)):
+        marked = broadcast_checked(heavy.filter(F.col("row") == i).select(F.col("source").alias("_s"), F.col("cell").alias("_c")))
+        candidates = candidates.join(marked, candidates["source"].eqNullSafe(F.col("_s")) & (cell == F.col("_c")), "left_semi")
+    exact = candidates.distinct().groupBy("source", "text").agg(F.count("*").alias("documents"))
+    found = exact.join(sizes, F.col("source").eqNullSafe(F.col("_s")))
+    return found.filter(F.col("documents") > F.col("_of") * share).select("source", "text", "documents")
+
+
+def drop_source_noise(blocks: DataFrame, noise: DataFrame) -> DataFrame:
+    """Blocks without the noise lines of their source; kinds other than heading and text stay."""
+    lines = broadcast_checked(cut(noise.select(F.col("source").alias("_s"), F.col("text").alias("_t"))))
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("text") == F.col("_t")) & F.col("kind").isin("text", "heading")
+    return blocks.join(lines, same, "left_anti")
+
+
 def reordinal(blocks: DataFrame) -> DataFrame:
     """Contiguous ordinals from 0 within each document."""
     window = W.partitionBy("document_id").orderBy("ordinal")

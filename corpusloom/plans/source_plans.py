@@ -179,6 +179,19 @@ def strip_repeated_blocks(spark: SparkSession, d: str) -> DataFrame:
     return N.drop_repeated(_noisy(Library(spark, d)))
 
 
+def strip_source_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Line blocks of sources; two thirds of the documents carry a notice of their source, half of them a note."""
+    lib = Library(spark, d)
+    docs = lib.documents().select(F.col("doc_id").cast("string").alias("document_id"), "doc_id", "source")
+    lines = lib.blocks().join(docs, "document_id").select("source", "document_id", "ordinal", "kind", "text")
+    notice = docs.filter("doc_id % 3 < 2").select(
+        "source", "document_id", F.lit(-2).alias("ordinal"), F.lit("heading").alias("kind"), F.concat(F.lit("All rights with "), "source").alias("text"))
+    note = docs.filter("doc_id % 2 = 0").select(
+        "source", "document_id", F.lit(-1).alias("ordinal"), F.lit("text").alias("kind"), F.lit("Printed on request").alias("text"))
+    blocks = lines.unionByName(notice).unionByName(note)
+    return N.drop_source_noise(blocks, N.source_noise(blocks))
+
+
 def reordinal(spark: SparkSession, d: str) -> DataFrame:
     return N.reordinal(N.drop_repeated(_noisy(Library(spark, d)))).select("document_id", "ordinal", "page", "kind", "text")
 
@@ -256,7 +269,7 @@ def callouts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ingest_route, text_blocks, csv_batches, csv_scan, table_partition, json_flatten, html_blocks, html_title, markdown_blocks,
-    message_id_canonical, mbox_split, mime_decode, clean_text, strip_repeated_blocks, reordinal, detect_language,
+    message_id_canonical, mbox_split, mime_decode, clean_text, strip_repeated_blocks, strip_source_lines, reordinal, detect_language,
     canonicalize_blocks, classify_doc, annotate_resume, annotate_slides, annotate_docs, callouts)}
 
 WSQ = r"[ \t\n\r\f\v\x{85}\x{A0}]"
@@ -359,6 +372,14 @@ ORACLES = {
     "clean_text": f"""SELECT doc_id, nfc_normalize(trim(regexp_replace(regexp_replace(
         replace(replace(replace(text, 'é', 'e' || chr(769)), 'en', 'e-' || chr(10) || ' n'), ' ', ' ' || chr(9)), '-{WSQ}*\\n{WSQ}*', '', 'g'), '{WSQ}+', ' ', 'g'))) AS text FROM documents""",
     "strip_repeated_blocks": oracle("SELECT document_id, ordinal, page, kind, text FROM stripped", noisy=NOISY, stripped=STRIP),
+    "strip_source_lines": oracle("""
+        SELECT source, document_id, ordinal, kind, text FROM sourced s WHERE NOT (kind IN ('text', 'heading') AND EXISTS (
+          SELECT 1 FROM (SELECT source, text, count(DISTINCT document_id) AS n FROM sourced WHERE kind IN ('text', 'heading') AND text <> '' GROUP BY 1, 2) l
+            JOIN (SELECT source, count(DISTINCT document_id) AS total FROM sourced GROUP BY 1) t USING (source)
+          WHERE l.source = s.source AND l.text = s.text AND total >= 5 AND n > total * 0.5))""",
+        sourced="""SELECT d.source, b.document_id, b.ordinal, b.kind, b.text FROM blocks b JOIN documents d ON CAST(d.doc_id AS VARCHAR) = b.document_id
+          UNION ALL SELECT source, CAST(doc_id AS VARCHAR), -2, 'heading', 'All rights with ' || source FROM documents WHERE doc_id % 3 < 2
+          UNION ALL SELECT source, CAST(doc_id AS VARCHAR), -1, 'text', 'Printed on request' FROM documents WHERE doc_id % 2 = 0"""),
     "reordinal": oracle("SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY ordinal) - 1 AS INTEGER) AS ordinal, page, kind, text FROM stripped", noisy=NOISY, stripped=STRIP),
     "detect_language": oracle("""
         SELECT d.doc_id AS text_id, b.lang FROM documents d LEFT JOIN (
