@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
 from corpusloom.operators import chunk as H
+from corpusloom.operators import counted as K
 from corpusloom.operators import rank as R
 from corpusloom.plans.sqlbase import ntok, oracle
 from corpusloom.plans.tables import Library
@@ -47,6 +48,12 @@ def chunk_generic(spark: SparkSession, d: str) -> DataFrame:
         F.array_join("heading_path", " > ").alias("heading_path"), "tokens", "text")
 
 
+def chunk_counted(spark: SparkSession, d: str) -> DataFrame:
+    """The general strategy with a counter of started groups of eight bytes, which does not add up."""
+    chunks, _ = K.chunk_generic(Library(spark, d).blocks(), K.bytes_counter(8), T, MAX)
+    return chunks.select("document_id", "chunk_no", "section_index", "n_units", "start_ordinal", "end_ordinal", "tokens", "text")
+
+
 def chunk_rejects(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(Library(spark, d))[1]
 
@@ -109,7 +116,7 @@ def called_by(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    token_count, heading_path, sentence_units, pack_units, chunk_generic, chunk_rejects, chunk_ids, drop_short,
+    token_count, heading_path, sentence_units, pack_units, chunk_generic, chunk_counted, chunk_rejects, chunk_ids, drop_short,
     chunk_families, sibling_audit, table_chunks, line_windows, called_by)}
 
 WSQ = r"[ \t\n\r\f\v\x{85}\x{A0}]"
@@ -171,7 +178,24 @@ PACK = {
     "chunks_out": "SELECT *, CAST(row_number() OVER (PARTITION BY document_id, section_index ORDER BY chunk_no) - 1 AS INTEGER) AS chunk_index FROM packed WHERE document_id NOT IN (SELECT document_id FROM refused)",
 }
 
+def _groups(size: str) -> str:
+    return f"(({size} + 7) // 8)"
+
+
+# The same fold over bytes; counts are rounded up for each joined text.
+COUNTED = {**PACK}
+COUNTED["units"] = """SELECT document_id, ordinal, part, t, sep, strlen(t) AS c, strlen(sep || t) AS jc FROM (
+        SELECT *, CASE WHEN part = 0 THEN chr(10) || chr(10) ELSE ' ' END AS sep FROM parts)"""
+COUNTED["fold"] = f"""SELECT document_id, i, c AS cur, 0 AS prev, 1 AS grp FROM joined WHERE i = 1
+        UNION ALL SELECT n.document_id, n.i, CASE WHEN go THEN cur + n.jc ELSE n.c END, CASE WHEN go THEN prev ELSE cur END, CASE WHEN go THEN grp ELSE grp + 1 END
+        FROM (SELECT r.document_id, r.i, r.c, r.jc, f.cur, f.prev, f.grp, r.j AND ({_groups('f.cur + r.jc')} <= {T} OR ({_groups('f.cur')} < 15 AND {_groups('f.cur + r.jc')} <= {LIMIT})) AS go
+          FROM fold f JOIN joined r ON r.document_id = f.document_id AND r.i = f.i + 1) n"""
+COUNTED["backs"] = PACK["backs"].replace("f.cur < 15", f"{_groups('f.cur')} < 15").replace("f.prev + f.cur - h.c + h.jc", _groups("f.prev + f.cur - h.c + h.jc"))
+COUNTED["refused"] = f"SELECT document_id FROM packed GROUP BY 1 HAVING {_groups('max(worst)')} > {LIMIT}"
+
 ORACLES = {
+    "chunk_counted": oracle(f"""SELECT document_id, chunk_no, section_index, n_units, start_ordinal, end_ordinal, CAST({_groups('tokens')} AS INTEGER) AS tokens, text
+        FROM chunks_out""", **COUNTED),
     "token_count": f"SELECT doc_id, CAST({ntok('text')} AS INTEGER) AS tokens FROM documents",
     "heading_path": oracle("SELECT document_id, ordinal, section, coalesce(array_to_string(path, ' > '), '') AS path FROM pathed", **PATHS),
     "sentence_units": oracle("""SELECT u.document_id, u.ordinal, CAST(part AS INTEGER) AS part, t AS text, CAST(c AS INTEGER) AS tokens, CAST(jc AS INTEGER) AS joined_tokens
