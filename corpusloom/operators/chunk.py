@@ -9,9 +9,11 @@ exchange by document serves every strategy.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
+from corpusloom.functions.scale import cut
 
 # Default sizes, short-chunk bound, verbatim bound.
 TARGET, MAXIMUM, SHORT, VERBATIM_TARGET = 512, 1024, 15, 150
@@ -208,8 +210,6 @@ def drop_short(drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``drafts``: document_id, idx, parent_idx, tokens, preserve. Survivors are
     renumbered and parents remapped.
     """
-    from pyspark.sql import Window as W
-
     short = (F.col("tokens") < SHORT) & ~F.col("preserve")
     marked = drafts.withColumn("short", short)
     parents = drafts.filter("parent_idx is not null").select("document_id", F.col("parent_idx").alias("idx")).distinct()
@@ -250,6 +250,36 @@ def families(chunks: DataFrame) -> DataFrame:
         F.filter("ids", lambda x: x != F.col("chunk_id")).alias("sibling_ids"))
 
 
+def finish(chunks: DataFrame, versions: DataFrame, parents: DataFrame | None = None, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drafts of every strategy as chunks: short leaves dropped, ids, parents and siblings; and rejected documents.
+
+    ``parents``: document_id, chunk_no, parent_no of the drafts that have a parent.
+    ``keep``: drafts that stay however short. A short parent with children refuses its
+    document, and so do two drafts with one identity. The rest is numbered from 0.
+    """
+    short = (F.col("tokens") < SHORT) & ~(F.lit(False) if keep is None else F.coalesce(keep, F.lit(False)))
+    drafts = chunks.withColumn("_short", short)
+    if parents is None:
+        drafts = drafts.withColumn("parent_no", F.lit(None).cast("int"))
+    else:
+        drafts = drafts.join(parents.select("document_id", "chunk_no", "parent_no"), ["document_id", "chunk_no"], "left")
+    used = drafts.filter("parent_no is not null").select("document_id", F.col("parent_no").alias("chunk_no")).distinct()
+    orphaned = drafts.filter("_short").join(used, ["document_id", "chunk_no"], "left_semi").select("document_id").distinct()
+    named, repeated = with_ids(drafts.filter("not _short").drop("_short"), versions)
+    reasons = orphaned.select("document_id", F.lit("short parent").alias("reason")).unionByName(
+        repeated.select("document_id", F.lit("repeated chunk").alias("reason")))
+    rejects = cut(reasons.groupBy("document_id").agg(F.max("reason").alias("reason")))
+    # Ids are read for parents, siblings and the rows themselves: they are stored once.
+    good = cut(named.join(rejects, "document_id", "left_anti"))
+    above = good.select("document_id", F.col("chunk_no").alias("parent_no"), F.col("chunk_id").alias("parent_id"))
+    placed = good.join(above, ["document_id", "parent_no"], "left").withColumn(
+        "ordinal", F.row_number().over(W.partitionBy("document_id").orderBy("chunk_no")) - 1)
+    kin = families(placed).select("chunk_id", "parent_id", "sibling_ids")
+    none = F.array().cast("array<string>")
+    done = placed.join(kin, ["chunk_id", "parent_id"], "left").withColumn("sibling_ids", F.coalesce("sibling_ids", none))
+    return done.drop("parent_no", "chunk_no"), rejects
+
+
 def table_chunks(tables: DataFrame, target: int, maximum: int) -> DataFrame:
     """Tables (document_id, ordinal, rows, header_rows) as chunks of whole rows.
 
@@ -277,8 +307,8 @@ def table_chunks(tables: DataFrame, target: int, maximum: int) -> DataFrame:
         ((F.col("n") > maximum) & (F.col("worst") > maximum)).alias("refused"))
 
 
-def line_windows(sources: DataFrame, maximum: int) -> DataFrame:
-    """Consecutive parts of code (symbol, text) within the limit, cut at line ends.
+def with_line_parts(rows: DataFrame, maximum: int) -> DataFrame:
+    """Add ``parts``: consecutive pieces of ``text`` within the limit, cut at line ends.
 
     A longer line is cut after its last blank that still fits; nothing is lost:
     the parts joined give the text again.
@@ -289,16 +319,22 @@ def line_windows(sources: DataFrame, maximum: int) -> DataFrame:
              f"(s, w) -> if(s.acc <> '' and s.n + w.c > {maximum}, named_struct('n', w.c, 'acc', w.p, 'out', array_append(s.out, s.acc)), "
              "named_struct('n', s.n + w.c, 'acc', concat(s.acc, w.p), 'out', s.out)), s -> if(s.acc <> '', array_append(s.out, s.acc), s.out))")
     lines = r"filter(regexp_extract_all(text, r'[^\n]*(?:\n|$)', 0), x -> x <> '')"
-    segments = sources.withColumn(
+    segments = rows.withColumn(
         "segs", F.expr(f"flatten(transform({lines}, ln -> if({_count('ln')} <= {maximum}, array(ln), {words})))")).withColumn(
         "cs", F.expr(f"transform(segs, x -> {_count('x')})"))
     fold = f"""aggregate(cs, cast(named_struct('i', 0, 'cur', 0, 'starts', array()) as struct<i:int,cur:int,starts:array<int>>),
         (s, c) -> if(s.i > 0 and s.cur + c <= {maximum},
             named_struct('i', s.i + 1, 'cur', s.cur + c, 'starts', s.starts),
             named_struct('i', s.i + 1, 'cur', c, 'starts', array_append(s.starts, s.i)))).starts"""
-    cut = segments.withColumn("starts", F.expr(fold)).withColumn(
-        "parts", F.expr("transform(starts, (a, g) -> array_join(slice(segs, a + 1, coalesce(get(starts, g + 1), size(segs)) - a), ''))"))
-    return X.unfold(cut, ["symbol", F.size("starts").alias("part_count")], F.col("parts"), "text", "part_index")
+    return segments.withColumn("starts", F.expr(fold)).withColumn(
+        "parts", F.expr("transform(starts, (a, g) -> array_join(slice(segs, a + 1, coalesce(get(starts, g + 1), size(segs)) - a), ''))")
+    ).drop("segs", "cs", "starts")
+
+
+def line_windows(sources: DataFrame, maximum: int) -> DataFrame:
+    """Line parts of code (symbol, text), one row each."""
+    rows = with_line_parts(sources, maximum)
+    return X.unfold(rows, ["symbol", F.size("parts").alias("part_count")], F.col("parts"), "text", "part_index")
 
 
 def called_by(declarations: DataFrame) -> DataFrame:

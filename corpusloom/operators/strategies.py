@@ -270,6 +270,20 @@ def markdown_units(blocks: DataFrame, target: int, limit: int) -> DataFrame:
     return H.units_of_segments(docs)
 
 
+# -- code ---------------------------------------------------------------------
+def code_units(blocks: DataFrame, target: int, limit: int) -> DataFrame:
+    """Units of code documents: code over the target is cut at line ends, each part a chunk of its own."""
+    sized = H.with_units(H.generic_blocks(blocks), target, limit)
+    cost = X.token_count(F.col("text"))
+    long = (F.col("kind") == "code") & F.coalesce(cost > target, F.lit(False))
+    parts = F.transform("parts", lambda p: F.struct(
+        p.alias("t"), F.lit("").alias("sep"), X.token_count(p).alias("c"), X.token_count(p).alias("jc")))
+    cut_up = H.with_line_parts(sized.withColumn("_full", F.col("text")).withColumn("text", F.when(long, F.col("text"))), limit)
+    shaped = cut_up.withColumn("units", F.coalesce(parts, "units")).withColumn("atomic", F.col("atomic") | F.col("parts").isNotNull()).withColumn(
+        "text", F.when(F.col("kind") == "heading", F.col("_full")))
+    return H.units_of_segments(H.heading_states(H.collect_blocks(shaped, H.COLUMNS), H.PATH_INIT, H.PATH_STEP))
+
+
 # -- resumes, documentation, mail ---------------------------------------------
 def resume_units(blocks: DataFrame, target: int, limit: int) -> DataFrame:
     """Units of resumes: a section begins where (section, role) changes."""
@@ -373,7 +387,8 @@ def chunk_all(blocks: DataFrame, titles: DataFrame, target: int = H.TARGET, maxi
 
     fields = ["document_id", "us"]
     units = (
-        H.generic_units(of("generic", "code", "markdown", "email"), target, limit).select(fields)
+        H.generic_units(of("generic", "markdown", "email"), target, limit).select(fields)
+        .unionByName(code_units(of("code"), target, limit).select(fields))
         .unionByName(book_units(of("book"), titles, target, limit).select(fields))
         .unionByName(paper_units(of("paper"), target, limit).select(fields))
         .unionByName(resume_units(of("resume").drop("role"), target, limit).select(fields)))

@@ -9,6 +9,7 @@ from corpusloom.functions import expr as X
 from corpusloom.operators import chunk as H
 from corpusloom.operators import counted as K
 from corpusloom.operators import rank as R
+from corpusloom.operators import strategies as S
 from corpusloom.plans.sqlbase import ntok, oracle
 from corpusloom.plans.tables import Library
 
@@ -54,6 +55,26 @@ def chunk_counted(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select("document_id", "chunk_no", "section_index", "n_units", "start_ordinal", "end_ordinal", "tokens", "text")
 
 
+def finish_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the general strategy finished; the first chunk of a section is the parent of the others."""
+    lib = Library(spark, d)
+    chunks, _ = _chunks(lib)
+    parents = chunks.select("document_id", "chunk_no", (F.col("chunk_no") - F.col("chunk_index")).alias("parent_no")).filter("chunk_no <> parent_no")
+    done, rejects = H.finish(chunks, lib.versions(), parents, F.col("chunk_type") == "equation")
+    return done.select("document_id", "chunk_id", "ordinal", "parent_id", F.array_join("sibling_ids", ",").alias("sibling_ids"), F.lit(None).cast("string").alias("reason")).unionByName(
+        rejects.select("document_id", *[F.lit(None).cast(t).alias(n) for n, t in (("chunk_id", "string"), ("ordinal", "int"), ("parent_id", "string"), ("sibling_ids", "string"))], "reason"))
+
+
+def chunk_code(spark: SparkSession, d: str) -> DataFrame:
+    """Line blocks as code documents; code blocks stand three times over, in lines of seven words."""
+    lib = Library(spark, d)
+    words = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.concat(w, F.when(i % 7 == 6, "\n").otherwise(" "))), "")
+    repeated = F.when(F.col("kind") == "code", F.repeat(words, 3)).otherwise(F.col("text"))
+    good, _ = H.split_rejects(S.code_units(lib.blocks().withColumn("text", repeated), T, LIMIT), LIMIT)
+    rows = H.pack(good, T, LIMIT)
+    return rows.select("document_id", "chunk_no", "section_index", "start_ordinal", "end_ordinal", "chunk_type", "tokens", F.sha2("text", 256).alias("text_hash"))
+
+
 def chunk_rejects(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(Library(spark, d))[1]
 
@@ -116,7 +137,7 @@ def called_by(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    token_count, heading_path, sentence_units, pack_units, chunk_generic, chunk_counted, chunk_rejects, chunk_ids, drop_short,
+    token_count, heading_path, sentence_units, pack_units, chunk_generic, chunk_counted, finish_chunks, chunk_code, chunk_rejects, chunk_ids, drop_short,
     chunk_families, sibling_audit, table_chunks, line_windows, called_by)}
 
 WSQ = r"[ \t\n\r\f\v\x{85}\x{A0}]"
@@ -194,6 +215,19 @@ COUNTED["backs"] = PACK["backs"].replace("f.cur < 15", f"{_groups('f.cur')} < 15
 COUNTED["refused"] = f"SELECT document_id FROM packed GROUP BY 1 HAVING {_groups('max(worst)')} > {LIMIT}"
 
 ORACLES = {
+    "finish_chunks": oracle("""
+        SELECT document_id, chunk_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY chunk_no) - 1 AS INTEGER) AS ordinal, parent_id,
+          coalesce(CASE WHEN parent_id IS NOT NULL THEN array_to_string(list_filter(list(chunk_id) OVER (PARTITION BY parent_id ORDER BY chunk_no
+            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), lambda x: x <> chunk_id), ',') END, '') AS sibling_ids, NULL AS reason
+        FROM (SELECT l.*, p.chunk_id AS parent_id FROM live l LEFT JOIN live p ON p.document_id = l.document_id AND p.chunk_no = l.parent_no
+          WHERE l.document_id NOT IN (SELECT document_id FROM faulty))
+        UNION ALL SELECT document_id, NULL, NULL, NULL, NULL, max(reason) FROM faulty GROUP BY document_id""", **PACK,
+        drafted="""SELECT c.*, CASE WHEN chunk_index > 0 THEN chunk_no - chunk_index END AS parent_no, tokens < 15 AND chunk_type <> 'equation' AS short,
+          sha256('[' || to_json(lower(version_id)) || ',[' || start_ordinal || ',' || end_ordinal || '],' || to_json(text) || ']') AS chunk_id
+          FROM chunks_out c JOIN versions USING (document_id)""",
+        live="SELECT * FROM drafted WHERE NOT short",
+        faulty="""SELECT p.document_id, 'short parent' AS reason FROM drafted p JOIN drafted c ON c.document_id = p.document_id AND c.parent_no = p.chunk_no WHERE p.short
+          UNION ALL SELECT document_id, 'repeated chunk' FROM live GROUP BY document_id, chunk_id HAVING count(*) > 1"""),
     "chunk_counted": oracle(f"""SELECT document_id, chunk_no, section_index, n_units, start_ordinal, end_ordinal, CAST({_groups('tokens')} AS INTEGER) AS tokens, text
         FROM chunks_out""", **COUNTED),
     "token_count": f"SELECT doc_id, CAST({ntok('text')} AS INTEGER) AS tokens FROM documents",

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scale import cut
+from corpusloom.operators import chunk as H
 from corpusloom.operators import classify as C
 from corpusloom.operators import clean as N
 from corpusloom.operators import strategies as S
@@ -95,7 +96,7 @@ def ingest(contents: DataFrame, known: DataFrame, target: int, maximum: int) ->
     """Route, parse, clean, classify and chunk files (path, content).
 
     Known hashes leave before parsing. Failures are rows of ``rejects``: one bad
-    file never fails the job.
+    file never fails the job. ``finish`` gives the chunks their ids.
     """
     routed = S1.route_files(contents, known)
     blocks, unparsed = parse(routed, contents)
@@ -109,6 +110,15 @@ def ingest(contents: DataFrame, known: DataFrame, target: int, maximum: int) ->
     return {"routed": routed, "types": types, "chunks": chunks, "rejects": rejects}
 
 
+def finish(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of ``ingest`` with finished chunks: short leaves dropped, ids by the content's version, slides kept however short."""
+    versions = tables["routed"].select(F.col("path").alias("document_id"), F.col("content_hash").alias("version_id"))
+    slides = tables["types"].select("document_id", (F.col("doc_type") == "slides").alias("kept"))
+    done, refused = H.finish(tables["chunks"].join(slides, "document_id", "left"), versions, None, F.col("kept"))
+    rejects = tables["rejects"].unionByName(refused.select(F.col("document_id").alias("path"), "reason"))
+    return {**tables, "chunks": done.drop("kept"), "rejects": rejects}
+
+
 def status(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per file: duplicate, indexed with its chunk count, or failed."""
     counted = tables["chunks"].groupBy(F.col("document_id").alias("path")).agg(F.count("*").alias("chunks"))
