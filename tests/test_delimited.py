@@ -67,3 +67,6 @@ def test_delimited_files_and_mail_reach_chunks(spark):
     texts = {r.document_id: r.text for r in made["chunks"].collect()}
     assert texts["a.csv"] == "name note Ada one two Bob"  # cells are joined as text
     assert any("first letter" in r.text for r in made["chunks"].filter("document_id = 'b.mbox'").collect())
+    done = ingest.finish(made)["chunks"].filter("document_id = 'b.mbox'").orderBy("ordinal").collect()
+    assert [r.ordinal for r in done] == list(range(len(done))) and len({r.chunk_id for r in done}) == len(done) > 0
+    assert all(r.tokens >= 15 and r.sibling_ids == [] for r in done)
