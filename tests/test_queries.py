@@ -39,6 +39,18 @@ def test_matches_sql(spark, con, folder, name):
     assert got == want
 
 
+def test_streams_read_tables_that_are_folders(spark, con, folder, tmp_path):
+    for name in ("documents", "conversations"):
+        spark.read.parquet(f"{folder}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = entry.queries()["stream_timeline"](spark, str(tmp_path)).select("notebook_id", "happened_at", "kind", "item_id", "n").collect()
+    want = con.execute("SELECT notebook_id, happened_at, kind, item_id, n FROM (" + entry.oracle_sql()["stream_timeline"] + ")").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    whole, parts = (
+        entry.queries()["stream_ingest"](spark, str(f)).select("content_hash", "status", "chunks").filter("status <> 'conflict'") for f in (folder, tmp_path))
+    fresh = [sorted(map(tuple, rows.filter("chunks > 0").collect())) for rows in (whole, parts)]
+    assert fresh[0] == fresh[1] and fresh[0]
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
