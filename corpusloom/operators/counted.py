@@ -99,20 +99,23 @@ def fold(units: list[dict], alone: list[int], joint: list[int], count: Counter,
     return out
 
 
-def pack(docs: DataFrame, make_counter: Callable[[], Counter], target: int, maximum: int, tail: bool = True) -> tuple[DataFrame, DataFrame]:
+def pack(
+    docs: DataFrame, make_counter: Callable[[], Counter], target: int, maximum: int, tail: bool = True, cut_units: bool = True,
+) -> tuple[DataFrame, DataFrame]:
     """Chunks and rejects of documents with ``us`` (see ``chunk.pack``) by any counter.
 
     ``make_counter`` is called once per task and returns a function from texts to
     counts. Units over the maximum are cut at white space if they may be cut; a
-    document with a word or a whole unit over the maximum is refused. Null or empty
-    ``us`` give no chunk. One document is one row and is folded at once.
+    document with a word or a whole unit over the maximum is refused. Without
+    ``cut_units`` units stay as they come, and any over the maximum refuses its document.
+    Null or empty ``us`` give no chunk. One document is one row and is folded at once.
     """
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def one(document: str, units: list[dict], count: Counter) -> list[list]:
         fine: list[dict] = []
         for unit, size in zip(units, count([u["t"] for u in units])):
-            if size <= maximum or not unit["ok"]:
+            if size <= maximum or not unit["ok"] or not cut_units:
                 fine.append({**unit, "n": size})
             else:
                 parts = split_unit(unit["t"], count, target)
@@ -144,10 +147,12 @@ def pack(docs: DataFrame, make_counter: Callable[[], Counter], target: int, maxi
     return rows.filter("reason is null").drop("reason"), bad
 
 
-def chunk_generic(blocks: DataFrame, make_counter: Callable[[], Counter], target: int = H.TARGET, maximum: int = H.MAXIMUM) -> tuple[DataFrame, DataFrame]:
+def chunk_generic(
+    blocks: DataFrame, make_counter: Callable[[], Counter], target: int = H.TARGET, maximum: int = H.MAXIMUM, cut_units: bool = True,
+) -> tuple[DataFrame, DataFrame]:
     """The general strategy with a counter of the caller."""
     limit = H.hard_max(target, maximum)
-    return pack(H.generic_units(blocks, target, limit), make_counter, target, limit)
+    return pack(H.generic_units(blocks, target, limit), make_counter, target, limit, cut_units=cut_units)
 
 
 def recount(chunks: DataFrame, make_counter: Callable[[], Counter], name: str = "tokens") -> DataFrame:

@@ -5,10 +5,12 @@ import re
 import sys
 import zlib
 
+import duckdb
 import pytest
 import regex
 from pyspark import cloudpickle
 
+import __spark_entry__ as entry
 from corpusloom.functions.expr import TOKEN_PATTERN
 from corpusloom.operators import chunk as H
 from corpusloom.operators import counted as K
@@ -99,3 +101,17 @@ def test_empty_null_and_refused_documents(spark):
     assert chunks.filter("false").count() == 0 == K.chunk_generic(spark.createDataFrame([], schema), additive)[0].count()
     counted = K.recount(spark.createDataFrame([("a b",), (None,), ("",)], "text string"), additive)
     assert sorted(str(r.tokens) for r in counted.collect()) == ["0", "2", "None"]
+
+
+def test_units_within_the_maximum_by_pretokens_alone_are_refused_as_in_sql(spark, tmp_path):
+    # 155 pre-tokens, but 214 groups of eight bytes, where 192 are the maximum.
+    long = " ".join(["Forndtions"] * 155)
+    rows = [(1, long, "en", "src1", len(long)), (2, "short enough. " * 30, "en", "src1", 420), (3, None, "en", "src1", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = entry.queries()["chunk_counted"](spark, str(tmp_path))
+    want = con.execute(entry.oracle_sql()["chunk_counted"])
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
+    assert {r.document_id for r in got.collect()} == {"2"}
