@@ -142,3 +142,18 @@ def test_pruning_reads_less_and_loses_nothing():
     want = np.sort(whole)[-10:]
     assert np.allclose(np.sort(score)[-10:], want) and set(np.flatnonzero(whole >= want[0])) <= set(place)
     assert read < 0.6 * len(own[0])
+
+
+def test_searched_passages_need_no_exchange_and_a_segment_one(spark, folder, tmp_path, monkeypatch):
+    s = Search(Library(spark, folder))
+    chunks = s.chunks()
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    day = F.date_diff("publication_date", F.lit("1970-01-01").cast("date")).alias("day")
+    titled = F.when(F.trim("title") != "", F.col("title")).alias("title")
+    joined = s.indexed().join(s.lib.versions().select("document_id", titled, day, "doc_type"), "document_id").select(chunks.columns)
+    assert chunks.exceptAll(joined).isEmpty() and joined.exceptAll(chunks).isEmpty()
+    # A task writes a few shards, so a segment of many shards has more files per bucket than there are shuffle partitions.
+    monkeypatch.setattr(I, "TOGETHER", 1)
+    name = I.write_segment(I.counted(I.tokens(chunks.limit(400))), 400, str(tmp_path), 4)
+    assert name.endswith("-100") and len(list((tmp_path / name / "bucket=-1").glob("*.parquet"))) > 20
