@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
+from corpusloom.functions.scale import cut
 from corpusloom.operators import chunk as H
 from corpusloom.operators import classify as C
 from corpusloom.operators import strategies as S
@@ -48,7 +49,8 @@ def toc_detect(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_book(spark: SparkSession, d: str) -> DataFrame:
     lib = Library(spark, d)
-    good, _ = H.split_rejects(S.book_units(_book(lib), lib.versions().select("document_id", "title"), T, LIMIT), LIMIT)
+    # Stored, as a filter on the units below the packing would fold the headings twice.
+    good, _ = H.split_rejects(cut(S.book_units(_book(lib), lib.versions().select("document_id", "title"), T, LIMIT)), LIMIT)
     return _shown(H.pack(good, T, LIMIT))
 
 
