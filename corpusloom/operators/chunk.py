@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import expr as X
-from corpusloom.functions.scale import cut
+from corpusloom.functions.scale import broadcast_checked, cut
 
 # Default sizes, short-chunk bound, verbatim bound.
 TARGET, MAXIMUM, SHORT, VERBATIM_TARGET = 512, 1024, 15, 150
@@ -232,8 +232,12 @@ def with_ids(chunks: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFra
     """Chunk ids, and the documents in which an id repeats."""
     named = chunks.join(versions.select("document_id", "version_id"), "document_id").withColumn(
         "chunk_id", chunk_id(F.col("version_id"), F.col("start_ordinal"), F.col("end_ordinal"), F.col("text")))
-    repeated = named.groupBy("document_id", "chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("document_id").distinct()
-    return named, repeated
+    return named, repeated_ids(named)
+
+
+def repeated_ids(named: DataFrame) -> DataFrame:
+    """Documents in which an id repeats."""
+    return named.groupBy("document_id", "chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("document_id").distinct()
 
 
 def families(chunks: DataFrame) -> DataFrame:
@@ -263,14 +267,16 @@ def finish(chunks: DataFrame, versions: DataFrame, parents: DataFrame | None = N
         drafts = drafts.withColumn("parent_no", F.lit(None).cast("int"))
     else:
         drafts = drafts.join(parents.select("document_id", "chunk_no", "parent_no"), ["document_id", "chunk_no"], "left")
+    # Drafts with their ids are stored once: checks, parents, siblings and the rows themselves read them.
+    drafts = cut(drafts.join(versions.select("document_id", "version_id", F.lit(True).alias("_known")), "document_id", "left").withColumn(
+        "chunk_id", chunk_id(F.col("version_id"), F.col("start_ordinal"), F.col("end_ordinal"), F.col("text"))))
     used = drafts.filter("parent_no is not null").select("document_id", F.col("parent_no").alias("chunk_no")).distinct()
-    orphaned = drafts.filter("_short").join(used, ["document_id", "chunk_no"], "left_semi").select("document_id").distinct()
-    named, repeated = with_ids(drafts.filter("not _short").drop("_short"), versions)
+    orphaned = drafts.filter("_short").select("document_id", "chunk_no").join(used, ["document_id", "chunk_no"], "left_semi").select("document_id").distinct()
+    live = drafts.filter("_known and not _short").drop("_known", "_short")
     reasons = orphaned.select("document_id", F.lit("short parent").alias("reason")).unionByName(
-        repeated.select("document_id", F.lit("repeated chunk").alias("reason")))
+        repeated_ids(live).select("document_id", F.lit("repeated chunk").alias("reason")))
     rejects = cut(reasons.groupBy("document_id").agg(F.max("reason").alias("reason")))
-    # Ids are read for parents, siblings and the rows themselves: they are stored once.
-    good = cut(named.join(rejects, "document_id", "left_anti"))
+    good = live.join(broadcast_checked(rejects.select("document_id")), "document_id", "left_anti")
     above = good.select("document_id", F.col("chunk_no").alias("parent_no"), F.col("chunk_id").alias("parent_id"))
     placed = good.join(above, ["document_id", "parent_no"], "left").withColumn(
         "ordinal", F.row_number().over(W.partitionBy("document_id").orderBy("chunk_no")) - 1)

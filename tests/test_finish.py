@@ -52,3 +52,22 @@ def test_code_is_cut_at_line_ends_and_nothing_is_lost(spark):
     assert bad.count() == 0 and len(parts) > 5 and "".join(parts) == code
     assert all(p.endswith("\n") for p in parts) and all(r.tokens <= 200 and list(r.heading_path) == ["Top"] for r in got)
     assert [r.text for r in got if r.start_ordinal == 2] == ["x = 1"] and {r.document_id for r in got} == {"d"}
+
+
+def test_drafts_are_computed_once_and_book_units_are_stored(spark, folder):
+    import __spark_entry__ as entry
+
+    seen = spark.sparkContext.accumulator(0)
+    schema = "document_id string, chunk_no int, start_ordinal int, end_ordinal int, tokens int, text string"
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    drafts = spark.createDataFrame([(f"d{i % 5}", i // 5, i, i, 20, f"text {i}") for i in range(50)], schema).mapInPandas(counted, schema)
+    versions = spark.createDataFrame([(f"d{i}", f"v{i}") for i in range(5)], "document_id string, version_id string")
+    done, rejects = H.finish(drafts, versions)
+    assert len(done.collect()) == 50 and rejects.isEmpty()
+    assert seen.value == 50
+    assert "LogicalRDD" in entry.queries()["chunk_book"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
