@@ -20,6 +20,10 @@ _TEXT = {"p", "div", "section", "article", "main", "body", "blockquote", "figure
 _VOID = {"br", "img", "meta", "link", "base", "hr", "input"}
 
 
+#: Block rows that a task holds before it hands them on; those of one page stay together.
+AT_ONCE = 2000
+
+
 class _Blocks(HTMLParser):
     """Collects block rows from one page; boilerplate elements are left out."""
 
@@ -123,10 +127,15 @@ class _Blocks(HTMLParser):
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """Block rows of HTML pages (page_id, html), one Arrow batch of pages at a time. Ids are numbers or strings."""
+    """Block rows of HTML pages (page_id, html), a bounded number of rows at a time. Ids are numbers or strings."""
     key = pages.schema["page_id"].dataType.simpleString()
     columns = [c.split()[0] for c in BLOCK_SCHEMA.replace("array<array<string>>", "rows_type").split(", ")]
 
+    kinds = {"page_id": "int64" if key == "bigint" else "object", "ordinal": "int32", "level": "Int32", "header_rows": "Int32"}
+
+    def table(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({name: pd.Series([row.get(name) for row in rows], dtype=kinds.get(name, "object")) for name in columns})
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[dict] = []
@@ -136,9 +145,10 @@ def html_blocks(pages: DataFrame) -> DataFrame:
                 reader.close()
                 reader.flush()
                 out.extend({"page_id": page, **row} for row in reader.rows)
-            kinds = {"page_id": "int64" if key == "bigint" else "object", "ordinal": "int32", "level": "Int32", "header_rows": "Int32"}
-            yield pd.DataFrame({
-                name: pd.Series([row.get(name) for row in out], dtype=kinds.get(name, "object")) for name in columns})
+                if len(out) >= AT_ONCE:
+                    yield table(out)
+                    out = []
+            yield table(out)
 
     return pages.select("page_id", "html").mapInPandas(parse, BLOCK_SCHEMA.replace("page_id long", f"page_id {key}"))
 

@@ -447,3 +447,19 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scale.ensure_checkpoint_dir(Session)
+
+
+def test_html_blocks_hand_on_rows_before_a_batch_ends():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from corpusloom.sources import markup
+
+    pages = SimpleNamespace(schema={"page_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))})
+    pages.select = lambda *names: SimpleNamespace(mapInPandas=lambda parse, schema: parse)
+    batch = pd.DataFrame({"page_id": range(3000), "html": ["<p>one</p><p>two</p>"] * 2999 + [None]})
+    tables = list(markup.html_blocks(pages)(iter([batch])))
+    assert max(map(len, tables)) < markup.AT_ONCE + 2 and sum(map(len, tables)) == 5998
+    rows = pd.concat(tables)
+    assert list(rows["text"][:2]) == ["one", "two"] and rows.groupby("page_id").size().eq(2).all()
