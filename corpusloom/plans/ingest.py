@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scale import cut
+from corpusloom.functions.scale import cut, stored
 from corpusloom.operators import chunk as H
 from corpusloom.operators import classify as C
 from corpusloom.operators import clean as N
@@ -33,8 +33,9 @@ def _shape(rows: DataFrame, **given: F.Column) -> DataFrame:
 def parse(routed: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks of the files that can be parsed, and a reason for each that cannot."""
     texts, broken = S1.decode_text(contents)
-    docs = routed.filter("outcome = 'parse'").join(texts, "path").select(
-        F.col("path").alias("document_id"), "ext", "parser", "text")
+    # Texts are exchanged and stored once, by parser; every parser reads its own.
+    docs = stored(routed.filter("outcome = 'parse'").join(texts, "path").select(
+        F.col("path").alias("document_id"), "ext", "text", "parser"), "parser")
     plain = _shape(S1.text_blocks(docs.filter("parser = 'text'")))
     md = markup.markdown_blocks(docs.filter("parser = 'markdown'"))
     kind = F.when(F.col("kind").isin("paragraph", "blockquote", "thematic_break"), "text").otherwise(F.col("kind"))
@@ -98,12 +99,12 @@ def ingest(contents: DataFrame, known: DataFrame, target: int, maximum: int) ->
     Known hashes leave before parsing. Failures are rows of ``rejects``: one bad
     file never fails the job. ``finish`` gives the chunks their ids.
     """
-    routed = S1.route_files(contents, known)
+    routed = cut(S1.route_files(contents, known))
     blocks, unparsed = parse(routed, contents)
     # The block table is stored once; every later step reads it instead of parsing again.
     clean = cut(N.reordinal(N.drop_repeated(cut(N.clean_blocks(blocks)))))
-    types = C.classify(clean, routed.filter("outcome = 'parse'").select(F.col("path").alias("document_id"), "path"))
-    typed = clean.join(types, "document_id")
+    types = cut(C.classify(clean, routed.filter("outcome = 'parse'").select(F.col("path").alias("document_id"), "path")))
+    typed = stored(clean.join(types, "document_id"), "doc_type")
     titles = typed.filter("kind = 'heading'").groupBy("document_id").agg(F.min_by("text", "ordinal").alias("title"))
     chunks, refused = S.chunk_all(typed, titles, target, maximum)
     rejects = unparsed.unionByName(refused.select(F.col("document_id").alias("path"), "reason"))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scale import cut, running_number
+from corpusloom.functions.scale import broadcast_checked, cut, running_number
 
 # Token budget and row bound of one CSV block, rows of one sheet block.
 CSV_TOKENS, CSV_ROWS, SHEET_ROWS = 400, 50, 50
 BLOCK = 4096
+#: Rows that a task holds before it hands them on.
+AT_ONCE = 1 << 16
 
 
 def row_cost(cells: Column) -> Column:
@@ -42,7 +47,14 @@ def greedy_batches(rows: DataFrame, budget: int = CSV_TOKENS, max_rows: int = CS
     own = rows.withColumn("block", number).withColumn("ahead", F.lit(False))
     early = own.filter((F.col("row_no") % BLOCK < max_rows) & (F.col("block") > 0))
     ahead = early.withColumn("block", F.col("block") - 1).withColumn("ahead", F.lit(True))
-    both = cut(own.unionByName(ahead))
+    # One row per block; files of one block begin at its first row and need no tables.
+    both = own.unionByName(ahead)
+    groups = cut(both.groupBy("file_id", "block").agg(
+        F.array_sort(F.collect_list(F.struct("row_no", "cost"))).alias("rows"), F.count_if(~F.col("ahead")).cast("int").alias("length"),
+        F.min("header_cost").alias("header_cost")))
+    large = broadcast_checked(cut(groups.filter("block > 0").select("file_id").distinct()))
+    spread = groups.join(large, "file_id", "left_semi").select("file_id", "block", "length", "header_cost", F.posexplode("rows").alias("place", "r"))
+    spread = spread.select("file_id", "block", "header_cost", "r.*", (F.col("place") >= F.col("length")).alias("ahead"))
 
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_no")
@@ -61,7 +73,7 @@ def greedy_batches(rows: DataFrame, budget: int = CSV_TOKENS, max_rows: int = CS
         return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "block": [pdf["block"].iloc[0]],
                              "exits": [exits], "counts": [counts]})
 
-    maps = both.groupBy("file_id", "block").applyInPandas(
+    maps = spread.groupBy("file_id", "block").applyInPandas(
         table, "file_id string, block long, exits array<int>, counts array<int>")
     maps = cut(maps.withColumn("run", F.floor(F.col("block") / BLOCK).cast("long")))
 
@@ -90,19 +102,30 @@ def greedy_batches(rows: DataFrame, budget: int = CSV_TOKENS, max_rows: int = CS
     opened = maps.join(run_entries.withColumnRenamed("block", "run"), ["file_id", "run"])
     block_entries = opened.groupBy("file_id", "run").applyInPandas(enter, entries)
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_no")
-        length = int((~pdf["ahead"]).sum())
-        nxt = _following(pdf["cost"].to_numpy(), int(pdf["header_cost"].iloc[0]), budget, max_rows, length)
-        batch = np.full(length, int(pdf["base"].iloc[0]) - 1)
-        at, current = int(pdf["entry"].iloc[0]), int(pdf["base"].iloc[0])
-        while at < length:
-            batch[at:nxt[at]] = current
-            at, current = nxt[at], current + 1
-        return pd.DataFrame({"file_id": pdf["file_id"].iloc[:length], "row_no": pdf["row_no"].iloc[:length], "batch": batch})
-
-    return both.join(block_entries, ["file_id", "block"]).groupBy("file_id", "block").applyInPandas(
-        assign, "file_id string, row_no long, batch long")
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            made, size = [], 0
+            columns = (given.column(c) for c in ("file_id", "numbers", "costs", "length", "header_cost", "entry", "base"))
+            for file, numbers, costs, length, header, entry, base in zip(*columns, strict=True):
+                length, at, current = length.as_py(), entry.as_py(), base.as_py()
+                nxt = _following(costs.values.to_numpy(), header.as_py(), budget, max_rows, length)
+                batch = np.full(length, current - 1)
+                while at < length:
+                    batch[at:nxt[at]] = current
+                    at, current = nxt[at], current + 1
+                made.append(pa.RecordBatch.from_arrays(
+                    [pa.array([file.as_py()] * length, pa.string()), numbers.values[:length], pa.array(batch)], names=["file_id", "row_no", "batch"]))
+                size += length
+                if size > AT_ONCE:
+                    yield pa.concat_batches(made)
+                    made, size = [], 0
+            if made:
+                yield pa.concat_batches(made)
+
+    started = groups.join(block_entries, ["file_id", "block"], "left").select(
+        "file_id", F.col("rows.row_no").alias("numbers"), F.col("rows.cost").alias("costs"), "length", "header_cost",
+        F.coalesce("entry", F.lit(0)).alias("entry"), F.coalesce("base", F.lit(0).cast("long")).alias("base"))
+    return started.mapInArrow(assign, "file_id string, row_no long, batch long")
 
 
 def csv_blocks(cells: DataFrame, header: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from corpusloom.functions import scale
 from corpusloom.sources import delimited
 
 
@@ -70,3 +72,28 @@ def test_delimited_files_and_mail_reach_chunks(spark):
     done = ingest.finish(made)["chunks"].filter("document_id = 'b.mbox'").orderBy("ordinal").collect()
     assert [r.ordinal for r in done] == list(range(len(done))) and len({r.chunk_id for r in done}) == len(done) > 0
     assert all(r.tokens >= 15 and r.sibling_ids == [] for r in done)
+
+
+def operators(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_files_cost_no_python_call_each(spark):
+    """States of lines are windows; batches of files with one block come from one Arrow pass over rows of blocks."""
+    from corpusloom.sources import tabular
+
+    lines = delimited.lines_of(spark.createDataFrame([(f"f{i}.csv", 'a,b\n1,"x\ny"\n3,4') for i in range(40)], "file_id string, text string"))
+    told = lines.select("*", *[F.lit(v).alias(n) for n, v in (("delimiter", ","), ("quote", '"'), ("double", True), ("skip", False))])
+    placed = delimited.states(told)
+    assert "FlatMapGroupsInPandas" not in operators(placed)
+    assert {(r.line_no, r.record, r.alone) for r in placed.collect()} == {(0, 0, True), (1, 1, False), (2, 1, False), (3, 2, True)}
+    rows = spark.range(0, 300).selectExpr("concat('f', id % 100) AS file_id", "id div 100 AS row_no", "CAST(300 AS INT) AS cost", "CAST(1 AS INT) AS header_cost")
+    batches = tabular.greedy_batches(rows, 400, 50)
+    assert operators(batches).count("MapInArrow") == 1
+    assert {(r.row_no, r.batch, r.n) for r in batches.groupBy("row_no", "batch").agg(F.count("*").alias("n")).collect()} == {(i, i, 100) for i in range(3)}
+
+
+def test_stored_tables_are_read_by_value(spark):
+    kept = scale.stored(spark.createDataFrame([(1, "x", "a"), (2, None, "b")], "n int, text string, kind string"), "kind")
+    assert [tuple(r) for r in kept.filter("kind = 'b'").collect()] == [(2, None, "b")] and kept.columns == ["n", "text", "kind"]
+    assert "PartitionFilters: [isnotnull(kind" in kept.filter("kind = 'b'")._jdf.queryExecution().executedPlan().toString()
