@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from email import policy
 from email.parser import BytesParser
 from email.utils import getaddresses, parsedate_to_datetime
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,25 @@ MESSAGE_SCHEMA = (
     "mail_id string, message_id string, in_reply_to string, subject string, sender string, sent_at string, "
     "body string, body_format string, attachments int, error string")
 
+#: Headers up to this length are remembered, so many at a time.
+REMEMBERED, HEADERS = 1024, 4096
+
+
+@lru_cache(maxsize=HEADERS)
+def _header(name: str, value: str) -> str:
+    return policy.default.header_fetch_parse(name, value)
+
+
+class _Remembering(policy.EmailPolicy):
+    """The default policy reads a header anew at each look; here one that stands in many parts is read once."""
+
+    def header_fetch_parse(self, name: str, value: str) -> str:
+        known = not hasattr(value, "name") and len(value) <= REMEMBERED
+        return _header(name, value) if known else super().header_fetch_parse(name, value)
+
+
+POLICY = _Remembering()
+
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """Messages of mailbox files: the separator line is the record delimiter, so a
@@ -62,7 +82,7 @@ def decode_messages(mails: DataFrame) -> DataFrame:
 
     def one(mail_id: str, raw: str) -> list:
         try:
-            message = BytesParser(policy=policy.default).parsebytes(raw.encode("utf-8"))
+            message = BytesParser(policy=POLICY).parsebytes(raw.encode("utf-8"))
             sender = getaddresses([str(v) for v in message.get_all("From", [])])
             sent = message.get("Date")
             stamp = parsedate_to_datetime(str(sent)).isoformat(timespec="seconds") if sent else None

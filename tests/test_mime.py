@@ -63,3 +63,23 @@ def test_rows_headers_nulls_and_broken_messages(spark):
     assert [(r.mail_id, r.filename, bytes(r.content)) for r in files] == [("full", "f.pdf", b"ABC")]
     assert {r.mail_id for r in parts.filter("role = 'broken'").collect()} == {"utf8", "open", "null"}
     assert mime.mime_parts(spark.createDataFrame([], "mail_id string, raw string")).count() == 0
+
+
+def test_headers_are_read_once_and_messages_parsed_once(spark, monkeypatch):
+    """A header that is looked at again, or stands in other messages, is not parsed again; threads read stored headers."""
+    from email.headerregistry import HeaderRegistry
+
+    from corpusloom.operators import threads
+    from corpusloom.sources import mail
+
+    raw = 'Message-ID: <a{}@x.org>\nIn-Reply-To: <a0@x.org>\nContent-Type: multipart/mixed; boundary="b"\n\n--b\n\nhello\n--b\nContent-Type: text/csv\n\n1,2\n--b--\n'
+    seen, plain = [], HeaderRegistry.__call__
+    monkeypatch.setattr(HeaderRegistry, "__call__", lambda self, name, value: seen.append((name, value)) or plain(self, name, value))
+    mail._header.cache_clear()
+    rows = [mime._rows(str(i), raw.format(i), False) for i in range(5)]
+    assert [len(r) for r in rows] == [3] * 5 and rows[4][0]["message_id"] == "<a4@x.org>"
+    assert 0 < len(seen) == len(set(seen))
+    mails = spark.createDataFrame([(str(i), raw.format(i)) for i in range(4)], "mail_id string, raw string")
+    parents = threads.reply_parents(mime.messages(mime.mime_parts(mails)).selectExpr("*", "CAST(mail_id AS BIGINT) AS source_index"))
+    assert "MapInPandas" not in parents._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in parents.collect()} == {(0, None), (1, 0), (2, 0), (3, 0)}
