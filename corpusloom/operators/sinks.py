@@ -1,9 +1,9 @@
 """Sinks for assets, parsed blocks and chunks: bucketed Parquet with a manifest written last.
 
 A table is a folder. ``data/<id>/bucket=<b>`` holds rows whose hashed key falls into
-bucket b; a manifest in ``versions`` names one data folder for each bucket that has
+bucket b; a manifest in ``versions`` names the data folders of each bucket that has
 rows. A change rewrites only the buckets its keys fall into, under a new id, and then
-writes the next manifest. Readers take the newest whole manifest, so a writer that dies
+writes the next manifest; rows with new keys are put beside those stored before. Readers take the newest whole manifest, so a writer that dies
 earlier leaves the former version in place, and readers of an old version keep theirs
 until ``expire``. One writer at a time.
 """
@@ -22,6 +22,8 @@ from corpusloom.functions import expr as X
 from corpusloom.functions.scale import cut
 
 BUCKETS = 256
+#: Data folders that a bucket may have before it is written anew as one.
+LAYERS = 8
 MANIFEST = "bucket int, folder string"
 CONTENTS, ASSETS = "content_hash string, content binary", "asset_id string, content_hash string, mime_type string, size long"
 BLOCKS = "version_id string, ordinal int, kind string, text string, level int, page int"
@@ -42,7 +44,8 @@ class Table:
         self.version, self.folders = int(newest.split("-")[0]), {}
         if names:
             rows = spark.read.schema(MANIFEST).parquet(f"{path}/versions/{newest}").collect()
-            self.folders = {r.bucket: r.folder for r in rows}
+            for r in rows:
+                self.folders.setdefault(r.bucket, []).append(r.folder)
 
     def _path(self, path: str):
         found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,8 +68,8 @@ class Table:
         """Rows of some buckets: one scan per data folder, with the buckets as partition filter."""
         by_folder: dict[str, list[int]] = {}
         for b in buckets:
-            if b in self.folders:
-                by_folder.setdefault(self.folders[b], []).append(b)
+            for folder in self.folders.get(b, []):
+                by_folder.setdefault(folder, []).append(b)
         full = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
         parts = [
             self.spark.read.schema(full).parquet(f"{self.path}/data/{folder}").filter(F.col("bucket").isin(kept)).drop("bucket")
@@ -90,20 +93,34 @@ class Table:
 
     def _rewrite(self, touched: list[int], rows: DataFrame) -> Table:
         """Store ``rows`` as the whole content of the touched buckets and commit."""
+        made = self._write(rows)
+        return self._commit({b: f for b, f in self.folders.items() if b not in set(touched)} | made)
+
+    def _write(self, rows: DataFrame) -> dict[int, list[str]]:
+        """A new data folder, named for each bucket that has rows in it."""
         folder = uuid.uuid4().hex
+        known = F.coalesce(F.col(self.key), F.raise_error(F.lit(f"rows without {self.key}")).cast(self.schema[self.key].dataType))
         # Rebalancing gives each bucket its own files and splits a large one over several tasks.
-        placed = rows.select(*self.schema.names).withColumn("bucket", self.bucket(F.col(self.key))).hint("rebalance", "bucket")
+        placed = rows.select(*self.schema.names).withColumn("bucket", self.bucket(known)).hint("rebalance", "bucket")
         placed.sortWithinPartitions("bucket", *self.order).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
-        stored = {int(n.split("=")[1]): folder for n in self._names(f"data/{folder}")}
-        return self._commit({b: f for b, f in self.folders.items() if b not in set(touched)} | stored)
+        return {int(n.split("=")[1]): [folder] for n in self._names(f"data/{folder}")}
 
-    def _commit(self, folders: dict[int, str]) -> Table:
-        made = self.spark.createDataFrame(sorted(folders.items()), MANIFEST).coalesce(1)
+    def _commit(self, folders: dict[int, list[str]]) -> Table:
+        made = self.spark.createDataFrame([(b, f) for b, fs in sorted(folders.items()) for f in fs], MANIFEST).coalesce(1)
         made.write.parquet(f"{self.path}/versions/{self.version + 1}-{uuid.uuid4().hex}")
         after = copy.copy(self)
         after.version, after.folders = self.version + 1, folders
         return after
 
+    def insert(self, rows: DataFrame) -> Table:
+        """Add rows whose keys are not stored; what a bucket holds is not read, but for one that has got too many folders."""
+        made = self._write(rows)
+        if not made:
+            return self
+        after = self._commit(self.folders | {b: self.folders.get(b, []) + f for b, f in made.items()})
+        full = sorted(b for b in made if len(after.folders[b]) > LAYERS)
+        return after._rewrite(full, after._read(full)) if full else after
+
     def upsert(self, rows: DataFrame, stored: bool = False) -> Table:
         """Rows replace all rows with their keys; a row without a key is an error.
 
@@ -124,7 +141,7 @@ class Table:
 
     def expire(self) -> int:
         """Remove data folders that the newest version does not name, and older manifests; returns their number."""
-        stale = [f"data/{n}" for n in self._names("data") if n not in set(self.folders.values())]
+        stale = [f"data/{n}" for n in self._names("data") if n not in {f for fs in self.folders.values() for f in fs}]
         stale += [f"versions/{n}" for n in self._names("versions") if int(n.split("-")[0]) < self.version]
         for name in stale:
             found, system = self._path(f"{self.path}/{name}")
@@ -144,17 +161,19 @@ class AssetStore:
 
         Equal bytes are one asset with the least of their types; bytes stored already
         are not written again, even where only the index entry is missing. Null contents
-        are left out. Contents are committed before the index that names them.
+        are left out. Contents are committed before the index that names them. ``assets``
+        is read twice: hashes tell what is new, and only new bytes are written.
         """
         hashed = assets.filter("content is not null").withColumn("content_hash", F.sha2("content", 256))
-        named = hashed.groupBy("content_hash").agg(
-            F.min("mime_type").alias("mime_type"), F.any_value("content").alias("content")).withColumn(
-            "asset_id", X.uuid5(F.concat(F.lit("asset:"), "content_hash"))).withColumn("size", F.length("content").cast("long"))
-        ready = cut(named)
-        known = cut(self.contents.find(ready).select("content_hash"))
-        self.contents = self.contents.upsert(ready.join(known, "content_hash", "left_anti"), stored=True)
+        named = hashed.groupBy("content_hash").agg(F.min("mime_type").alias("mime_type"), F.max(F.length("content")).cast("long").alias("size"))
+        ready = cut(named.withColumn("asset_id", X.uuid5(F.concat(F.lit("asset:"), "content_hash"))))
+        known = self.contents.find(ready).select("content_hash")
+        fresh = cut(ready.select("content_hash").join(known, "content_hash", "left_anti"))
+        # Copies are combined before the exchange, which serves the join too.
+        bytes_ = hashed.groupBy("content_hash").agg(F.any_value("content").alias("content"))
+        self.contents = self.contents.insert(bytes_.join(fresh, "content_hash", "left_semi"))
         listed = cut(self.index.find(ready).select("asset_id", F.lit(True).alias("listed")))
-        self.index = self.index.upsert(ready.join(listed, "asset_id", "left_anti"), stored=True)
+        self.index = self.index.insert(ready.join(listed, "asset_id", "left_anti"))
         return ready.join(listed, "asset_id", "left").select(
             "asset_id", "content_hash", F.when(F.col("listed"), "known").otherwise("stored").alias("outcome"))
 

@@ -140,3 +140,27 @@ def test_chunks_of_versions_with_repeated_ids_are_refused(spark, tmp_path):
         [("c1", "v1", "a"), ("c2", "v1", "b"), ("c3", "v2", "c"), ("c3", "v2", "d")], "chunk_id string, version_id string, text string")
     stored, refused = sinks.put_chunks(stored, batch)
     assert rows(refused) == [("v2",)] and [r.chunk_id for r in stored.read().orderBy("chunk_id").collect()] == ["c1", "c2"]
+
+
+def test_new_rows_are_put_beside_stored_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "LAYERS", 2)
+    stored = table(spark, str(tmp_path), 1)
+    for i in range(4):
+        before, stored = stored, stored.insert(made(spark, [(f"k{i}", i)]))
+        # What stands in the bucket is left alone until it has too many folders; then they become one.
+        assert (len(stored.folders[0]), set(before.folders.get(0, [])) <= set(stored.folders[0])) == [(1, True), (2, True), (1, False), (2, True)][i]
+        assert rows(table(spark, str(tmp_path), 1).read()) == [(f"k{j}", j) for j in range(i + 1)]
+    stored = stored.upsert(made(spark, [("k1", 10)])).delete(made(spark, [("k0", 0)]))
+    assert rows(stored.read()) == [("k1", 10), ("k2", 2), ("k3", 3)] and stored.insert(made(spark, [])).version == stored.version
+    with pytest.raises(Exception, match="rows without k"):
+        stored.insert(made(spark, [(None, 1)]))
+
+
+def test_putting_assets_writes_new_bytes_only(spark, tmp_path):
+    store = sinks.AssetStore(spark, str(tmp_path), 1)
+    store.put(contents(spark, (b"one", "a")))
+    first = store.contents.folders[0]
+    store.put(contents(spark, (b"one", "b"), (b"two", "a"), (b"two", "a")))
+    later = [f for f in store.contents.folders[0] if f not in first]
+    assert set(first) < set(store.contents.folders[0]) and len(later) == 1
+    assert [bytes(r.content) for r in spark.read.parquet(f"{store.contents.path}/data/{later[0]}").collect()] == [b"two"]
