@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from corpusloom.operators.retrieve import DENSE_BLOCK, by_score
 SAMPLE, PIECE, CENTROIDS, ROUNDS = 20_000, 4, 256, 8
 #: Rows measured exactly for every row that is asked for.
 DEPTH = 12
+#: Rows coded at a time and queries scored at a time, which bound a task's Python however long batches are.
+ROWS, ASKED = 1024, 64
 
 
 def fit(vectors: DataFrame, piece: int = PIECE) -> np.ndarray:
@@ -39,6 +42,15 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms == 0, 1.0, norms)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows, without an object per number."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    width = len(flat) // len(column)
+    if not pc.all(pc.equal(pc.list_value_length(column), width)).as_py():
+        raise ValueError("vectors differ in length")
+    return flat.astype(float).reshape(len(column), width)
+
+
 def pieces(rows: np.ndarray, piece: int) -> np.ndarray:
     width = -(-rows.shape[1] // piece) * piece
     filled = np.zeros((len(rows), width))
@@ -72,16 +84,19 @@ def encode(vectors: DataFrame, books: np.ndarray | None = None) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes: list = [None] * batch.num_rows
-            known = np.flatnonzero(np.asarray(batch.column("vec").is_valid()))
-            if len(known):
-                given = shared.value
-                rows = pieces(unit(np.array(batch.column("vec").take(pa.array(known)).to_pylist(), dtype=float)), given.shape[2])
-                coded = np.stack([nearest(rows[:, j], given[j]) for j in range(given.shape[0])], axis=1).astype(np.uint8)
-                for i, row in zip(known.tolist(), coded, strict=True):
-                    codes[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), batch.column("vec"), pa.array(codes, pa.binary())], names=["chunk_id", "vec", "codes"])
+        given = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                codes: list = [None] * batch.num_rows
+                vec = batch.column("vec")
+                known = np.flatnonzero(np.asarray(vec.is_valid()))
+                if len(known):
+                    rows = pieces(unit(matrix(vec.drop_null())), given.shape[2])
+                    coded = np.stack([nearest(rows[:, j], given[j]) for j in range(given.shape[0])], axis=1).astype(np.uint8)
+                    for i, row in zip(known.tolist(), coded, strict=True):
+                        codes[i] = row.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), vec, pa.array(codes, pa.binary())], names=["chunk_id", "vec", "codes"])
 
     coded = vectors.select("chunk_id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "chunk_id string, vec array<double>, codes binary")
     coded.books = shared
@@ -108,15 +123,16 @@ def candidates(coded: DataFrame, queries: DataFrame, k: int, depth: int = DEPTH,
             qids, tables = side.value
             for batch in batches:
                 codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                scores = tables[0][codes[:, 0]]
-                for j in range(1, codes.shape[1]):
-                    scores = scores + tables[j][codes[:, j]]
-                count = min(want, len(scores))
-                best = np.argpartition(-scores, count - 1, axis=0)[:count] if count else np.zeros((0, len(qids)), int)
-                rows = best.T.ravel()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(qids, count)), batch.column("chunk_id").take(pa.array(rows)),
-                    pa.array(scores[rows, np.repeat(np.arange(len(qids)), count)].astype(float))], names=["qid", "chunk_id", "score"])
+                count = min(want, batch.num_rows)
+                for start in range(0, len(qids) if count else 0, ASKED):
+                    asked = qids[start:start + ASKED]
+                    scores = np.zeros((batch.num_rows, len(asked)), np.float32)
+                    for j in range(codes.shape[1]):
+                        scores += tables[j][:, start:start + ASKED][codes[:, j]]
+                    rows = np.argpartition(-scores, count - 1, axis=0)[:count].T.ravel()
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.repeat(asked, count)), batch.column("chunk_id").take(pa.array(rows)),
+                        pa.array(scores[rows, np.repeat(np.arange(len(asked)), count)].astype(float))], names=["qid", "chunk_id", "score"])
 
         near = coded.filter("codes is not null").select("chunk_id", "codes").mapInArrow(run, "qid long, chunk_id string, score double")
         found.append(top_per_key(near, ["qid"], by_score(), want).select("qid", "chunk_id"))

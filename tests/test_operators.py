@@ -204,6 +204,26 @@ def test_quantised_search(spark):
     assert quantise.topk(quantise.encode(odd.limit(0)), one, 3).collect() == []
 
 
+def test_quantised_search_holds_few_rows_and_queries_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(f"v{i:03}", v.tolist()) for i, v in enumerate(rng.normal(size=(300, 10)))], "chunk_id string, vec array<double>").coalesce(1)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(7, 10)))], "qid long, vec array<double>")
+    books, whole = quantise.fit(vectors), quantise.pieces
+    want = sorted(map(tuple, quantise.topk(quantise.encode(vectors, books), asked, 3).collect()))
+
+    def few(rows, piece):
+        assert len(rows) <= 16, "a whole batch at once"
+        return whole(rows, piece)
+
+    monkeypatch.setattr(quantise, "pieces", few)
+    monkeypatch.setattr(quantise, "ROWS", 16)
+    monkeypatch.setattr(quantise, "ASKED", 2)
+    assert sorted(map(tuple, quantise.topk(quantise.encode(vectors, books), asked, 3).collect())) == want and len(want) == 21
+    odd = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 2.0, 3.0, 4.0])], "chunk_id string, vec array<double>").coalesce(1)
+    with pytest.raises(Exception, match="differ in length"):
+        quantise.encode(odd, books).collect()
+
+
 def test_ann_leaves_far_lists_unread(spark):
     rng = np.random.default_rng(5)
     rows = [(f"c{i:04d}", (np.eye(16)[i % 16] + 0.02 * rng.normal(size=16)).tolist()) for i in range(800)]
