@@ -31,6 +31,17 @@ def _strip(sql: str) -> str:
     return _STRIP.replace("{0}", sql)
 
 
+#: What ``$`` of the expression above lets stand behind the white space that it strips; texts that end so are left to it.
+_ODD_ENDS = "\u2028\u2029"
+_BLANKS = " \t\n\r\f\x0b\x85\xa0"
+
+
+def _trimmed(name: str) -> str:
+    """``_strip`` of a column or variable that looks at the ends of the text alone."""
+    odd = " or ".join(f"endswith({name}, '{c}')" for c in _ODD_ENDS)
+    return f"if({odd}, {_strip(name)}, trim(BOTH '{_BLANKS}' FROM {name}))"
+
+
 def _count(sql: str) -> str:
     return f"cast(regexp_count({sql}, r'{X.TOKEN_PATTERN}') as int)"
 
@@ -59,18 +70,29 @@ def with_units(
     """
     t = f"if(ctype = 'verbatim', {min(target, VERBATIM_TARGET)}, {target})"
     h = str(maximum)
-    sentences = f"filter(transform(split(p.t, r'{sentence_end}'), x -> {_strip('x')}), x -> x <> '')"
-    parts = f"""if(p.n <= {t}, array(p.t), get(transform(array({sentences}), ss -> if(size(ss) > 1,
-        flatten(transform(ss, x -> if({_count('x')} <= {h}, array(x), {_words('x', t)}))),
-        if(p.n <= {h}, array(p.t), {_words('p.t', t)}))), 0))"""
-    whole = "array(named_struct('t', text, 'sep', '\\n\\n'))"
-    cut = f"split({_strip('text')}, r'\\n[ \\t]*\\n+')" if paragraphs else "array(text)"
-    paras = (f"filter(transform({cut}, x -> named_struct('t', {_strip('x')}, 'n', {_count(_strip('x'))})), x -> x.t <> '')")
-    reduced = f"flatten(transform({paras}, p -> transform({parts}, (x, k) -> named_struct('t', x, 'sep', if(k = 0, '\\n\\n', ' ')))))"
-    none = "cast(array() as array<struct<t:string,sep:string>>)"
+
+    def counted(texts: str, x: str) -> str:
+        """Each text is counted here and nowhere again."""
+        return f"transform({texts}, {x} -> named_struct('t', {x}, 'c', {_count(x)}))"
+
+    def words(text: str) -> str:
+        return counted(_words(text, t), "y")
+
+    sentences = f"filter(transform(split(p.t, r'{sentence_end}'), x -> {_trimmed('x')}), x -> x <> '')"
+    parts = f"""if(p.c <= {t}, array(p), get(transform(array({sentences}), ss -> if(size(ss) > 1,
+        flatten(transform({counted('ss', 'x')}, x -> if(x.c <= {h}, array(x), {words('x.t')}))),
+        if(p.c <= {h}, array(p), {words('p.t')}))), 0))"""
+    whole = f"array(named_struct('t', text, 'c', {_count('text')}, 'sep', '\\n\\n'))"
+    cut = f"if(contains(text, '\\n'), split({_trimmed('text')}, r'\\n[ \\t]*\\n+'), array({_trimmed('text')}))" if paragraphs else "array(text)"
+    paras = counted(f"filter(transform({cut}, x -> {_trimmed('x')}), x -> x <> '')", "x")
+    reduced = f"flatten(transform({paras}, p -> transform({parts}, (x, k) -> named_struct('t', x.t, 'c', x.c, 'sep', if(k = 0, '\\n\\n', ' ')))))"
+    none = "cast(array() as array<struct<t:string,c:int,sep:string>>)"
     raw = blocks.withColumn(
         "_parts", F.expr(f"CASE WHEN text is null OR text = '' THEN {none} WHEN atomic THEN {whole} ELSE {reduced} END"))
-    costed = f"transform(_parts, u -> named_struct('t', u.t, 'sep', u.sep, 'c', {_count('u.t')}, 'jc', {_count('concat(u.sep, u.t)')}))"
+    # A separator can join the first word alone, so that only this is counted twice.
+    first = r"regexp_extract(u.t, r'^[ \t\n\r\f]*[^ \t\n\r\f]*', 0)"
+    joint = f"get(transform(array({first}), w -> u.c + {_count('concat(u.sep, w)')} - {_count('w')}), 0)"
+    costed = f"transform(_parts, u -> named_struct('t', u.t, 'sep', u.sep, 'c', u.c, 'jc', {joint}))"
     return raw.withColumn("units", F.expr(costed)).drop("_parts")
 
 
