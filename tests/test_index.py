@@ -157,3 +157,15 @@ def test_searched_passages_need_no_exchange_and_a_segment_one(spark, folder, tmp
     monkeypatch.setattr(I, "TOGETHER", 1)
     name = I.write_segment(I.counted(I.tokens(chunks.limit(400))), 400, str(tmp_path), 4)
     assert name.endswith("-100") and len(list((tmp_path / name / "bucket=-1").glob("*.parquet"))) > 20
+
+
+def test_a_segment_is_named_by_its_folder_alone(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i}", f"word{i % 7} common", None) for i in range(60)], "chunk_id string, document_id string, text string, title string")
+    index = I.Index.build(chunks, str(tmp_path), 20).upsert(chunks.limit(5).withColumn("text", F.lit("late words")), 20)
+    for seg in index.segments:
+        assert "seg" not in spark.read.parquet(f"{tmp_path}/{seg}").columns
+    for rows in (index.docs(), index.postings(), index.live()):
+        assert {r.seg for r in rows.select("seg").distinct().collect()} == {*index.segments}
+    assert index.live().count() == 60 and index.docs().count() == 65
+    found = index.topk(spark.createDataFrame([(1, "late")], "qid long, text string"), 10).collect()
+    assert len(found) == 5 and index.merge().topk(spark.createDataFrame([(1, "late")], "qid long, text string"), 10).count() == 5
