@@ -22,7 +22,8 @@ def ingest_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    stream = jobs.source(spark, d, "documents.parquet")
+    stream = jobs.source(spark, d, "documents.parquet", batch_bytes=jobs.INGEST_BYTES).select(
+        "doc_id", "text", "source", F.unix_micros("_metadata.file_modification_time").alias("filed"))
     return jobs.ingest_stream(stream, jobs.work_folder(spark, "ingest"), T, MAX)
 
 
